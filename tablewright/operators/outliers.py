@@ -14,6 +14,7 @@ from pyspark.sql import Window
 from tablewright.functions import divide, parse_number, ref, round_to
 from tablewright.operators.distribution import describe, moments
 from tablewright.schema import feature_types
+from tablewright.session import ship_package
 
 TREES = 100          # fixed value: trees in a forest
 SAMPLE = 256         # fixed value: rows one tree is grown on
@@ -90,6 +91,7 @@ def grow_tree(pdf: pd.DataFrame, seed: int, sample: int) -> pd.DataFrame:
 def fit_forest(df: DataFrame, columns: list[str], key: list[str] | None = None, trees: int = TREES,
                sample: int = SAMPLE, seed: int = SEED) -> tuple[list[dict], dict[str, float]]:
     """The forest (at most trees x 2 sample nodes, whatever the table size) and the mean fills used."""
+    ship_package(df.sparkSession)
     stats = moments(df, columns)
     fills = {c: float(stats[c]["mean"] or 0.0) for c in columns}
     rows = stats[columns[0]]["rows"]
@@ -107,6 +109,7 @@ def fit_forest(df: DataFrame, columns: list[str], key: list[str] | None = None,
 def score_rows(df: DataFrame, columns: list[str], forest: list[dict], fills: dict[str, float],
                sample: int) -> DataFrame:
     """The table with an anomaly score in (0, 1]; higher is more anomalous. Only features go to Python."""
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(
         [tuple(np.asarray(t[k]) for k in ("feature", "threshold", "left", "right", "length")) for t in forest])
     usual = expected_length(sample) or 1.0

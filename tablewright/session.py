@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,17 @@ def settle(df: DataFrame) -> DataFrame:
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name beside the checkpoints, reachable from every executor."""
     return os.path.join(checkpoint_root(spark), f"{purpose}-{uuid.uuid4().hex}")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="tablewright-"), package.name)
+    context.addPyFile(shutil.make_archive(archive, "zip", package.parent, package.name))
+    _shipped.add(context.applicationId)
