@@ -10,7 +10,6 @@ kept k times at most, which cannot change an answer because ties go to the small
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,24 +99,27 @@ class Cells:
 
 
 
-def search(points: pd.DataFrame, asked: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+def search(points: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best (distance, id) of one chunk of points for each of one chunk of queries."""
+    points = points.sort_values("id")
     p = np.stack(points["x"].to_numpy())
-    ids, labels = points["id"].to_numpy(), points["label"].to_numpy()
-    step = max(1, 2_000_000 // len(p))
-    for start in range(0, len(asked), step):
-        block = asked.iloc[start:start + step]
-        q = np.stack(block["x"].to_numpy())
+    ids, labels, xs = points["id"].to_numpy(), points["label"].to_numpy(), asked["x"].to_numpy()
+    step, parts = max(1, 2_000_000 // len(p)), []
+    for start in range(0, len(xs), step):
+        q = np.stack(xs[start:start + step])
         squares = np.zeros((len(q), len(p)))
         for axis in range(p.shape[1]):
             squares += (q[:, axis, None] - p[None, :, axis]) ** 2
-        for row, x in zip(squares, block["x"]):
-            near = np.arange(len(p))
-            if len(p) > k:
-                near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
-            order = near[np.lexsort((ids[near], row[near]))][:k]
-            yield pd.DataFrame({"x": [x] * len(order), "distance": np.sqrt(row[order]), "id": ids[order],
-                                "label": labels[order]})
+        limit = np.partition(squares, k - 1, axis=1)[:, k - 1] if len(p) > k else np.full(len(q), np.inf)
+        row, col = np.nonzero(squares <= limit[:, None])
+        far = squares[row, col]
+        order = np.lexsort((col, far, row))     # columns stand in id order, so equal distances do too
+        row, col, far = row[order], col[order], far[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col, far = row[nth < k], col[nth < k], far[nth < k]
+        parts.append(pd.DataFrame({"x": xs[start + row], "distance": np.sqrt(far), "id": ids[col],
+                                   "label": labels[col]}))
+    return pd.concat(parts)
 
 
 def top(hits: DataFrame, k: int) -> DataFrame:
@@ -186,8 +188,10 @@ class Index:
                    .withColumn("pc", every(points_in)))
 
         def answer(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-            parts = list(search(found, wanted, k)) if len(found) and len(wanted) else []
-            return pd.concat(parts) if parts else pd.DataFrame({"x": [], "distance": [], "id": [], "label": []})
+            if len(found) and len(wanted):
+                return search(found, wanted, k)
+            return pd.DataFrame({"x": pd.Series(dtype=object), "distance": pd.Series(dtype=float),
+                                 "id": pd.Series(dtype="int64"), "label": pd.Series(dtype=float)})
 
         keys = ("cell", "pc", "qc")
         return points.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(answer, HITS)

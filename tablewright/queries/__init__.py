@@ -1,6 +1,6 @@
 """Registered queries over the supplied tables."""
 
-from tablewright.queries import encode_scale, fitting, prepare
+from tablewright.queries import encode_scale, fitting, modelling, prepare, scoring
 from tablewright.queries.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "encode_scale", "fitting", "prepare"]
+__all__ = ["QUERIES", "SQL", "encode_scale", "fitting", "modelling", "prepare", "scoring"]
