@@ -2,6 +2,7 @@
 
 from tablewright.functions.scalar import (
     divide,
+    double_array,
     is_missing,
     normal_quantile,
     parse_number,
@@ -11,4 +12,4 @@ from tablewright.functions.scalar import (
     yeo_johnson,
 )
 
-__all__ = ["divide", "is_missing", "normal_quantile", "parse_number", "ref", "round_to", "text_of", "yeo_johnson"]
+__all__ = ["divide", "double_array", "is_missing", "normal_quantile", "parse_number", "ref", "round_to", "text_of", "yeo_johnson"]

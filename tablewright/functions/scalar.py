@@ -12,12 +12,19 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def parse_number(column: Column) -> Column:
-    """The value as a double, NULL when it does not parse or is NaN."""
+def parse_number(column: Column, data_type: T.DataType | None = None) -> Column:
+    """The value as a double, NULL when it does not parse or is NaN; the type spares needless checks."""
+    if isinstance(data_type, T.IntegralType):
+        return column.cast("double")
     number = column.try_cast("double")
     return F.when(~F.isnan(number), number)
 
 
+def double_array(values: list[float]) -> Column:
+    """A constant array in one literal, however long."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 def is_missing(column: Column, data_type: T.DataType) -> Column:
     """True for NULL, and for NaN in floating columns."""
     if isinstance(data_type, (T.DoubleType, T.FloatType)):

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql import Window
 
-from tablewright.functions import parse_number, ref
+from tablewright.functions import double_array, parse_number, ref
 from tablewright.schema import is_number
 from tablewright.session import settle
 
@@ -61,25 +61,30 @@ def value_counts(df: DataFrame, columns: list[str], as_type: str) -> DataFrame:
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
-def moments(df: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """Counts, approximate distinct counts and numeric moments of all columns in one pass."""
+def moments(df: DataFrame, columns: list[str], distinct: list[str] = ()) -> dict[str, dict]:
+    """Counts and numeric moments of all columns, and the asked approximate distinct counts, in one pass."""
     types = {f.name: f.dataType for f in df.schema.fields}
     wanted = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(columns):
         cell = ref(name)
-        wanted += [F.count(cell).alias(f"{i}_present"), F.approx_count_distinct(cell).alias(f"{i}_distinct")]
+        wanted.append(F.count(cell).alias(f"{i}_present"))
+        if name in distinct:
+            wanted.append(F.approx_count_distinct(cell).alias(f"{i}_distinct"))
         if is_number(types[name]):
-            x = parse_number(cell)
-            wanted += [F.avg(x).alias(f"{i}_mean"), F.stddev_samp(x).alias(f"{i}_sd_sample"),
-                       F.stddev_pop(x).alias(f"{i}_sd"), F.min(x).alias(f"{i}_low"), F.max(x).alias(f"{i}_high")]
+            x = parse_number(cell, types[name])
+            wanted += [F.avg(x).alias(f"{i}_mean"), F.stddev_pop(x).alias(f"{i}_sd"),
+                       F.min(x).alias(f"{i}_low"), F.max(x).alias(f"{i}_high")]
         elif isinstance(types[name], T.StringType):
             wanted.append(F.count(parse_number(cell)).alias(f"{i}_parsed"))
     row = df.agg(*wanted).first().asDict()
     found: dict[str, dict] = {}
     for i, name in enumerate(columns):
         prefix = f"{i}_"
-        found[name] = {k[len(prefix):]: v for k, v in row.items() if k.startswith(prefix)}
-        found[name]["rows"] = row["rows"]
+        stats = {k[len(prefix):]: v for k, v in row.items() if k.startswith(prefix)}
+        stats["rows"] = row["rows"]
+        if stats.get("sd") is not None and stats["present"] > 1:
+            stats["sd_sample"] = stats["sd"] * math.sqrt(stats["present"] / (stats["present"] - 1))
+        found[name] = stats
     return found
 
 
@@ -95,23 +100,26 @@ def within_budget(stats: dict[str, dict], columns: list[str], budget: int) -> se
 
 
 def describe(df: DataFrame, columns: list[str], quantiles: dict[str, list[float]] | None = None,
-             modes: list[str] = (), values: list[str] = (), budget: int = VALUE_BUDGET) -> dict[str, dict]:
+             modes: list[str] = (), values: list[str] = (), budget: int = VALUE_BUDGET,
+             known: dict[str, dict] | None = None) -> dict[str, dict]:
     """Moments of all columns, plus the asked exact quantiles, modes and sorted value lists.
 
     Quantiles read a text column's parsable values. A value list longer than ``LISTED_VALUES`` is
-    given as None: use ``value_codes`` for it.
+    given as None: use ``value_codes`` for it. ``known`` spares the moments when they are at hand, with
+    distinct counts.
     """
     quantiles = dict(quantiles or {})
     types = {f.name: f.dataType for f in df.schema.fields}
-    stats = moments(df, columns)
-    narrow = within_budget(stats, list({*quantiles, *modes, *values}), budget)
+    asked = list({*quantiles, *modes, *values})
+    stats = {c: dict(known[c]) for c in columns} if known else moments(df, columns, asked)
+    narrow = within_budget(stats, asked, budget)
     listed = [c for c in values if c in narrow and stats[c]["distinct"] * 1.2 <= LISTED_VALUES]
 
     wanted: list[Column] = []
     for i, name in enumerate(columns):
         if name in narrow and name in quantiles:
-            probabilities = F.array(*(F.lit(float(p)) for p in quantiles[name]))
-            wanted.append(F.percentile(parse_number(ref(name)), probabilities).alias(f"{i}_quantiles"))
+            wanted.append(F.percentile(parse_number(ref(name), types[name]), double_array(quantiles[name]))
+                          .alias(f"{i}_quantiles"))
         if name in narrow and name in modes:
             wanted.append(F.mode(ref(name), True).alias(f"{i}_mode"))
         if name in listed:

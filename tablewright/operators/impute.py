@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewright.functions import is_missing, ref
@@ -77,6 +79,8 @@ def fit_fills(df: DataFrame, numeric: str = "mean", categorical: str = "mode",
         numbers, text = [c for c in numbers if c in columns], [c for c in text if c in columns]
     numbers = [] if numeric == "drop" else numbers
     text = [] if categorical == "drop" else text
+    if not numbers and not text:
+        return {}
     stats = describe(df, numbers + text,
                      quantiles={c: [0.5] for c in numbers} if numeric == "median" else {},
                      modes=text + (numbers if numeric == "mode" else []))
@@ -86,25 +90,30 @@ def fit_fills(df: DataFrame, numeric: str = "mean", categorical: str = "mode",
     return {c: v for c, v in fills.items() if v is not None}
 
 
-def impute(df: DataFrame, numeric: str = "mean", categorical: str = "mode", task: str = "classification",
-           target: str | None = None, fit_on: DataFrame | None = None, keep: list[str] = ()) -> DataFrame:
-    """The general form: fit the fills on ``fit_on`` (or the table itself) and apply them.
-
-    The target and the ``keep`` columns (a row key) pass through untouched.
-    """
+def imputer(source: DataFrame, numeric: str = "mean", categorical: str = "mode", task: str = "classification",
+            target: str | None = None, keep: list[str] = ()) -> Callable[[DataFrame], DataFrame]:
+    """Fit the general form on a table; the target and the ``keep`` columns (a row key) stay untouched."""
     check_task(task)
     if numeric not in NUMERIC_WAYS or categorical not in CATEGORICAL_WAYS:
         raise ValueError(f"numeric is one of {NUMERIC_WAYS}, categorical one of {CATEGORICAL_WAYS}")
-    df = drop_ignored(df, task)
-    source = drop_ignored(fit_on, task) if fit_on is not None else df
-    numbers, text = feature_types(df, [*keep, *([target] if target else [])])
+    source = drop_ignored(source, task)
+    numbers, text = feature_types(source, [*keep, *([target] if target else [])])
     dropped = (numbers if numeric == "drop" else []) + (text if categorical == "drop" else [])
-    if dropped:
-        df = df.filter(~any_missing(df, dropped))
     kept = [c for c in numbers + text if c not in dropped]
-    if not kept:
-        return df
-    return fill_missing(df, fit_fills(source, numeric, categorical, kept))
+    fills = fit_fills(source, numeric, categorical, kept) if kept else {}
+
+    def apply(df: DataFrame) -> DataFrame:
+        df = drop_ignored(df, task)
+        df = df.filter(~any_missing(df, dropped)) if dropped else df
+        return fill_missing(df, fills) if fills else df
+
+    return apply
+
+
+def impute(df: DataFrame, numeric: str = "mean", categorical: str = "mode", task: str = "classification",
+           target: str | None = None, fit_on: DataFrame | None = None, keep: list[str] = ()) -> DataFrame:
+    """The general form, fitted on ``fit_on`` or on the table itself, and applied."""
+    return imputer(fit_on if fit_on is not None else df, numeric, categorical, task, target, keep)(df)
 
 
 def impute_mean(df: DataFrame, **options) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.functions import normal_quantile, parse_number, ref, yeo_johnson
+from tablewright.functions import double_array, normal_quantile, parse_number, ref, yeo_johnson
 from tablewright.operators.distribution import describe, moments
 
 METHODS = ("zscore", "zscore_sample", "minmax", "maxabs", "robust")
@@ -38,7 +39,7 @@ def scale_of(stats: dict, method: str) -> Scale:
     if method == "zscore":
         centre, width = stats["mean"], stats["sd"]
     elif method == "zscore_sample":
-        centre, width = stats["mean"], stats["sd_sample"]
+        centre, width = stats["mean"], stats.get("sd_sample")
     elif method == "minmax":
         centre, width = stats["low"], stats["high"] - stats["low"]
     elif method == "maxabs":
@@ -77,12 +78,12 @@ class QuantileGrid:
 
 def fit_quantile_grids(df: DataFrame, columns: list[str], points: int = QUANTILES) -> dict[str, QuantileGrid]:
     """The exact quantiles of every column on an even grid of at most ``points`` probabilities."""
-    present = moments(df, columns)
+    present = moments(df, columns, columns)
     wanted = {}
     for name in columns:
         size = max(2, min(points, present[name]["present"]))
         wanted[name] = [i / (size - 1) for i in range(size)]
-    stats = describe(df, columns, quantiles=wanted)
+    stats = describe(df, columns, quantiles=wanted, known=present)
     grids = {}
     for name in columns:
         first: dict[float, float] = {}
@@ -118,7 +119,7 @@ def apply_quantile_grids(df: DataFrame, grids: dict[str, QuantileGrid], shape: s
         grid, at = usable[c], F.col(f"_cell{tag}").cast("int") + 1
         for part, values, place in (("left", grid.values, at), ("right", grid.values, at + 1),
                                     ("first", grid.first, at), ("low", grid.last, at), ("high", grid.first, at + 1)):
-            found[f"_{part}{tag}"] = F.try_element_at(F.lit([float(v) for v in values]), place)
+            found[f"_{part}{tag}"] = F.try_element_at(double_array(values), place)
     df = df.withColumns(found) if found else df
 
     def place_of(name: str) -> Column:
@@ -165,14 +166,20 @@ def fit_powers(df: DataFrame, columns: list[str], powers: list[float] = POWERS)
     return best
 
 
-def transform_shape(df: DataFrame, columns: list[str], method: str = "quantile",
-                    fit_on: DataFrame | None = None, points: int = QUANTILES) -> DataFrame:
-    """Reshape the columns towards a normal distribution: by quantiles, or by a power and a z-score."""
-    source = fit_on if fit_on is not None else df
+def shaper(source: DataFrame, columns: list[str], method: str = "quantile",
+           points: int = QUANTILES) -> Callable[[DataFrame], DataFrame]:
+    """Fit a reshaping towards a normal distribution: by quantiles, or by a power and a z-score."""
     if method == "quantile":
-        return apply_quantile_grids(df, fit_quantile_grids(source, columns, points))
+        grids = fit_quantile_grids(source, columns, points)
+        return lambda df: apply_quantile_grids(df, grids)
     if method != "yeo-johnson":
         raise ValueError("method must be 'quantile' or 'yeo-johnson'")
     powers = fit_powers(source, columns)
     reshape = {c: yeo_johnson(ref(c), powers[c]) for c in columns}
-    return apply_scales(df.withColumns(reshape), fit_scales(source.withColumns(reshape), columns))
+    scales = fit_scales(source.withColumns(reshape), columns)
+    return lambda df: apply_scales(df.withColumns(reshape), scales)
+
+
+def transform_shape(df: DataFrame, columns: list[str], method: str = "quantile",
+                    fit_on: DataFrame | None = None, points: int = QUANTILES) -> DataFrame:
+    return shaper(fit_on if fit_on is not None else df, columns, method, points)(df)

@@ -1,23 +1,22 @@
 """The numbered data-quality variants of a train/test pair.
 
-A variant is any ``DataFrame -> DataFrame`` function under a name. Every variant starts from the
+A variant is a step that learns from one table and gives a ``DataFrame -> DataFrame`` function. Every variant starts from the
 cleaned table. ``fit_on='train'`` fits on the training table and applies to both; ``'each'`` lets
 train and test be prepared from their own statistics, as the study did.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.operators.clean import clean_sentinels, drop_ignored, drop_null_rows
-from tablewright.operators.impute import impute
-from tablewright.operators.outliers import SCORE, fit_forest, score_cuts, score_rows
-from tablewright.operators.outliers import SAMPLE, SEED, TREES
-from tablewright.operators.scale import normalize, transform_shape
+from tablewright.operators.clean import clean_sentinels, count_missing, drop_ignored, drop_null_rows
+from tablewright.operators.impute import imputer
+from tablewright.operators.outliers import SAMPLE, SCORE, SEED, TREES, fit_forest, score_cuts, score_rows
+from tablewright.operators.scale import apply_scales, fit_scales, shaper
 from tablewright.schema import check_task, feature_types, require_target
 from tablewright.session import settle
 from tablewright.sources.pairs import TablePair
@@ -49,70 +48,96 @@ class ScenarioSettings:
         return feature_types(df, [*self.key, *([] if self.scale_target else [self.target])])[0]
 
 
-Step = Callable[[DataFrame, DataFrame, ScenarioSettings], DataFrame]
+Change = Callable[[DataFrame], DataFrame]
 
 
-def null_free(df: DataFrame, fit_on: DataFrame, how: ScenarioSettings) -> DataFrame:
-    return drop_null_rows(drop_ignored(df, how.task), how.target)
+class Fitting:
+    """What the variants learn from one table; parts that several variants share are fitted once."""
 
+    def __init__(self, source: DataFrame, how: ScenarioSettings):
+        self.source, self.how = source, how
 
-def imputed(way: str) -> Step:
-    def step(df: DataFrame, fit_on: DataFrame, how: ScenarioSettings) -> DataFrame:
-        return impute(df, numeric=way, task=how.task, target=how.target, fit_on=fit_on, keep=how.key)
+    def imputer(self, way: str) -> Change:
+        return imputer(self.source, way, task=self.how.task, target=self.how.target, keep=self.how.key)
 
-    return step
+    @cached_property
+    def mean_filler(self) -> Change:
+        return self.imputer("mean")
 
+    @cached_property
+    def filled(self) -> DataFrame:
+        return self.mean_filler(self.source)
 
-mean_filled = imputed("mean")
+    @cached_property
+    def scorer(self) -> Change:
+        """Mean filling, then an anomaly score from a forest grown on the filled source."""
+        how, columns = self.how, feature_types(self.filled, [self.how.target, *self.how.key])[0]
+        forest, fills = fit_forest(self.filled, columns, list(how.key) or None, how.trees, how.sample, how.seed)
+        return lambda df: score_rows(self.mean_filler(df), columns, forest, fills, how.sample)
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        """The scored source, written once: its cuts and every share read the same rows."""
+        return settle(self.scorer(self.source))
 
-def no_outliers(share: float) -> Step:
-    def step(df: DataFrame, fit_on: DataFrame, how: ScenarioSettings) -> DataFrame:
-        tables = outlier_sweep(df, fit_on, how, [share])
-        return tables[share]
+    @cached_property
+    def cuts(self) -> dict[float, float]:
+        return score_cuts(self.scored, sorted({*SWEEP, COMPOSITE_SHARE}))
+
+    def without_outliers(self, share: float) -> Change:
+        cut = self.cuts[share] if share in self.cuts else score_cuts(self.scored, [share])[share]
+
+        def change(df: DataFrame) -> DataFrame:
+            scored = self.scored if df is self.source else self.scorer(df)
+            return scored.filter(F.col(SCORE) <= cut).drop(SCORE)
+
+        return change
 
-    return step
 
+Step = Callable[[Fitting], Change]
 
-def outlier_sweep(df: DataFrame, fit_on: DataFrame, how: ScenarioSettings,
-                  shares: list[float]) -> dict[float, DataFrame]:
-    """Mean-filled table without its outliers, for several shares from one scoring.
 
-    The forest and its cuts come from ``fit_on``; the scored tables are written once, because the
-    same rows are read for the cuts and for every share.
-    """
-    source, table = mean_filled(fit_on, fit_on, how), mean_filled(df, fit_on, how)
-    columns = feature_types(source, [how.target, *how.key])[0]
-    forest, fills = fit_forest(source, columns, list(how.key) or None, how.trees, how.sample, how.seed)
-    fitted = settle(score_rows(source, columns, forest, fills, how.sample))
-    cuts = score_cuts(fitted, shares)
-    scored = fitted if df is fit_on else settle(score_rows(table, columns, forest, fills, how.sample))
-    return {s: scored.filter(F.col(SCORE) <= cuts[s]).drop(SCORE) for s in shares}
+def null_free(fit: Fitting) -> Change:
+    return lambda df: drop_null_rows(drop_ignored(df, fit.how.task), fit.how.target)
 
 
-def normalized(df: DataFrame, fit_on: DataFrame, how: ScenarioSettings) -> DataFrame:
-    source, table = mean_filled(fit_on, fit_on, how), mean_filled(df, fit_on, how)
-    return normalize(table, how.numeric(table), fit_on=source)
+def imputed(way: str) -> Step:
+    return lambda fit: fit.mean_filler if way == "mean" else fit.imputer(way)
+
+
+def no_outliers(share: float) -> Step:
+    return lambda fit: fit.without_outliers(share)
 
 
-def transformed(df: DataFrame, fit_on: DataFrame, how: ScenarioSettings) -> DataFrame:
-    source, table = mean_filled(fit_on, fit_on, how), mean_filled(df, fit_on, how)
-    return transform_shape(table, how.numeric(table), fit_on=source)
+def normalized(fit: Fitting) -> Change:
+    scales = fit_scales(fit.filled, fit.how.numeric(fit.filled))
+    return lambda df: apply_scales(fit.mean_filler(df), scales)
 
 
-def composite(df: DataFrame, fit_on: DataFrame, how: ScenarioSettings) -> DataFrame:
+def transformed(fit: Fitting) -> Change:
+    reshape = shaper(fit.filled, fit.how.numeric(fit.filled))
+    return lambda df: reshape(fit.mean_filler(df))
+
+
+def composite(fit: Fitting) -> Change:
     """Mean filling, outlier removal, z-score, quantile transform, each fitted on the step before."""
-    source = no_outliers(COMPOSITE_SHARE)(fit_on, fit_on, how)
-    table = source if df is fit_on else no_outliers(COMPOSITE_SHARE)(df, fit_on, how)
-    columns = how.numeric(source)
-    table, source = normalize(table, columns, fit_on=source), normalize(source, columns)
-    return transform_shape(table, columns, fit_on=source)
+    thin = fit.without_outliers(COMPOSITE_SHARE)
+    source = thin(fit.source)
+    columns = fit.how.numeric(source)
+    scales = fit_scales(source, columns)
+    reshape = shaper(apply_scales(source, scales), columns)
+    return lambda df: reshape(apply_scales(thin(df), scales))
+
+
+def plain(change: Change) -> Step:
+    """A variant that learns nothing: any function from table to table."""
+    return lambda fit: change
 
 
 # Variant names in order.
 STEPS: dict[str, Step] = {
     "01_without_NaN": null_free,
-    "02_imputed_mean": mean_filled,
+    "02_imputed_mean": imputed("mean"),
     "03_imputed_mode": imputed("mode"),
     "04_imputed_median": imputed("median"),
     "05_no_outliers_0.01": no_outliers(0.01),
@@ -125,11 +150,19 @@ STEPS: dict[str, Step] = {
 ONLY_WITH_GAPS = ("02_imputed_mean", "03_imputed_mode", "04_imputed_median")
 
 
-def prepare(pair: TablePair, name: str, how: ScenarioSettings, steps: dict[str, Step] = STEPS) -> TablePair:
+def fittings(pair: TablePair, how: ScenarioSettings) -> tuple[Fitting, Fitting]:
+    """What train and test learn from: the same under ``fit_on='train'``."""
+    train = Fitting(pair.train, how)
+    return train, train if how.fit_on == "train" else Fitting(pair.test, how)
+
+
+def prepare(pair: TablePair, name: str, how: ScenarioSettings, steps: dict[str, Step] = STEPS,
+            fits: tuple[Fitting, Fitting] | None = None) -> TablePair:
     """One variant of the pair."""
-    step = steps[name]
-    train = step(pair.train, pair.train, how)
-    return TablePair(train, step(pair.test, pair.train if how.fit_on == "train" else pair.test, how))
+    on_train, on_test = fits or fittings(pair, how)
+    change = steps[name](on_train)
+    other = change if on_test is on_train else steps[name](on_test)
+    return TablePair(change(pair.train), other(pair.test))
 
 
 def clean_pair(pair: TablePair, target: str) -> TablePair:
@@ -140,8 +173,9 @@ def clean_pair(pair: TablePair, target: str) -> TablePair:
 
 def has_gaps(train: DataFrame, how: ScenarioSettings) -> bool:
     """Whether dropping incomplete rows changes the training table."""
-    total = train.count()
-    return null_free(train, train, how).count() != total
+    table = drop_ignored(train, how.task)
+    numeric, text = feature_types(table, how.target)
+    return bool(count_missing(table, numeric + text).first()["missing_rows"])
 
 
 def scenario_names(pair: TablePair, how: ScenarioSettings, steps: dict[str, Step] = STEPS) -> list[str]:
@@ -152,23 +186,14 @@ def scenario_names(pair: TablePair, how: ScenarioSettings, steps: dict[str, Step
 
 def scenario_matrix(pair: TablePair, how: ScenarioSettings,
                     steps: dict[str, Step] = STEPS) -> Iterator[tuple[str, TablePair]]:
-    """(name, prepared pair) for each variant; the outlier sweep shares one scoring."""
-    swept: dict[float, tuple[DataFrame, DataFrame]] = {}
+    """(name, prepared pair) for each variant, over shared fits."""
+    fits = fittings(pair, how)
     for name in scenario_names(pair, how, steps):
-        share = next((s for s in SWEEP if name == f"05_no_outliers_{s}"), None)
-        if share is None or steps[name] is not STEPS.get(name):
-            yield name, prepare(pair, name, how, steps)
-            continue
-        if not swept:
-            train = outlier_sweep(pair.train, pair.train, how, list(SWEEP))
-            other = pair.train if how.fit_on == "train" else pair.test
-            test = outlier_sweep(pair.test, other, how, list(SWEEP))
-            swept = {s: (train[s], test[s]) for s in SWEEP}
-        yield name, TablePair(*swept[share])
-
-
-def tagged(variants: Iterator[tuple[str, TablePair]], columns: list[str]) -> DataFrame:
-    """All variants in one table with ``scenario`` and ``split``, over the columns they share."""
+        yield name, prepare(pair, name, how, steps, fits)
+
+
+def tagged(variants: Iterable[tuple[str, TablePair]], columns: list[tuple[str, str]]) -> DataFrame:
+    """All variants in one table with ``scenario`` and ``split``, over the given (column, type) pairs."""
     parts = [table.select(F.lit(name).alias("scenario"), F.lit(split).alias("split"),
                           *(F.col(c).cast(kind).alias(c) for c, kind in columns))
              for name, pair in variants for split, table in (("train", pair.train), ("test", pair.test))]

@@ -12,12 +12,14 @@ from tablewright.operators.outliers import outlier_report, remove_outliers, swee
 from tablewright.operators.results import best_scenario
 from tablewright.plans.automl import automl_prepare
 from tablewright.plans.experiment import Experiment
-from tablewright.plans.scenario import (SWEEP, ScenarioSettings, composite, has_gaps, prepare, scenario_matrix,
-                                        scenario_names, tagged)
+from tablewright.plans.scenario import (STEPS, SWEEP, Fitting, ScenarioSettings, composite, has_gaps, prepare,
+                                        scenario_matrix, scenario_names, tagged, write_matrix)
 from tablewright.queries.registry import query
 from tablewright.queries.tables import (FEATURES, KEY, ORDERS, TARGET, mode_sql, orders_role,
                                         orders_split, table)
+from tablewright.session import scratch_folder
 from tablewright.sources.pairs import TablePair
+from tablewright.sources.store import read_scenario
 
 LINE_KEY = ["line_id"]
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -77,7 +79,7 @@ def scenario_gate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scenario_composite_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earlier orders after mean filling, outlier removal, z-score and quantile transform."""
     train, _ = orders_split(spark, sf_dir)
-    return composite(train, train, settings())
+    return composite(Fitting(train, settings()))(train)
 
 
 FILLED = {"02_imputed_mean": "avg({0})", "04_imputed_median": "median({0})"}
@@ -128,9 +130,12 @@ def automl_prepare_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def study_pairs(spark: SparkSession, sf_dir: str, names: list[str]) -> list[tuple[str, TablePair]]:
-    pair, how = orders_pair(spark, sf_dir), settings()
-    made = [(name, prepare(pair, name, how)) for name in names]
-    return [(name, p.map(lambda df: df.select(*FEATURES, TARGET))) for name, p in made]
+    """Prepared pairs, written to a store and read back, as generation and training are two programs."""
+    root = scratch_folder(spark, "study")
+    steps = {name: STEPS[name] for name in names}
+    write_matrix(orders_pair(spark, sf_dir), settings(), root, steps)
+    return [(name, TablePair(*(read_scenario(spark, root, name, split).select(*FEATURES, TARGET)
+                               for split in ("train", "test")))) for name in names]
 
 
 @query("experiment_status")
