@@ -58,19 +58,21 @@ class Trainer(Estimator):
         super().__init__()
         self.epochs, self.batch, self.seed, self.workers = epochs, batch, seed, workers
 
-    def outputs(self, df: DataFrame) -> int:
+    def outputs(self, labels: int, highest: float) -> int:
         return 1
 
     def _fit(self, df: DataFrame) -> Network:
         spark = df.sparkSession
         ship_package(spark)
         rows = df.select(feature_array().cast("array<float>").alias("x"), F.col(LABEL).alias("y"))
-        first = rows.first()
-        if first is None:
+        classes = F.count_distinct("y") if self.task == CLASSIFICATION else F.lit(0)
+        found = rows.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("x")).alias("features"),
+                         F.max("y").alias("highest"), classes.alias("labels")).first()
+        if not found["rows"]:
             raise ValueError("the table is empty")
-        net = Architecture(len(first["x"]), self.outputs(df), self.task)
+        net = Architecture(found["features"], self.outputs(found["labels"], found["highest"]), self.task)
         workers = self.workers or max(1, min(spark.sparkContext.defaultParallelism,
-                                             math.ceil(rows.count() / WORKER_ROWS)))
+                                             math.ceil(found["rows"] / WORKER_ROWS)))
         data = settle(rows.repartition(workers))
         vector, size = net.initial(self.seed), net.trained_size()
         adam, history = Adam(size), []
@@ -121,11 +123,10 @@ class NetworkClassifier(Trainer):
 
     task = CLASSIFICATION
 
-    def outputs(self, df: DataFrame) -> int:
-        found = df.agg(F.count_distinct(LABEL).alias("n"), F.max(LABEL).alias("top")).first()
-        if found["top"] != found["n"] - 1:
+    def outputs(self, labels: int, highest: float) -> int:
+        if highest != labels - 1:
             raise ValueError("class labels must be 0, 1, ... without gaps")
-        return found["n"]
+        return labels
 
 
 class NetworkRegressor(Trainer):

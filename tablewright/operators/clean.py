@@ -34,7 +34,9 @@ def ignored_columns(task: str, comparing_models: bool = False) -> tuple[str, ...
 
 
 def drop_ignored(df: DataFrame, task: str, comparing_models: bool = False) -> DataFrame:
-    return df.drop(*ignored_columns(task, comparing_models))
+    """Leave the ignored columns out, by exact name: ``Id`` is one of them, a key named ``id`` is not."""
+    gone = set(ignored_columns(task, comparing_models))
+    return df.select(*(ref(c) for c in df.columns if c not in gone)) if gone & set(df.columns) else df
 
 
 def align_features(df: DataFrame, fitted: list[str], keep: list[str] = ()) -> DataFrame:

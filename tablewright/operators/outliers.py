@@ -14,7 +14,7 @@ from pyspark.sql import Window
 from tablewright.functions import divide, parse_number, ref, round_to
 from tablewright.operators.distribution import describe, moments
 from tablewright.schema import feature_types
-from tablewright.session import ship_package
+from tablewright.session import settle, ship_package
 
 TREES = 100          # fixed value: trees in a forest
 SAMPLE = 256         # fixed value: rows one tree is grown on
@@ -118,7 +118,8 @@ def score_rows(df: DataFrame, columns: list[str], forest: list[dict], fills: dic
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         trees = shared.value
         for batch in batches:
-            x = np.column_stack([s.to_numpy(dtype=float) for s in batch])
+            columns = (batch,) if isinstance(batch, pd.Series) else batch    # one column comes bare
+            x = np.column_stack([s.to_numpy(dtype=float) for s in columns])
             everyone = np.arange(len(x))
             total = np.zeros(len(x))
             for feature, threshold, left, right, length in trees:
@@ -158,7 +159,7 @@ def remove_outliers(df: DataFrame, threshold: float = 0.05, target: str | None =
     """The table without its ``threshold`` most anomalous share of rows."""
     if not 0 < threshold < 0.5:
         raise ValueError("threshold must lie between 0 and 0.5")
-    scored = outlier_scores(df, target, key, **forest).persist()
+    scored = settle(outlier_scores(df, target, key, **forest))
     cut = score_cuts(scored, [threshold])[threshold]
     return scored.filter(F.col(SCORE) <= cut).drop(SCORE)
 
@@ -166,7 +167,7 @@ def remove_outliers(df: DataFrame, threshold: float = 0.05, target: str | None =
 def sweep_outliers(df: DataFrame, thresholds: list[float], target: str | None = None,
                    key: list[str] | None = None, **forest) -> dict[float, DataFrame]:
     """One table per threshold from a single scoring."""
-    scored = outlier_scores(df, target, key, **forest).persist()
+    scored = settle(outlier_scores(df, target, key, **forest))
     cuts = score_cuts(scored, thresholds)
     return {t: scored.filter(F.col(SCORE) <= cuts[t]).drop(SCORE) for t in thresholds}
 
@@ -174,7 +175,7 @@ def sweep_outliers(df: DataFrame, thresholds: list[float], target: str | None =
 def outlier_report(df: DataFrame, thresholds: list[float], target: str | None = None,
                    key: list[str] | None = None, **forest) -> DataFrame:
     """(threshold, removed_rows, total_rows, percent_removed) for each threshold."""
-    scored = outlier_scores(df, target, key, **forest).persist()
+    scored = settle(outlier_scores(df, target, key, **forest))
     cuts = score_cuts(scored, thresholds)
     counted = scored.agg(F.count(F.lit(1)).alias("total_rows"),
                          *(F.count_if(F.col(SCORE) > cuts[t]).alias(f"removed_{i}")

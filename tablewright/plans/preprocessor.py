@@ -13,7 +13,7 @@ from tablewright.operators.distribution import describe, moments
 from tablewright.operators.encode import LabelCodes, apply_labels, fit_labels
 from tablewright.operators.impute import describe_for_fills, fill_missing, fit_median_mode
 from tablewright.operators.scale import Scale, apply_scales, scale_of
-from tablewright.schema import (CLASSIFICATION, as_supported, check_task, is_number, require_rows_and_features,
+from tablewright.schema import (CLASSIFICATION, as_supported, check_task, is_number, require_features, require_rows,
                                 require_target)
 from tablewright.sources.store import read_state, write_state
 
@@ -123,7 +123,7 @@ class TablePreprocessor:
         check_task(self.task)
 
     def fit(self, df: DataFrame, target: str) -> FittedPreprocessor:
-        require_rows_and_features(df.drop(*self.keep), target)
+        require_features(df.drop(*self.keep), target)
         data = plain_booleans(as_supported(df.drop(*self.keep)))
         flags = {f.name for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)}
         features = [c for c in data.columns if c != target]
@@ -131,7 +131,9 @@ class TablePreprocessor:
         text = [c for c in features if not is_number(types[c])]
         classes = self.task == CLASSIFICATION
         coded = text if classes or self.encode_strings else []
-        stats = describe_for_fills(data, features, values=coded)
+        text_target = classes and not is_number(types[target])
+        stats = describe_for_fills(data, [*features, target], values=[*coded, *([target] if text_target else [])])
+        require_rows(stats[target]["rows"])
         fills = fit_median_mode(data, features, self.numeric_rule, stats)
         if self.numeric_rule == "any":
             fills.update(self.fill_flags(df, [c for c in features if c in flags and stats[c]["present"]]))
@@ -141,10 +143,10 @@ class TablePreprocessor:
                 for c in coded if stats[c]["present"] < stats[c]["rows"]}
         fitted = FittedPreprocessor(self.task, target, self.unseen, features, fills,
                                     fit_labels(data, coded, stats, gaps), {}, keep=list(self.keep))
-        if classes and not is_number(types[target]):
-            fitted.target_labels = fit_labels(data, [target])
+        if text_target:
+            fitted.target_labels = fit_labels(data, [target], stats)
         elif not classes and not self.fill_new_target:
-            middle = describe(data, [target], quantiles={target: [0.5]})[target]["quantiles"][0]
+            middle = stats[target]["quantiles"][0]
             fitted.target_fill = 0.0 if middle is None else float(middle)
         if not classes:
             fitted.fills.update(self.residual_fills(fitted.fill(df), [c for c in features if c not in coded]))

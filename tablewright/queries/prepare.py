@@ -13,7 +13,7 @@ from tablewright.operators.impute import (fill_missing, fit_fills, fit_median_mo
 from tablewright.queries.registry import query
 from tablewright.queries.tables import (FEATURES, KEY, NUMBERS, ORDERS, PARTS, RAW_ORDERS, TARGET, TEXTS, TRAIN,
                                         mode_sql, orders_role, orders_split, parts_role, raw_orders, table)
-from tablewright.schema import feature_types, require_rows_and_features, split_target
+from tablewright.schema import feature_types, split_target, validate
 from tablewright.session import scratch_folder
 from tablewright.sources.pairs import TablePair, discover_pairs, experiment_name, read_pair, write_csv, write_pair
 from tablewright.sources.store import read_scenarios, scenario_counts, write_scenario
@@ -118,7 +118,7 @@ def validate_inputs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def verdict(df: DataFrame, target: str) -> str:
         try:
-            require_rows_and_features(df, target)
+            validate(df, target)
         except ValueError as error:
             return str(error)
         return "ok"

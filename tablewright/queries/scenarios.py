@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.functions import round_to
+from tablewright.models.zoo import CLASSIFIERS
 from tablewright.operators.iterative import impute_iterative
 from tablewright.operators.outliers import outlier_report, remove_outliers, sweep_outliers
 from tablewright.operators.results import best_scenario
-from tablewright.plans.automl import automl_prepare
+from tablewright.plans.automl import analyze, automl_prepare
 from tablewright.plans.experiment import Experiment
 from tablewright.plans.scenario import (STEPS, SWEEP, Fitting, ScenarioSettings, composite, has_gaps, prepare,
                                         scenario_matrix, scenario_names, tagged, write_matrix)
@@ -138,6 +139,15 @@ def study_pairs(spark: SparkSession, sf_dir: str, names: list[str]) -> list[tupl
                                for split in ("train", "test")))) for name in names]
 
 
+@query("automl_analysis")
+def automl_analysis_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later orders labelled by the best of three models compared on the earlier ones."""
+    train, test = orders_split(spark, sf_dir)
+    makers = {name: CLASSIFIERS[name] for name in ("ridge", "dt", "dummy")}
+    _, best, _, _, said = analyze(train, test, "classification", TARGET, [KEY], makers, folds=2, rounds=1)
+    return said.withColumn("model", F.lit(best))
+
+
 @query("experiment_status")
 def experiment_status_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One variant runs, one lacks its target: the second fails alone."""

@@ -61,10 +61,19 @@ def require_target(df: DataFrame, target: str) -> None:
         raise ValueError(f"target column {target!r} is not in the table")
 
 
-def require_rows_and_features(df: DataFrame, target: str) -> None:
-    """A table to fit on needs rows, its target, and at least one other column."""
+def require_features(df: DataFrame, target: str) -> None:
+    """A table to fit on needs its target and at least one other column."""
     require_target(df, target)
     if len(df.columns) < 2:
         raise ValueError("the table has no feature column")
-    if df.select(F.lit(1)).isEmpty():
+
+
+def require_rows(rows: int) -> None:
+    if not rows:
         raise ValueError("the table is empty")
+
+
+def validate(df: DataFrame, target: str) -> None:
+    """All checks of a table to fit on."""
+    require_features(df, target)
+    require_rows(0 if df.select(F.lit(1)).isEmpty() else 1)
