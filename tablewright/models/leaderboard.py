@@ -16,7 +16,7 @@ from tablewright.models.features import LABEL, PREDICTION, SCORES, class_scores
 from tablewright.models.zoo import Maker, models_for
 from tablewright.operators.metrics import class_auc, classification_metrics, regression_metrics
 from tablewright.schema import CLASSIFICATION, check_task
-from tablewright.session import settle
+from tablewright.session import settle, settle_for_training
 
 FOLDS = 10     # fixed value: folds of the comparison
 CLASS_COLUMNS = ("accuracy", "auc", "recall", "precision", "f1", "kappa", "mcc")
@@ -54,7 +54,7 @@ def compare_models(data: DataFrame, task: str, key: list[str], models: dict[str,
     """
     makers = models if models is not None else models_for(task)
     classification = check_task(task) == CLASSIFICATION
-    rows = settle(data.withColumn("fold", fold_of(key, folds)))
+    rows = settle_for_training(data.withColumn("fold", fold_of(key, folds)))
     found = rows.groupBy("fold").agg(F.max(LABEL).alias("top")).collect()
     classes = int(max(r["top"] for r in found)) + 1 if classification else 0
     present = sorted(r["fold"] for r in found)

@@ -16,7 +16,7 @@ from tablewright.functions import ref
 from tablewright.operators.encode import LabelCodes, apply_labels, fit_labels
 from tablewright.operators.impute import fill_missing, fit_fills
 from tablewright.schema import feature_types
-from tablewright.session import settle
+from tablewright.session import settle, settle_for_training
 
 ROUNDS = 20     # fixed value: rounds of the study's imputer
 SEED = 123
@@ -42,7 +42,7 @@ def impute_iterative(df: DataFrame, target: str | None = None, keep: list[str] =
         *(ref(c).alias(place[c]) if c in place else ref(c) for c in df.columns),
         *(F.col(f"_gap{place[c]}") for c in order)),
         LabelCodes({place[c]: codes.listed[c] for c in text}, {}, {place[c]: codes.sizes[c] for c in text}), "row_zero")
-    state = settle(coded.withColumns({place[c]: F.col(place[c]).cast("double") for c in columns}))
+    state = settle_for_training(coded.withColumns({place[c]: F.col(place[c]).cast("double") for c in columns}))
     for number in range(rounds):
         for name in order:
             inputs = [place[c] for c in columns if c != name]

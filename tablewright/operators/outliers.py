@@ -14,7 +14,7 @@ from pyspark.sql import Window
 from tablewright.functions import divide, parse_number, ref, round_to
 from tablewright.operators.distribution import describe, moments
 from tablewright.schema import feature_types
-from tablewright.session import settle, ship_package
+from tablewright.session import settle, ship_package, spread
 
 TREES = 100          # fixed value: trees in a forest
 SAMPLE = 256         # fixed value: rows one tree is grown on
@@ -135,7 +135,7 @@ def score_rows(df: DataFrame, columns: list[str], forest: list[dict], fills: dic
                 total += length[at]
             yield pd.Series(np.power(2.0, -total / len(trees) / usual))
 
-    return df.withColumn(SCORE, score(*(F.coalesce(parse_number(ref(c)), F.lit(fills[c])) for c in columns)))
+    return spread(df).withColumn(SCORE, score(*(F.coalesce(parse_number(ref(c)), F.lit(fills[c])) for c in columns)))
 
 
 def outlier_scores(df: DataFrame, target: str | None = None, key: list[str] | None = None,

@@ -17,7 +17,7 @@ from tablewright.operators.impute import fill_missing, fit_fills
 from tablewright.operators.iterative import ROUNDS, impute_iterative
 from tablewright.operators.outliers import remove_outliers
 from tablewright.schema import CLASSIFICATION, check_task, feature_types, is_number, require_target
-from tablewright.session import settle
+from tablewright.session import settle, settle_for_training
 
 SHARE = 0.02            # fixed value: outlier share of the comparison
 TRAIN_SHARE = 70        # percent of the rows that models may train on
@@ -59,7 +59,7 @@ def automl_prepare(df: DataFrame, task: str, target: str, key: list[str], rounds
     labels = fit_labels(full, text)
     kind = table.schema[target].dataType
     target_labels = fit_labels(full, [target]) if task == CLASSIFICATION and not is_number(kind) else None
-    rows = [settle(assemble(encoded(part, labels, target_labels), numeric + text, target, key))
+    rows = [settle_for_training(assemble(encoded(part, labels, target_labels), numeric + text, target, key))
             for part in (train, holdout)]
     classes = int(rows[0].agg(F.max(LABEL)).first()[0]) + 1 if task == CLASSIFICATION else 0
     return Prepared(rows[0], rows[1], numeric + text, labels, target_labels, fills, classes)

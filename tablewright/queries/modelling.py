@@ -20,7 +20,7 @@ from tablewright.operators.metrics import classification_metrics, regression_met
 from tablewright.operators.scale import normalize
 from tablewright.queries.registry import query
 from tablewright.queries.tables import table
-from tablewright.session import scratch_folder, settle
+from tablewright.session import scratch_folder, settle_for_training
 
 TEXT_FEATURES = ["n_chars", "words", "lines", "digits", "capitals", "lang_code", "source_code"]
 LINE_FEATURES = ["l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_linenumber"]
@@ -73,7 +73,7 @@ def assessed(said: DataFrame, name: str, classification: bool) -> DataFrame:
 
 def classifier_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        data = settle(documents(spark, sf_dir))
+        data = settle_for_training(documents(spark, sf_dir))
         model = CLASSIFIERS[name](2, "doc_id").fit(data)
         return assessed(model.transform(data), name, True)
 
@@ -82,7 +82,7 @@ def classifier_query(name: str):
 
 def regressor_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        data = settle(lines(spark, sf_dir))
+        data = settle_for_training(lines(spark, sf_dir))
         model = REGRESSORS[name](0, "line_id").fit(data)
         return assessed(model.transform(data), name, False)
 
@@ -135,7 +135,7 @@ def least_squares_sql() -> str:
 def reg_linear_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least squares of the charge on price and discount."""
     rows = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_discount", (charge() / 1000).alias("charge"))
-    data = settle(assemble(rows, ["l_extendedprice", "l_discount"], "charge"))
+    data = settle_for_training(assemble(rows, ["l_extendedprice", "l_discount"], "charge"))
     found = assessed(REGRESSORS["linear"](0, None).fit(data).transform(data), "linear", False)
     return found.select("model", "rows", round_to(ref("mse"), 6).alias("mse"), round_to(ref("r2"), 6).alias("r2"))
 
@@ -238,7 +238,7 @@ def leaderboard_regression_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("predict_labels")
 def predict_labels_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the predicted quality and its score."""
-    data = settle(documents(spark, sf_dir))
+    data = settle_for_training(documents(spark, sf_dir))
     model = CLASSIFIERS["lr"](2, None).fit(data)
     return label_predictions(model, data, "classification", 2, ["doc_id"])
 
@@ -247,7 +247,7 @@ EPOCHS, BATCH = 6, 32
 
 
 def network_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settle(documents(spark, sf_dir))
+    return settle_for_training(documents(spark, sf_dir))
 
 
 @query("mlp_architecture", "SELECT 'documents' AS name, '[64, 32, 16]' AS hidden, 7 AS inputs, count(*) AS rows FROM "
@@ -289,7 +289,7 @@ def mlp_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mlp_regressor")
 def mlp_regressor_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = settle(lines(spark, sf_dir))
+    data = settle_for_training(lines(spark, sf_dir))
     return assessed(NetworkRegressor(3, BATCH).fit(data).transform(data), "network", False)
 
 

@@ -11,6 +11,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+SMALL_SHARE = 64 << 20     # bytes per core below which a table counts as small
+FEW_ROWS = 1_000           # rows per core not worth spreading
+
+
 def build_session(app: str = "tablewright", cpus: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster use the session you are given."""
     settings = {
@@ -48,6 +52,25 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is small beside the cluster over all its cores; any other keeps its partitions.
+
+    Worth it ahead of Python functions and of training, where one small file would mean one busy core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_SHARE else df
+
+
+def settle_for_training(df: DataFrame) -> DataFrame:
+    """``settle``, and over all cores when the rows came out in fewer partitions than that."""
+    rows = settle(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores or rows.count() < cores * FEW_ROWS:
+        return rows
+    return settle(rows.repartition(cores))
+
+
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name beside the checkpoints, reachable from every executor."""
     return os.path.join(checkpoint_root(spark), f"{purpose}-{uuid.uuid4().hex}")
