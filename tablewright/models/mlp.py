@@ -21,7 +21,7 @@ from tablewright.models.features import LABEL, PREDICTION, SCORES, argmax, featu
 from tablewright.models.network import (RATE_FACTOR, RATE_STEP, LEARNING_RATE, Adam, Architecture, batch_edges,
                                         gradient, predict, softmax)
 from tablewright.schema import CLASSIFICATION, REGRESSION
-from tablewright.session import settle, ship_package
+from tablewright.session import settle_partitions, ship_package
 
 EPOCHS, BATCH, SEED = 100, 32, 123       # fixed values: the study's defaults and seed
 CHUNK_ROWS = 10_000                      # rows a task shuffles and trains on at a time
@@ -73,7 +73,7 @@ class Trainer(Estimator):
         net = Architecture(found["features"], self.outputs(found["labels"], found["highest"]), self.task)
         workers = self.workers or max(1, min(spark.sparkContext.defaultParallelism,
                                              math.ceil(found["rows"] / WORKER_ROWS)))
-        data = settle(rows.repartition(workers))
+        data = settle_partitions(rows.repartition(workers))
         vector, size = net.initial(self.seed), net.trained_size()
         adam, history = Adam(size), []
         for epoch in range(self.epochs):

@@ -17,7 +17,9 @@ from tablewright.functions import double_array, parse_number, ref
 from tablewright.schema import is_number
 from tablewright.session import settle
 
-VALUE_BUDGET = 1_000_000      # distinct values, over all columns, that one aggregation buffer may hold
+VALUE_BUDGET = 200_000        # distinct values, over all columns, that one aggregation buffer may hold
+SKETCH_ACCURACY = 10_000      # an approximate quantile is off by at most one in this many ranks
+FEW_QUANTILES = 8             # most probabilities per column that are worth brackets of their own
 LISTED_VALUES = 50_000        # longest value list handed to the driver
 ONE_TASK_ROWS = 1_000_000     # longest ordered run given to a single window task
 RANK_BUCKETS = 1_000          # pieces a column's ranks are cut into when picking quantiles
@@ -67,11 +69,12 @@ def moments(df: DataFrame, columns: list[str], distinct: list[str] = ()) -> dict
     wanted = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(columns):
         cell = ref(name)
-        wanted.append(F.count(cell).alias(f"{i}_present"))
+        number = is_number(types[name])
+        x = parse_number(cell, types[name]) if number else cell
+        wanted.append(F.count(x).alias(f"{i}_present"))
         if name in distinct:
             wanted.append(F.approx_count_distinct(cell).alias(f"{i}_distinct"))
-        if is_number(types[name]):
-            x = parse_number(cell, types[name])
+        if number:
             wanted += [F.avg(x).alias(f"{i}_mean"), F.stddev_pop(x).alias(f"{i}_sd"),
                        F.min(x).alias(f"{i}_low"), F.max(x).alias(f"{i}_high")]
         elif isinstance(types[name], T.StringType):
@@ -135,7 +138,8 @@ def describe(df: DataFrame, columns: list[str], quantiles: dict[str, list[float]
 
     for probabilities in {tuple(p) for c, p in quantiles.items() if c not in narrow}:
         wide = [c for c, p in quantiles.items() if tuple(p) == probabilities and c not in narrow]
-        for name, found in wide_quantiles(df, wide, list(probabilities)).items():
+        numbers = {c: stats[c].get("parsed", stats[c]["present"]) for c in wide}
+        for name, found in wide_quantiles(df, wide, list(probabilities), numbers).items():
             stats[name]["quantiles"] = found
     wide = [c for c in modes if c not in narrow]
     for name, found in wide_modes(df, wide).items():
@@ -144,45 +148,111 @@ def describe(df: DataFrame, columns: list[str], quantiles: dict[str, list[float]
     return stats
 
 
-def wide_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list]:
-    """Exact interpolated quantiles of columns with many distinct values.
+def quantile_places(size: int, probabilities: list[float]) -> set[int]:
+    """The ranks, from 0, whose values the interpolated quantiles need."""
+    return {rank for p in probabilities for rank in (math.floor(p * (size - 1)), math.ceil(p * (size - 1)))}
 
-    Value counts get a distributed running total; the values at the wanted ranks are then picked with
-    an equi-join on rank buckets against the short list of wanted ranks.
+
+def interpolate(size: int, p: float, at: dict[int, float]) -> float:
+    place = p * (size - 1)
+    low, high = math.floor(place), math.ceil(place)
+    if low == high or at[low] == at[high]:
+        return at[low]
+    return (high - place) * at[low] + (place - low) * at[high]
+
+
+def pick_ranks(counts: DataFrame, ranks: dict[str, tuple[int, set[int]]], one_task: bool = False) -> dict[str, dict]:
+    """The values at wanted ranks: {column: {rank: value}} from (column, value, n) counts.
+
+    ``ranks`` gives each column's size and wanted ranks. Counts get a running total, which says the
+    ranks each value covers; an equi-join on rank buckets with the short list of wanted ranks picks
+    the values.
     """
-    if not columns:
-        return {}
-    spark = df.sparkSession
-    spread = settle(running_total(value_counts(df, columns, "double"), ["column"], ["value"], F.col("n"), "before"))
-    sizes = {r["column"]: r["n"] for r in spread.groupBy("column").agg(F.sum("n").alias("n")).collect()}
-    ranks = []
-    for name, size in sizes.items():
-        width = max(1, math.ceil(size / RANK_BUCKETS))
-        for p in probabilities:
-            place = p * (size - 1)
-            for rank in {math.floor(place), math.ceil(place)}:
-                ranks.append((name, width, rank // width, rank))
-    if not ranks:
-        return {c: [None] * len(probabilities) for c in columns}
-    wanted = spark.createDataFrame(sorted(set(ranks)), "column string, width long, bucket long, rank long")
-    widths = spark.createDataFrame(sorted({(r[0], r[1]) for r in ranks}), "column string, width long")
+    rows = [(name, max(1, math.ceil(size / RANK_BUCKETS)), rank) for name, (size, some) in ranks.items() for rank in some]
+    found: dict[str, dict] = {name: {} for name in ranks}
+    if not rows:
+        return found
+    spark = counts.sparkSession
+    wanted = spark.createDataFrame(sorted((n, r // w, r) for n, w, r in rows), "column string, bucket long, rank long")
+    widths = spark.createDataFrame(sorted({(n, w) for n, w, _ in rows}), "column string, width long")
+    spread = running_total(counts, ["column"], ["value"], F.col("n"), "before", one_task)
     spans = spread.join(F.broadcast(widths), "column").withColumn(
         "bucket", F.explode(F.sequence(F.floor(F.col("before") / F.col("width")),
                                        F.floor((F.col("before") + F.col("n") - 1) / F.col("width")))))
-    hits = (spans.join(F.broadcast(wanted.drop("width")), ["column", "bucket"])
+    hits = (spans.join(F.broadcast(wanted), ["column", "bucket"])
             .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
-            .select("column", "rank", "value").distinct().collect())
-    at = {(h["column"], h["rank"]): h["value"] for h in hits}
-
-    def interpolate(name: str, p: float) -> float:
-        place = p * (sizes[name] - 1)
-        low, high = math.floor(place), math.ceil(place)
-        if low == high or at[name, low] == at[name, high]:
-            return at[name, low]
-        return (high - place) * at[name, low] + (place - low) * at[name, high]
-
-    return {c: [interpolate(c, p) for p in probabilities] if c in sizes else [None] * len(probabilities)
-            for c in columns}
+            .select("column", "rank", "value").distinct())
+    for hit in hits.collect():
+        found[hit["column"]][hit["rank"]] = hit["value"]
+    return found
+
+
+def bracketed_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
+                        sizes: dict[str, int]) -> dict[str, list]:
+    """Exact quantiles at a few probabilities: approximate ones give a bracket, only its rows are ranked.
+
+    Two passes with small partial results bound each quantile and count what lies below; the rows
+    inside the brackets, a few ten-thousandths of the table, then go through ``pick_ranks``. A column
+    whose ranks should fall outside their bracket is left out of the answer.
+    """
+    values = {c: parse_number(ref(c)) for c in columns}
+    reach = 2.0 / SKETCH_ACCURACY
+    edges = [min(1.0, max(0.0, p + side)) for p in probabilities for side in (-reach, reach)]
+    row = df.agg(*(x for i, c in enumerate(columns) for x in (
+        F.percentile_approx(values[c], edges, SKETCH_ACCURACY).alias(f"{i}_edges"),
+        F.min(values[c]).alias(f"{i}_low"), F.max(values[c]).alias(f"{i}_high")))).first()
+    brackets = {}
+    for i, name in enumerate(columns):
+        for j, p in enumerate(probabilities):
+            low, high = row[f"{i}_edges"][2 * j:2 * j + 2]
+            brackets[name, j] = (row[f"{i}_low"] if p <= reach else low, row[f"{i}_high"] if p >= 1 - reach else high)
+    keys = list(brackets)
+    counted = df.agg(*(x for k, (name, j) in enumerate(keys) for x in (
+        F.count_if(values[name] < brackets[name, j][0]).alias(f"b{k}"),
+        F.count_if(values[name].between(*brackets[name, j])).alias(f"i{k}")))).first()
+    ranks, below, inside = {}, {}, 0
+    for k, (name, j) in enumerate(keys):
+        first, count = counted[f"b{k}"], counted[f"i{k}"]
+        places = quantile_places(sizes[name], [probabilities[j]])
+        if min(places) < first or max(places) >= first + count:
+            columns = [c for c in columns if c != name]
+            continue
+        label = f"{k}"
+        ranks[label], below[name, j] = (count, {r - first for r in places}), first
+        inside += count
+    pieces = F.array(*(F.when(values[name].between(*brackets[name, j]),
+                              F.struct(F.lit(f"{k}").alias("column"), values[name].alias("value")))
+                       for k, (name, j) in enumerate(keys) if f"{k}" in ranks))
+    rows = df.select(F.inline(F.filter(pieces, lambda s: s.isNotNull())))
+    counts = rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    found = pick_ranks(counts, ranks, one_task=inside <= ONE_TASK_ROWS)
+    answer = {}
+    for name in columns:
+        answer[name] = []
+        for j, p in enumerate(probabilities):
+            at = {r + below[name, j]: v for r, v in found[str(keys.index((name, j)))].items()}
+            answer[name].append(interpolate(sizes[name], p, at))
+    return answer
+
+
+def wide_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
+                   sizes: dict[str, int] | None = None) -> dict[str, list]:
+    """Exact interpolated quantiles of columns with many distinct values."""
+    if not columns:
+        return {}
+    if sizes is None:
+        row = df.agg(*(F.count(parse_number(ref(c))).alias(f"{i}") for i, c in enumerate(columns))).first()
+        sizes = {c: row[f"{i}"] for i, c in enumerate(columns)}
+    answer = {c: [None] * len(probabilities) for c in columns if not sizes[c]}
+    full = [c for c in columns if sizes[c]]
+    if full and len(probabilities) <= FEW_QUANTILES:
+        answer.update(bracketed_quantiles(df, full, probabilities, sizes))
+        full = [c for c in full if c not in answer]
+    if full:
+        ranks = {c: (sizes[c], quantile_places(sizes[c], probabilities)) for c in full}
+        found = pick_ranks(value_counts(df, full, "double"), ranks)
+        answer.update({c: [interpolate(sizes[c], p, found[c]) for p in probabilities] for c in full})
+    return answer
 
 
 def wide_modes(df: DataFrame, columns: list[str]) -> dict[str, object]:

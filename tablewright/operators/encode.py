@@ -43,7 +43,7 @@ def fit_labels(df: DataFrame, columns: list[str], stats: dict[str, dict] | None
             source = df.select(ref(name).cast("string").alias(name))
             if extra is not None:
                 source = source.select(F.coalesce(ref(name), F.lit(extra)).alias(name))
-            table = settle(value_codes(source, name, stats[name]["distinct"]))
+            table = settle(value_codes(source, name, stats[name].get("distinct")))
             codes.tabled[name], codes.sizes[name] = table, table.count()
         else:
             known = set(listed or ()) | ({extra} if extra is not None else set())

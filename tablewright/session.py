@@ -47,7 +47,18 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once and read it back, which survives executor loss."""
+    """Write ``df`` as a Parquet table beside the checkpoints and read it back.
+
+    It survives executor loss, later passes read only their columns, and its size is known to Spark.
+    """
+    spark = df.sparkSession
+    path = scratch_folder(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settle_partitions(df: DataFrame) -> DataFrame:
+    """A checkpoint that keeps the partitions as they are, for work that is defined by partition."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -63,10 +74,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def settle_for_training(df: DataFrame) -> DataFrame:
-    """``settle``, and over all cores when the rows came out in fewer partitions than that."""
+    """``settle``, and over all cores when the rows came out in fewer files than that."""
     rows = settle(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= cores or rows.count() < cores * FEW_ROWS:
+    if len(rows.inputFiles()) >= cores or rows.count() < cores * FEW_ROWS:
         return rows
     return settle(rows.repartition(cores))
 

@@ -27,8 +27,22 @@ def skewed(spark):
 
 def test_wide_quantiles_match_numpy(skewed):
     values = [r["x"] for r in skewed.collect() if r["x"] is not None]
-    got = wide_quantiles(skewed, ["x"], PROBABILITIES)["x"]
-    assert got == pytest.approx(list(np.quantile(values, PROBABILITIES)), abs=1e-9)
+    for probabilities in (PROBABILITIES, [i / 50 for i in range(51)]):      # with brackets, and without
+        got = wide_quantiles(skewed, ["x"], probabilities)["x"]
+        assert got == pytest.approx(list(np.quantile(values, probabilities)), abs=1e-9)
+
+
+def test_a_missed_bracket_falls_back_to_all_ranks(skewed, monkeypatch):
+    values = [r["x"] for r in skewed.collect() if r["x"] is not None]
+    monkeypatch.setattr(distribution, "bracketed_quantiles", lambda *args: {})
+    assert wide_quantiles(skewed, ["x"], [0.3])["x"] == pytest.approx([np.quantile(values, 0.3)])
+
+
+def test_brackets_hold_over_many_ranks(spark):
+    df = spark.range(300_000).select((F.xxhash64("id") / 1e12).alias("x"))
+    values = np.array([r["x"] for r in df.collect()])
+    got = distribution.bracketed_quantiles(df, ["x"], [0.01, 0.5, 0.975], {"x": 300_000})["x"]
+    assert got == pytest.approx(list(np.quantile(values, [0.01, 0.5, 0.975])), rel=1e-12)
 
 
 def test_describe_is_the_same_on_both_ways(skewed):
