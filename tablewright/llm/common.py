@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablewright.session import settle
 
 
-def null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    """The condition that every named column is equal, NULL to NULL as well."""
+def join_keys(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names, NULL to NULL as well; the names come out once, from the left."""
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}" if c in names else c) for c in right.columns])
     condition = F.lit(True)
     for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
+        condition = condition & F.col(name).eqNullSafe(F.col(f"_right_{name}"))
+    return left.join(renamed, condition, how).drop(*[f"_right_{name}" for name in names])
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
@@ -30,5 +31,5 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     runs = placed.groupBy("_part", *keys).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first"))
-    joined = placed.join(runs, null_safe(placed, runs, ["_part", *keys]))
-    return joined.select(*[placed[c] for c in df.columns], (placed["_at"] + runs["_base"]).alias(name))
+    joined = join_keys(placed, runs.drop("_rows", "_first"), ["_part", *keys])
+    return joined.select(*df.columns, (F.col("_at") + F.col("_base")).alias(name))

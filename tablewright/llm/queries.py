@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import fingerprint
+from tablewright.llm import fingerprint, mixing, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 24 and its slot there."""
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the mix of sources; targets are the square roots of the sources' sizes."""
+    return mixing.positions(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, with their likeness."""
