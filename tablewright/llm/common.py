@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablewright.session import settle
 
@@ -33,3 +33,28 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     runs = runs.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first"))
     joined = join_keys(placed, runs.drop("_rows", "_first"), ["_part", *keys])
     return joined.select(*df.columns, (F.col("_at") + F.col("_base")).alias(name))
+
+
+def slices(lengths, limit: int):
+    """Ranges (start, end) of neighbouring rows whose lengths sum to ``limit`` at most; a longer row stands alone."""
+    start = total = 0
+    for row, length in enumerate(lengths):
+        if total and total + length > limit:
+            yield start, row
+            start, total = row, 0
+        total += length
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def hash_share(column: str, share: float) -> Column:
+    """True for about ``share`` of the values of a column, always the same ones."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << 40)) < int(share * (1 << 40))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

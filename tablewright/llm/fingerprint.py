@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RUN_WORDS = 8
+RUN_WORDS = 3
 WORDS = 16                                  # longs in a fingerprint
 LANES, BITS = 4, 14                         # lanes in a long, bits in a lane; a guard bit follows each lane
 STEP = BITS + 1
