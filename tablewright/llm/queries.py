@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import fingerprint, language, mixing, quality, sharding
+from tablewright.llm import fingerprint, jaccard, language, mixing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +42,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+@query
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles overlap by 90 % or more."""
+    return jaccard.classes(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 @query
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mix of sources; targets are the square roots of the sources' sizes."""
