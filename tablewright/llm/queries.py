@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import fingerprint, jaccard, language, mixing, quality, sharding
+from tablewright.llm import fingerprint, jaccard, language, mixing, quality, sharding, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's token ids, read back from range-coded files."""
+    return tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 @query
 def op2_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 24 and its slot there."""
