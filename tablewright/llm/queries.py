@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import extraction, fingerprint, jaccard, language, mixing, quality, sharding, tokens, topk
+from tablewright.llm import extraction, fingerprint, jaccard, language, mixing, pieces, quality, sharding, tokens, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +50,14 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The piece ids of every document, and whether decoding them gave the text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select("doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"), "piece_ids", "round_trip")
+
+
 @query
 @sql("""
 WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e
