@@ -19,7 +19,7 @@ sequence as one. Two documents link when ``100 * intersection >= percent * union
 6. **Components** of the links by repeated minimum over neighbours with shortcuts, checkpointed.
 
 Documents without words, with NULL text or without an id link with nothing. Repeated rows of one id are one document if
-their texts have the same set, else each counts with the same id.
+their texts have the same set; rows of one id with different sets are linked by their id.
 """
 
 from __future__ import annotations
@@ -296,6 +296,7 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     place = F.struct(F.col("hub"), F.col("chunk"), F.lit(-1).alias("block")).alias("unit")
     units = dealt.select(place, "member").union(heads.select(place, F.col("hub").alias("member")))
     links = settle(compare(units.select("unit", "member", F.col("member").alias("label"), F.lit(True).alias("active")), sets, percent))
+    links = settle(links.union(one_id(members)))
     found = components(links)
 
     cut = dealt.filter("units > 1")
@@ -309,6 +310,26 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     return answer.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_id(members: DataFrame) -> DataFrame:
+    """(a, b) links between the classes of one doc_id, where its rows have different sets."""
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a <> last")
+    return members.join(several, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component of ``docs``, that of the smallest doc_id; columns as they were.
+
+    Rows without words or without an id belong to no group and stay.
+    """
+    found = settle(classes(docs, n, percent))
+    losers = found.filter("component_id <> doc_id").select("doc_id")
+    several = found.filter("component_id = doc_id AND n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    apart = losers.union(several).distinct().select(F.col("doc_id").alias("_id"))
+    copies = several.select(F.col("doc_id").alias("_id"))
+    alone = docs.join(apart, docs["doc_id"] == apart["_id"], "left_anti")
+    return alone.unionByName(docs.join(copies, docs["doc_id"] == copies["_id"], "left_semi").dropDuplicates(["doc_id"]))
+
+
 def hashed_sets(docs: DataFrame, n: int) -> DataFrame:
     """doc_id and the sorted shingle hashes as bytes."""
     def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -167,7 +167,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` in a language of the model, by a score of ``least`` or more; columns as they were."""
+    """The rows of ``docs`` in a language of the model, by a score of ``least`` or more; columns as they were.
+
+    A model that learnt no language rejects nothing.
+    """
+    if not model.languages:
+        return docs
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
