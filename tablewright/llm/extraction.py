@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -87,30 +88,39 @@ class Page:
         self.tags, self.parents, self.noise = ["body"], [-1], [False]
         self.events: list[tuple[int, str | None]] = []     # (element, text), None where a block begins or ends
         self.stack = [0]
+        self.in_article, self.open_tags = [False], Counter()
         self.read(source)
 
+    def add(self, tag: str, noise: bool) -> None:
+        above = self.stack[-1]
+        self.tags.append(tag)
+        self.parents.append(above)
+        self.noise.append(self.noise[above] or noise)
+        self.in_article.append(self.in_article[above] or tag in CONTAINERS)
+
     def open(self, tag: str, attributes: str) -> None:
         if tag in CLOSES_P:
             self.close("p", BLOCKS - {"p"})
         for other in CLOSED_BY.get(tag, ()):
             self.close(other, FENCES[tag])
         above = self.stack[-1]
-        in_article = any(self.tags[n] in CONTAINERS for n in self.stack)
-        self.tags.append(tag)
-        self.parents.append(above)
-        self.noise.append(self.noise[above] or is_noise(tag, attributes, in_article))
+        self.add(tag, is_noise(tag, attributes, self.in_article[above]))
         if tag in BLOCKS:
             self.events.append((above, None))
         if tag not in VOID:
             self.stack.append(len(self.tags) - 1)
+            self.open_tags[tag] += 1
 
     def close(self, tag: str, fences=frozenset()) -> None:
         """Close the innermost open ``tag`` and what it holds, unless a fence is open within."""
+        if not self.open_tags[tag]:
+            return
         for depth in range(len(self.stack) - 1, 0, -1):
             name = self.tags[self.stack[depth]]
             if name == tag:
                 if tag in BLOCKS or any(self.tags[n] in BLOCKS for n in self.stack[depth:]):
                     self.events.append((self.stack[-1], None))
+                self.open_tags.subtract(self.tags[n] for n in self.stack[depth:])
                 del self.stack[depth:]
                 return
             if name in fences:
@@ -139,9 +149,7 @@ class Page:
                 self.events.append((self.stack[-1], " "))
             elif tag == "br":
                 self.events.append((self.stack[-1], " "))
-                self.tags.append(tag)
-                self.parents.append(self.stack[-1])
-                self.noise.append(self.noise[self.stack[-1]])
+                self.add(tag, False)
             else:
                 self.open(tag, match[3])
 

@@ -9,7 +9,7 @@ sequence as one. Two documents link when ``100 * intersection >= percent * union
    ``SPARE`` parts at least then hold exactly the same shingles in both. A tile is the classes of a band with the same
    shingles in one part: every linked pair meets in a tile, by the pigeonhole principle, whatever its content, and
    other pairs hardly ever do, however common a single passage is. Empty parts make no tile, unless a class has so
-   many that it needs them. A class also joins the tiles of the band below when a smaller partner may lie there.
+   many that it needs them. A class also joins the tiles of the bands below in which a smaller partner may lie.
 3. **Stars.** Tiles are gathered around their hub, the member with the most company in all its tiles. A star of up to
    ``UNIT`` classes is one unit of work; a larger one is cut into units that each hold the hub.
 4. **Within a unit** bitmaps of hashed shingles are compared first: bits that only one side has bound the overlap from
@@ -85,7 +85,7 @@ def shingles(texts: list[bytes], n: int) -> list[np.ndarray]:
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
     places = np.searchsorted(starts, bounds)
     rolled = np.zeros(len(words), np.uint64)
-    for k in range(n):
+    for k in range(min(n, len(words))):
         rolled[:len(words) - k] = mixed(rolled[:len(words) - k] * np.uint64(MULTIPLIERS[1]) + words[k:])
     found = []
     for first, last in zip(places[:-1].tolist(), places[1:].tolist()):
@@ -125,12 +125,12 @@ def budget(band: int, percent: int) -> int:
 
 
 def tiles(found: np.ndarray, percent: int) -> np.ndarray:
-    """The tile keys of a set: its own band, and the band below if smaller partners may lie there."""
+    """The tile keys of a set: its own band, and those below in which smaller partners may lie."""
     size, keys = len(found), []
     own = band_of(size)
-    for band in (own - 1, own):
-        if band < 0 or band < own and percent * size > 100 * band_end(band):
-            continue
+    for band in range(own, -1, -1):
+        if band < own and percent * size > 100 * band_end(band):
+            break
         differing = budget(band, percent)
         if not differing:
             continue          # only equal sets link, and these are one class already
