@@ -141,7 +141,7 @@ def decoded(rows: DataFrame, model: str, ids: str = "piece_ids", text: str = "te
     """``rows`` with ``text`` decoded from a column of ids (NULL: empty); an older column of that name is replaced."""
     ship_package(rows.sparkSession)
     rows = rows.drop(text)
-    at = rows.columns.index(ids)
+    at, names = rows.columns.index(ids), [*rows.columns, text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
@@ -150,6 +150,6 @@ def decoded(rows: DataFrame, model: str, ids: str = "piece_ids", text: str = "te
             counts = lists.value_lengths().to_numpy(zero_copy_only=False)
             back = pieces.decode(lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(counts)])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([b.decode("utf-8", "replace") for b in back], pa.string())], names=[*rows.columns, text])
+                [*batch.columns, pa.array([b.decode("utf-8", "replace") for b in back], pa.string())], names=names)
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(text, StringType())]))

@@ -100,7 +100,7 @@ def paths(description: str) -> list[tuple[Step, ...]]:
     for line in description.splitlines():
         depth = len(line) - len(line.lstrip(" "))
         if line.lstrip().startswith("Tree"):
-            above, base = [], depth + 1
+            above, base = [], depth + 2
         match = re.match(r"(If|Else) \(feature (\d+) (<=|>) ([-\d.Ee]+)\)", line.strip())
         if match:
             above = above[:depth - base]
