@@ -45,7 +45,7 @@ def tree_samples(df: DataFrame, vector: Column, key: list[str] | None, rows: int
     their rows from the pool, so the full table is neither shuffled nor multiplied by the trees.
     """
     pool_rows = max(trees * sample * 2, 20_000)
-    label = F.xxhash64(F.lit(seed), *(ref(c) for c in key)) if key else F.hash(F.rand(seed)).cast("bigint")
+    label = F.xxhash64(F.lit(seed), *(ref(c) for c in key or df.columns))
     parts = 1 << 20
     pool = df.select(label.alias("_label"), vector.alias("x"))
     if rows > pool_rows:

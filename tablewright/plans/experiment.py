@@ -72,7 +72,7 @@ class Experiment:
             try:
                 score, history = self.run_one(spark, scenario, pair, model_folder)
             except Exception as error:  # noqa: BLE001  one bad variant must not end the others
-                status.append((scenario, "failed", f"{type(error).__name__}: {error}"[:500]))
+                status.append((scenario, "failed", f"{type(error).__name__}: {error}"))
                 continue
             scores.append(score)
             histories.append(history)

@@ -35,16 +35,36 @@ def read_pair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@query("read_pair_types", "SELECT CASE WHEN n_nationkey < 12 THEN 'train' ELSE 'test' END AS split, n_nationkey, CASE WHEN "
+                          "n_nationkey < 12 THEN n_nationkey::DOUBLE ELSE n_nationkey + 0.5 END AS wide, n_name || chr(10) || "
+                          "'\"of\", ' || n_regionkey AS said, CASE WHEN n_nationkey >= 12 THEN n_regionkey END AS late FROM nation")
+def read_pair_types_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test column is wider than train's, texts hold line breaks and quotes, train lacks a column's values."""
+    nation = table(spark, sf_dir, "nation")
+    early = F.col("n_nationkey") < 12
+    said = F.concat("n_name", F.lit('\n"of", '), F.col("n_regionkey").cast("string")).alias("said")
+    train = nation.filter(early).select("n_nationkey", F.col("n_nationkey").cast("bigint").alias("wide"), said,
+                                        F.lit(None).cast("string").alias("late"))
+    test = nation.filter(~early).select("n_nationkey", (F.col("n_nationkey") + 0.5).cast("double").alias("wide"), said,
+                                        F.col("n_regionkey").cast("string").alias("late"))
+    folder = scratch_folder(spark, "pair")
+    write_pair(TablePair(train, test), folder)
+    back = read_pair(spark, folder)
+    kinds = dict(nation.dtypes)
+    parts = [t.select(F.lit(s).alias("split"), F.col("n_nationkey").cast(kinds["n_nationkey"]).alias("n_nationkey"), "wide", "said",
+                      F.col("late").cast(kinds["n_regionkey"]).alias("late")) for s, t in (("train", back.train), ("test", back.test))]
+    return parts[0].unionByName(parts[1])
+
+
 @query("experiment_name", "SELECT event_id, event_type AS scenario FROM events")
 def experiment_name_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One folder per event type; each row's scenario is its file's parent folder."""
     folder = scratch_folder(spark, "names")
     events = table(spark, sf_dir, "events").select("event_id", "event_type")
-    kinds = [r[0] for r in events.select("event_type").distinct().collect()]
-    for kind in kinds:
-        write_csv(events.filter(F.col("event_type") == kind).select("event_id"), f"{folder}/{kind}")
-    files = spark.read.option("header", True).schema("event_id bigint").csv([f"{folder}/{k}" for k in kinds])
-    return files.select("event_id", experiment_name(F.col("_metadata.file_path")).alias("scenario"))
+    events.write.option("header", True).partitionBy("event_type").csv(folder)
+    files = spark.read.option("header", True).option("recursiveFileLookup", True).schema("event_id bigint").csv(folder)
+    named = experiment_name(F.col("_metadata.file_path"))
+    return files.select("event_id", F.regexp_replace(named, "^event_type=", "").alias("scenario"))
 
 
 @query("discover_pairs", "SELECT DISTINCT event_type AS scenario, true AS has_pair FROM events")

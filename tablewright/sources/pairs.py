@@ -22,29 +22,58 @@ class TablePair:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             sentinels: str | None = "?") -> DataFrame:
+             sentinels: str | None = "?", multi_line: bool = True) -> DataFrame:
     """A CSV file with a header row. Without a schema types are inferred with ``sentinels`` as NULL,
-    so that one ``?`` does not turn a numeric column into text."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", False)
+    so that one ``?`` does not turn a numeric column into text.
+
+    With ``multi_line`` a quoted text may hold line breaks; a file is then one task. Without it a single
+    huge file is split, and no text may hold a line break.
+    """
+    reader = (spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+              .option("nullValue", sentinels or ""))
     if schema is not None:
         return reader.option("enforceSchema", False).schema(schema).csv(path)
-    return reader.option("inferSchema", True).option("nullValue", sentinels or "").csv(path)
+    return reader.option("inferSchema", True).csv(path)
+
+
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
 
+def wider(one: T.DataType, two: T.DataType) -> T.DataType:
+    """A type that holds the values of both: the wider number, the finer time, else text."""
+    if one == two:
+        return one
+    names = {one.simpleString(), two.simpleString()}
+    if names <= set(WHOLE):
+        return max(one, two, key=lambda kind: WHOLE.index(kind.simpleString()))
+    if isinstance(one, T.NumericType) and isinstance(two, T.NumericType):
+        return T.DoubleType()
+    if names == {"date", "timestamp"}:
+        return T.TimestampType()
+    return T.StringType()
 
-def read_pair(spark: SparkSession, folder: str, schema: T.StructType | str | None = None) -> TablePair:
-    """``train.csv`` and ``test.csv`` of a folder; types are inferred once, on train.
 
-    Test columns are matched to the inferred ones by name, a column of its own stays text.
+def read_pair(spark: SparkSession, folder: str, schema: T.StructType | str | None = None,
+              sentinels: str | None = "?", multi_line: bool = True) -> TablePair:
+    """``train.csv`` and ``test.csv`` of a folder. Types are inferred on both; a column of both takes the
+    wider type, so no value of either is lost. A column without any value takes the other table's type.
     """
-    train = read_csv(spark, f"{folder}/train.csv", schema)
+    paths = f"{folder}/train.csv", f"{folder}/test.csv"
     if schema is not None:
-        return TablePair(train, read_csv(spark, f"{folder}/test.csv", schema))
-    known = {f.name: f.dataType for f in train.schema.fields}
-    names = spark.read.option("header", True).csv(f"{folder}/test.csv").columns
-    typed = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in names])
-    test = (spark.read.option("header", True).option("escape", '"').option("nullValue", "?")
-            .schema(typed).csv(f"{folder}/test.csv"))
-    return TablePair(train, test)
+        return TablePair(*(read_csv(spark, path, schema, sentinels, multi_line) for path in paths))
+    tables = [read_csv(spark, path, None, sentinels, multi_line) for path in paths]
+    known = [{f.name: f.dataType for f in table.schema.fields} for table in tables]
+    shared = {name: wider(known[0][name], known[1][name]) for name in known[0] if name in known[1]}
+    changed = [name for name, kind in shared.items() if kind != known[0][name] or kind != known[1][name]]
+    if changed:
+        valued = [table.agg(*(F.count(F.col(f"`{name}`")).alias(f"n{i}") for i, name in enumerate(changed))).first() for table in tables]
+        for i, name in enumerate(changed):
+            for own, other in ((0, 1), (1, 0)):
+                if not valued[own][f"n{i}"]:
+                    shared[name] = known[other][name]
+    typed = [T.StructType([T.StructField(f.name, shared.get(f.name, f.dataType)) for f in table.schema.fields]) for table in tables]
+    return TablePair(*(table if table.schema == kind else read_csv(spark, path, kind, sentinels, multi_line)
+                       for table, kind, path in zip(tables, typed, paths)))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
