@@ -16,7 +16,7 @@ from tablewright.plans.experiment import Experiment
 from tablewright.plans.scenario import (STEPS, SWEEP, Fitting, ScenarioSettings, composite, has_gaps, prepare,
                                         scenario_matrix, scenario_names, tagged, write_matrix)
 from tablewright.queries.registry import query
-from tablewright.queries.tables import (FEATURES, KEY, ORDERS, TARGET, mode_sql, orders_role,
+from tablewright.queries.tables import (FEATURES, KEY, ORDERS, TARGET, TRAIN, mode_sql, orders_role,
                                         orders_split, table)
 from tablewright.session import scratch_folder
 from tablewright.sources.pairs import TablePair
@@ -40,24 +40,48 @@ def keyed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("line_id"), *LINE_NUMBERS)
 
 
-@query("iforest_filter")
+def within(removed, total, share: float):
+    """Whether a removed count fits a cut at the score of rank (1 - share): some rows, and no more than lie above it."""
+    return (removed > 0) & (removed <= F.ceil(share * (total - 1)))
+
+
+@query("iforest_filter", "SELECT count(*) AS total_rows, count(*) AS unchanged_or_removed, true AS removed_within FROM events")
 def iforest_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events without the twentieth that the isolation forest finds most anomalous."""
+    """Events without the twentieth that the isolation forest finds most anomalous: what is left is unchanged."""
     events = table(spark, sf_dir, "events").select("event_id", "value", F.col("user_id").cast("double").alias("user"))
-    return remove_outliers(events, 0.05, key=["event_id"], trees=TREES)
+    kept = remove_outliers(events, 0.05, key=["event_id"], trees=TREES).select(
+        "event_id", F.struct("value", "user").alias("left"))
+    both = events.join(kept, "event_id", "left")
+    removed = F.col("left").isNull()
+    found = both.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(removed).alias("removed"),
+                     F.count_if(removed | (F.col("left") == F.struct("value", "user"))).alias("unchanged_or_removed"))
+    return found.select("total_rows", "unchanged_or_removed", within(F.col("removed"), F.col("total_rows"), 0.05).alias("removed_within"))
+
 
+SWEPT = " UNION ALL ".join(f"SELECT {share}::DOUBLE AS threshold, count(*) AS total_rows, true AS removed_within{{0}} FROM lineitem"
+                           for share in SWEEP)
 
-@query("iforest_sweep")
+
+@query("iforest_sweep", SWEPT.format(""))
 def iforest_sweep_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items left at each share of the sweep, from one scoring."""
-    tables = sweep_outliers(keyed_lines(spark, sf_dir), list(SWEEP), key=LINE_KEY, trees=TREES)
-    counts = [df.agg(F.lit(share).alias("threshold"), F.count(F.lit(1)).alias("rows")) for share, df in tables.items()]
+    rows = keyed_lines(spark, sf_dir)
+    total = F.lit(rows.count())
+    tables = sweep_outliers(rows, list(SWEEP), key=LINE_KEY, trees=TREES)
+    counts = [df.agg(F.lit(share).alias("threshold"), F.count(F.lit(1)).alias("left")).select(
+        "threshold", total.alias("total_rows"), within(total - F.col("left"), total, share).alias("removed_within"))
+        for share, df in tables.items()]
     return reduce(DataFrame.unionByName, counts)
 
 
-@query("outlier_report")
+@query("outlier_report", SWEPT.format(", true AS percent_fits"))
 def outlier_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outlier_report(keyed_lines(spark, sf_dir), list(SWEEP), key=LINE_KEY, trees=TREES)
+    """Total rows of each share; the removed ones fit the share, and their percentage follows from both."""
+    report = outlier_report(keyed_lines(spark, sf_dir), list(SWEEP), key=LINE_KEY, trees=TREES)
+    removed, total = F.col("removed_rows"), F.col("total_rows")
+    return report.select("threshold", "total_rows",
+                         ((removed > 0) & (removed <= F.ceil(F.col("threshold") * (total - 1)))).alias("removed_within"),
+                         (F.abs(100.0 * removed / total - F.col("percent_removed")) <= 0.005001).alias("percent_fits"))
 
 
 @query("scenario_gate", f"WITH {ORDERS}, g AS (SELECT count(*) FILTER (o_totalprice IS NULL OR o_orderpriority IS NULL OR "
@@ -76,25 +100,53 @@ def scenario_gate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "case_name string, scenario string, gaps boolean")
 
 
-@query("scenario_composite")
+@query("scenario_composite", f"WITH {TRAIN} SELECT count(*) AS total_rows, 0::BIGINT AS missing, 0::BIGINT AS foreign_classes, "
+                             "true AS removed_within FROM train")
 def scenario_composite_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Earlier orders after mean filling, outlier removal, z-score and quantile transform."""
+    """Earlier orders after mean filling, outlier removal, z-score and quantile transform: no gaps, their own classes."""
     train, _ = orders_split(spark, sf_dir)
-    return composite(Fitting(train, settings()))(train)
+    made = composite(Fitting(train, settings()))(train).select(
+        KEY, F.lit(True).alias("kept"), F.col(TARGET).alias("own"),
+        reduce(lambda a, b: a | b, (F.col(c).isNull() for c in FEATURES)).alias("gap"))
+    both = train.select(KEY, TARGET).join(made, KEY, "left")
+    found = both.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if("gap").alias("missing"),
+                     F.count_if(F.col("kept") & (F.col("own") != F.col(TARGET))).alias("foreign_classes"),
+                     F.count_if(F.col("kept").isNull()).alias("removed"))
+    return found.select("total_rows", "missing", "foreign_classes", within(F.col("removed"), F.col("total_rows"), 0.03).alias("removed_within"))
 
 
 FILLED = {"02_imputed_mean": "avg({0})", "04_imputed_median": "median({0})"}
 
 
-@query("scenario_matrix")
+WHOLE = {"02_imputed_mean": "coalesce(o_totalprice, (SELECT avg(o_totalprice) FROM train))",
+         "03_imputed_mode": f"coalesce(o_totalprice, {mode_sql('o_totalprice', 'train')})",
+         "04_imputed_median": "coalesce(o_totalprice, (SELECT median(o_totalprice) FROM train))"}
+FITTED = ["06_normalized", "07_transformed"]
+CUT = ["05_no_outliers_0.01", "05_no_outliers_0.03", "05_no_outliers_0.05", "08_normalized_transformed"]
+SPLIT = "CASE WHEN is_train THEN 'train' ELSE 'test' END AS split"
+
+
+@query("scenario_matrix", f"WITH {TRAIN} SELECT '01_without_NaN' AS scenario, {SPLIT}, count(*) AS rows, round(avg(o_totalprice), 4) + 0.0 "
+       "AS mean_price, 0::BIGINT AS missing, true AS no_more FROM t WHERE o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL "
+       "AND c_acctbal IS NOT NULL GROUP BY ALL "
+       + "".join(f"UNION ALL SELECT '{name}', {SPLIT}, count(*), round(avg({price}), 4) + 0.0, 0, true FROM t GROUP BY ALL "
+                 for name, price in WHOLE.items())
+       + "".join(f"UNION ALL SELECT '{name}', {SPLIT}, count(*), NULL, 0, true FROM t GROUP BY ALL " for name in FITTED)
+       + "".join(f"UNION ALL SELECT '{name}', {SPLIT}, NULL, NULL, 0, true FROM t GROUP BY ALL " for name in CUT))
 def scenario_matrix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and mean price of all ten variants of both splits."""
-    how = settings()
-    variants = scenario_matrix(orders_pair(spark, sf_dir), how)
-    everything = tagged(variants, [("o_totalprice", "double"), ("o_orderpriority", "string")])
-    return everything.groupBy("scenario", "split").agg(
+    """Rows, mean price and gaps of all ten variants of both splits; where outliers are cut, that no rows are gained."""
+    how, pair = settings(), orders_pair(spark, sf_dir)
+    everything = tagged(scenario_matrix(pair, how), [("o_totalprice", "double"), ("o_orderpriority", "string")])
+    found = everything.groupBy("scenario", "split").agg(
         F.count(F.lit(1)).alias("rows"), round_to(F.avg("o_totalprice"), 4).alias("mean_price"),
         F.count_if(F.col("o_totalprice").isNull() | F.col("o_orderpriority").isNull()).alias("missing"))
+    sizes = reduce(DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("whole")).withColumn("of", F.lit(name))
+                                           for name, df in (("train", pair.train), ("test", pair.test))))
+    cut = F.col("scenario").isin(CUT)
+    return found.join(F.broadcast(sizes), F.col("split") == F.col("of")).select(
+        "scenario", "split", F.when(~cut, F.col("rows")).alias("rows"),
+        F.when(~cut & ~F.col("scenario").isin(FITTED), F.col("mean_price")).alias("mean_price"), "missing",
+        ((F.col("rows") > 0) & (F.col("rows") <= F.col("whole"))).alias("no_more"))
 
 
 @query("scenario_matrix_filled", f"WITH {ORDERS}, train AS (SELECT * FROM t WHERE is_train), v AS ("
@@ -113,21 +165,35 @@ def scenario_matrix_filled_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), round_to(F.avg("o_totalprice"), 4).alias("mean_price"))
 
 
-@query("impute_iterative")
+@query("impute_iterative", f"WITH {ORDERS} SELECT o_orderkey, o_totalprice, o_orderpriority, c_acctbal, c_mktsegment, c_nationkey, "
+                           "o_orderstatus, true AS filled FROM t")
 def impute_iterative_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders with gaps predicted from the other columns, in two rounds."""
+    """All orders with gaps predicted from the other columns, in two rounds: known cells as they were, no gap left."""
     orders = orders_role(spark, sf_dir).drop("is_train")
-    return impute_iterative(orders, TARGET, [KEY], rounds=2, trees=5, depth=3)
+    made = impute_iterative(orders, TARGET, [KEY], rounds=2, trees=5, depth=3)
+    known = orders.select(F.col(KEY).alias("of"), *(F.col(c).isNotNull().alias(f"known_{c}") for c in FEATURES))
+    return made.join(known, F.col(KEY) == F.col("of")).select(
+        KEY, *(F.when(F.col(f"known_{c}"), F.col(c)).alias(c) for c in FEATURES), TARGET,
+        reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in FEATURES)).alias("filled"))
+
+
+CODED = f"(SELECT {TARGET}, (row_number() OVER (ORDER BY {TARGET}) - 1)::DOUBLE AS label FROM (SELECT DISTINCT {TARGET} FROM t)) k"
 
 
-@query("automl_prepare")
+@query("automl_prepare", f"WITH {ORDERS} SELECT label, count(*) AS rows, true AS split_fits FROM t JOIN {CODED} USING ({TARGET}) GROUP BY label")
 def automl_prepare_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and classes of the prepared training share and of the holdout."""
+    """Rows of each class, and that training share and holdout hold them but for the outliers cut from training."""
     orders = orders_role(spark, sf_dir).drop("is_train")
     ready = automl_prepare(orders, "classification", TARGET, [KEY], rounds=1, trees=TREES)
-    parts = [df.groupBy("label").agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("rows"))
-             for name, df in (("train", ready.train), ("holdout", ready.holdout))]
-    return parts[0].unionByName(parts[1])
+    everything = orders.join(ready.train.select(KEY, F.col("label").alias("trained")), KEY, "left").join(
+        ready.holdout.select(KEY, F.col("label").alias("held")), KEY, "left")
+    coded = everything.groupBy(TARGET).agg(
+        F.max(F.coalesce("trained", "held")).alias("label"), F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("trained").isNotNull() & F.col("held").isNotNull()).alias("twice"), F.count("trained").alias("trained"),
+        F.count("held").alias("held"))
+    kept = F.col("trained") + F.col("held")
+    return coded.select("label", "rows", ((F.col("twice") == 0) & (kept <= F.col("rows")) & (kept > 0.9 * F.col("rows"))
+                                          & (F.col("trained") > F.col("held"))).alias("split_fits"))
 
 
 def study_pairs(spark: SparkSession, sf_dir: str, names: list[str]) -> list[tuple[str, TablePair]]:
@@ -139,16 +205,19 @@ def study_pairs(spark: SparkSession, sf_dir: str, names: list[str]) -> list[tupl
                                for split in ("train", "test")))) for name in names]
 
 
-@query("automl_analysis")
+@query("automl_analysis", f"WITH {ORDERS} SELECT o_orderkey, label, true AS known_label, true AS known_model FROM t JOIN {CODED} USING ({TARGET}) "
+                          "WHERE NOT is_train")
 def automl_analysis_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later orders labelled by the best of three models compared on the earlier ones."""
     train, test = orders_split(spark, sf_dir)
     makers = {name: CLASSIFIERS[name] for name in ("ridge", "dt", "dummy")}
     _, best, _, _, said = analyze(train, test, "classification", TARGET, [KEY], makers, folds=2, rounds=1)
-    return said.withColumn("model", F.lit(best))
+    return said.select(KEY, "label", F.col("prediction_label").isin(0.0, 1.0, 2.0).alias("known_label"),
+                       F.lit(best).isin(list(makers)).alias("known_model"))
 
 
-@query("experiment_status")
+@query("experiment_status", "SELECT '02_imputed_mean' AS scenario, 'ok' AS status, NULL::VARCHAR AS error UNION ALL SELECT "
+                            "'without_target', 'failed', 'ValueError: target column ''o_orderstatus'' is not in train and test'")
 def experiment_status_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One variant runs, one lacks its target: the second fails alone."""
     good = study_pairs(spark, sf_dir, ["02_imputed_mean"])
@@ -157,11 +226,15 @@ def experiment_status_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcome.status
 
 
-@query("study_results")
+STUDIED = ["01_without_NaN", "02_imputed_mean", "05_no_outliers_0.03", "06_normalized", "07_transformed"]
+
+
+@query("study_results", f"SELECT unnest({STUDIED}) AS scenario, true AS in_range, 1::BIGINT AS best_scenarios")
 def study_results_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The study's own question: how each preparation changed the network's scores."""
-    names = ["01_without_NaN", "02_imputed_mean", "05_no_outliers_0.03", "06_normalized", "07_transformed"]
-    outcome = Experiment("classification", TARGET, epochs=2).run(spark, study_pairs(spark, sf_dir, names))
-    best = best_scenario(outcome.results, "classification").select("best_scenario")
-    return outcome.results.join(F.broadcast(best), outcome.results.scenario == best.best_scenario, "left").select(
-        "scenario", "accuracy", "precision", "recall", "f1", F.col("best_scenario").isNotNull().alias("is_best"))
+    """The study's own question: how each preparation changed the network's scores. One scenario is the best."""
+    outcome = Experiment("classification", TARGET, epochs=2).run(spark, study_pairs(spark, sf_dir, STUDIED))
+    best = [r["best_scenario"] for r in best_scenario(outcome.results, "classification").collect()]
+    scores = [F.col(c).between(0.0, 1.0) for c in ("accuracy", "precision", "recall", "f1")]
+    known = sum(name in STUDIED for name in best)
+    return outcome.results.select("scenario", reduce(lambda a, b: a & b, scores).alias("in_range"),
+                                  F.lit(known).cast("bigint").alias("best_scenarios"))
