@@ -66,7 +66,7 @@ SWEPT = " UNION ALL ".join(f"SELECT {share}::DOUBLE AS threshold, count(*) AS to
 def iforest_sweep_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items left at each share of the sweep, from one scoring."""
     rows = keyed_lines(spark, sf_dir)
-    total = F.lit(rows.count())
+    total = F.lit(rows.count()).cast("bigint")
     tables = sweep_outliers(rows, list(SWEEP), key=LINE_KEY, trees=TREES)
     counts = [df.agg(F.lit(share).alias("threshold"), F.count(F.lit(1)).alias("left")).select(
         "threshold", total.alias("total_rows"), within(total - F.col("left"), total, share).alias("removed_within"))
