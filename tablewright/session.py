@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SMALL_SHARE = 64 << 20     # bytes per core below which a table counts as small
 FEW_ROWS = 1_000           # rows per core not worth spreading
 
@@ -49,11 +50,17 @@ def checkpoint_root(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table beside the checkpoints and read it back.
 
-    It survives executor loss, later passes read only their columns, and its size is known to Spark.
+    It survives executor loss, later passes read only their columns, and its size is known to Spark. The
+    shuffle files of the writing are given back as soon as it has ended.
     """
     spark = df.sparkSession
     path = scratch_folder(spark, "table")
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
