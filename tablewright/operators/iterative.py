@@ -1,12 +1,16 @@
 """Model-based imputation: columns are predicted from each other in rounds.
 
 Gaps start from the mean or the mode. A round then takes the columns with gaps, fewest first, fits
-boosted trees on the rows where the column is known, and rewrites only its gaps. Each round ends on a
-checkpoint, so a plan holds one round whatever their number.
+models on the rows where the column is known, and rewrites only its gaps. The fitted models are kept, by
+round and column, and fill the gaps of further tables the same way. Each round ends on a settled table, and
+the one before is deleted, so a plan holds one round and the folder one table whatever their number.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
+from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor
@@ -16,59 +20,111 @@ from tablewright.functions import ref
 from tablewright.operators.encode import LabelCodes, apply_labels, fit_labels
 from tablewright.operators.impute import fill_missing, fit_fills
 from tablewright.schema import feature_types
-from tablewright.session import settle, settle_for_training
+from tablewright.session import Generations
 
 ROUNDS = 20     # fixed value: rounds of the study's imputer
 SEED = 123
 
 
-def impute_iterative(df: DataFrame, target: str | None = None, keep: list[str] = (), rounds: int = ROUNDS,
-                     trees: int = 10, depth: int = 4, seed: int = SEED) -> DataFrame:
-    """The table without gaps in its features; known cells, the target and kept columns are untouched."""
+@dataclass
+class FittedImputer:
+    """Start values, codes, and the models of each round in their order."""
+
+    columns: list[str]
+    numeric: list[str]
+    fills: dict[str, object]
+    codes: LabelCodes
+    order: list[str] = field(default_factory=list)
+    rounds: list[list[Model]] = field(default_factory=list)
+
+    @property
+    def place(self) -> dict[str, str]:
+        return {c: f"_c{i}" for i, c in enumerate(self.columns)}
+
+    def begin(self, df: DataFrame) -> DataFrame:
+        """Coded columns as doubles with start values in the gaps, which are marked."""
+        place, text = self.place, [c for c in self.columns if c not in self.numeric]
+        marked = df.select("*", *(ref(c).isNull().alias(f"_gap{place[c]}") for c in self.columns))
+        coded = apply_labels(fill_missing(marked, self.fills).select(
+            *(ref(c).alias(place[c]) if c in place else ref(c) for c in df.columns),
+            *(F.col(f"_gap{place[c]}") for c in self.columns)),
+            LabelCodes({place[c]: self.codes.listed[c] for c in text}, {}, {place[c]: self.codes.sizes[c] for c in text}), "row_zero")
+        return coded.withColumns({place[c]: F.col(place[c]).cast("double") for c in self.columns})
+
+    def inputs(self, name: str) -> list[str]:
+        return [self.place[c] for c in self.columns if c != name]
+
+    def predicted(self, state: DataFrame, name: str, model: Model) -> DataFrame:
+        """``state`` with the gaps of one column rewritten by its model."""
+        column = self.place[name]
+        said = model.transform(VectorAssembler(inputCols=self.inputs(name), outputCol="_inputs").transform(state))
+        return said.withColumn(column, F.when(F.col(f"_gap{column}"), F.col("_said")).otherwise(F.col(column))).select(*state.columns)
+
+    def restore(self, state: DataFrame, like: DataFrame) -> DataFrame:
+        """The columns of ``like`` under their names; known values, codes and types as they were."""
+        types, place = {f.name: f.dataType for f in like.schema.fields}, self.place
+
+        def restored(name: str):
+            if name not in place:
+                return ref(name)
+            value = F.col(place[name])
+            if name not in self.numeric:
+                value = F.get(F.lit(self.codes.listed[name]), value.cast("int")).cast(types[name])
+            elif name not in self.order:
+                value = value.cast(types[name])
+            return value.alias(name)
+
+        return state.select(*(restored(c) for c in like.columns))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """A further table without gaps in the fitted columns. A text that was never seen counts as the first."""
+        state, kept = self.begin(df), Generations(df.sparkSession)
+        for models in self.rounds:
+            for name, model in zip(self.order, models):
+                state = self.predicted(state, name, model)
+            state = kept.settle(state)
+        return self.restore(state, df)
+
+
+def fit_iterative(df: DataFrame, target: str | None = None, keep: list[str] = (), rounds: int = ROUNDS,
+                  trees: int = 10, depth: int = 4, seed: int = SEED) -> tuple[FittedImputer, DataFrame]:
+    """The imputer learnt from ``df``, and ``df`` without gaps. Columns without any value stay as they are."""
     numeric, text = feature_types(df, [*keep, *([target] if target else [])])
-    columns = numeric + text
+    fills = fit_fills(df, columns=numeric + text)
+    gaps = df.agg(*(F.count_if(ref(c).isNull()).alias(f"g{i}") for i, c in enumerate(numeric + text)),
+                  F.count(F.lit(1)).alias("rows")).first()
+    counts = {c: gaps[f"g{i}"] for i, c in enumerate(numeric + text)}
+    columns = [c for c in numeric + text if c in fills and counts[c] < gaps["rows"]]
+    text = [c for c in text if c in columns]
     codes = fit_labels(df, text) if text else LabelCodes()
     if codes.tabled:
         raise ValueError(f"too many values to predict: {', '.join(codes.tabled)}")
-    fills = fit_fills(df, columns=columns)
-    gaps = df.agg(*(F.count_if(ref(c).isNull()).alias(f"g{i}") for i, c in enumerate(columns))).first()
-    counts = {c: gaps[f"g{i}"] for i, c in enumerate(columns)}
-    order = sorted((c for c in columns if counts[c] and c in fills), key=lambda c: counts[c])
-    if not order:
-        return df
-    place = {c: f"_c{i}" for i, c in enumerate(columns)}
-    marked = df.select("*", *(ref(c).isNull().alias(f"_gap{place[c]}") for c in order))
-    coded = apply_labels(fill_missing(marked, fills).select(
-        *(ref(c).alias(place[c]) if c in place else ref(c) for c in df.columns),
-        *(F.col(f"_gap{place[c]}") for c in order)),
-        LabelCodes({place[c]: codes.listed[c] for c in text}, {}, {place[c]: codes.sizes[c] for c in text}), "row_zero")
-    state = settle_for_training(coded.withColumns({place[c]: F.col(place[c]).cast("double") for c in columns}))
+    imputer = FittedImputer(columns, [c for c in numeric if c in columns], {c: fills[c] for c in columns}, codes,
+                            sorted((c for c in columns if counts[c]), key=lambda c: counts[c]))
+    if not imputer.order:
+        return imputer, df
+    if len(columns) < 2:
+        return imputer, imputer.restore(imputer.begin(df), df)
+    kept = Generations(df.sparkSession)
+    state = kept.settle(imputer.begin(df))
     for number in range(rounds):
-        for name in order:
-            inputs = [place[c] for c in columns if c != name]
-            if not inputs:
-                break
-            rows = VectorAssembler(inputCols=inputs, outputCol="_inputs").transform(state)
-            known = rows.filter(~F.col(f"_gap{place[name]}"))
-            settings = dict(featuresCol="_inputs", labelCol=place[name], predictionCol="_said", seed=seed + number)
-            if name in numeric:
+        models = []
+        for name in imputer.order:
+            known = VectorAssembler(inputCols=imputer.inputs(name), outputCol="_inputs").transform(
+                state.filter(~F.col(f"_gap{imputer.place[name]}")))
+            settings = dict(featuresCol="_inputs", labelCol=imputer.place[name], predictionCol="_said", seed=seed + number)
+            if name in imputer.numeric:
                 model = GBTRegressor(maxIter=trees, maxDepth=depth, **settings).fit(known)
             else:
                 model = RandomForestClassifier(numTrees=trees, maxDepth=depth, **settings).fit(known)
-            said = model.transform(rows)
-            state = said.withColumn(place[name], F.when(F.col(f"_gap{place[name]}"), F.col("_said"))
-                                    .otherwise(F.col(place[name]))).select(*state.columns)
-        state = settle(state)
-    types = {f.name: f.dataType for f in df.schema.fields}
-
-    def restored(name: str):
-        if name not in place:
-            return ref(name)
-        value = F.col(place[name])
-        if name in text:
-            value = F.get(F.lit(codes.listed[name]), value.cast("int")).cast(types[name])
-        elif name not in order:
-            value = value.cast(types[name])
-        return value.alias(name)
-
-    return state.select(*(restored(c) for c in df.columns))
+            models.append(model)
+            state = imputer.predicted(state, name, model)
+        imputer.rounds.append(models)
+        state = kept.settle(state)
+    return imputer, imputer.restore(state, df)
+
+
+def impute_iterative(df: DataFrame, target: str | None = None, keep: list[str] = (), rounds: int = ROUNDS,
+                     trees: int = 10, depth: int = 4, seed: int = SEED) -> DataFrame:
+    """The table without gaps in its features; known cells, the target and kept columns are untouched."""
+    return fit_iterative(df, target, keep, rounds, trees, depth, seed)[1]

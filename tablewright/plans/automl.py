@@ -13,8 +13,7 @@ from tablewright.models.leaderboard import FOLDS, best_model, compare_models, fo
 from tablewright.models.zoo import Maker, models_for
 from tablewright.operators.clean import clean_sentinels, drop_ignored
 from tablewright.operators.encode import LabelCodes, apply_labels, fit_labels
-from tablewright.operators.impute import fill_missing, fit_fills
-from tablewright.operators.iterative import ROUNDS, impute_iterative
+from tablewright.operators.iterative import ROUNDS, FittedImputer, fit_iterative
 from tablewright.operators.outliers import remove_outliers
 from tablewright.schema import CLASSIFICATION, check_task, feature_types, is_number, require_target
 from tablewright.session import settle, settle_for_training
@@ -32,7 +31,7 @@ class Prepared:
     columns: list[str]
     labels: LabelCodes
     target_labels: LabelCodes | None
-    fills: dict[str, object]
+    imputer: FittedImputer
     classes: int
 
 
@@ -43,26 +42,27 @@ def encoded(df: DataFrame, labels: LabelCodes, target_labels: LabelCodes | None)
 
 def automl_prepare(df: DataFrame, task: str, target: str, key: list[str], rounds: int = ROUNDS,
                    share: float = SHARE, **forest) -> Prepared:
-    """Clean, leave columns out, impute by models, drop outliers from the training share, encode.
+    """Clean, leave columns out, split, impute by models, drop outliers from the training share, encode.
 
-    The holdout keeps its outliers: it is what the models are judged on.
+    Everything is learnt from the training share alone. The holdout keeps its outliers: it is what the models
+    are judged on.
     """
     require_target(df, target)
     table = drop_ignored(clean_sentinels(df), check_task(task), comparing_models=True)
-    table = table.filter(ref(target).isNotNull())
-    fills = fit_fills(table, columns=[c for c in table.columns if c not in (target, *key)])
-    full = settle(impute_iterative(table, target, key, rounds).withColumn("_share", fold_of(key, 100)))
-    inside = full.filter(F.col("_share") < TRAIN_SHARE).drop("_share")
-    train = remove_outliers(inside, share, target, key, **forest)
-    holdout = full.filter(F.col("_share") >= TRAIN_SHARE).drop("_share")
-    numeric, text = feature_types(table, [*key, target])
-    labels = fit_labels(full, text)
-    kind = table.schema[target].dataType
-    target_labels = fit_labels(full, [target]) if task == CLASSIFICATION and not is_number(kind) else None
+    table = settle(table.filter(ref(target).isNotNull()).withColumn("_share", fold_of(key, 100)))
+    inside, held = (table.filter(where).drop("_share") for where in (F.col("_share") < TRAIN_SHARE, F.col("_share") >= TRAIN_SHARE))
+    imputer, filled = fit_iterative(inside, target, key, rounds)
+    filled = settle(filled)
+    train = remove_outliers(filled, share, target, key, **forest)
+    holdout = imputer.transform(held)
+    numeric, text = feature_types(inside, [*key, target])
+    labels = fit_labels(filled, text)
+    kind = inside.schema[target].dataType
+    target_labels = fit_labels(filled, [target]) if task == CLASSIFICATION and not is_number(kind) else None
     rows = [settle_for_training(assemble(encoded(part, labels, target_labels), numeric + text, target, key))
             for part in (train, holdout)]
     classes = int(rows[0].agg(F.max(LABEL)).first()[0]) + 1 if task == CLASSIFICATION else 0
-    return Prepared(rows[0], rows[1], numeric + text, labels, target_labels, fills, classes)
+    return Prepared(rows[0], rows[1], numeric + text, labels, target_labels, imputer, classes)
 
 
 def analyze(train: DataFrame, test: DataFrame, task: str, target: str, key: list[str],
@@ -74,7 +74,7 @@ def analyze(train: DataFrame, test: DataFrame, task: str, target: str, key: list
     best = best_model(board)
     makers = models if models is not None else models_for(task)
     model = makers[best](ready.classes, key[0] if len(key) == 1 else None).fit(ready.train)
-    other = fill_missing(drop_ignored(clean_sentinels(test), task, comparing_models=True), ready.fills)
+    other = ready.imputer.transform(drop_ignored(clean_sentinels(test), task, comparing_models=True))
     rows = assemble(encoded(other, ready.labels, ready.target_labels), ready.columns, target, key)
     said = [label_predictions(model, part, task, ready.classes, key) for part in (ready.holdout, rows)]
     return board, best, model, said[0], said[1]

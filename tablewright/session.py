@@ -64,6 +64,26 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Generations:
+    """Settled tables of which only the newest is read: the one before is deleted once the next is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, None
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        made = settle(df)
+        old, self.path = self.path, made.inputFiles()[:1]
+        if old:
+            release(self.spark, os.path.dirname(old[0]))
+        return made
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a folder beside the checkpoints, on whatever file system they are."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settle_partitions(df: DataFrame) -> DataFrame:
     """A checkpoint that keeps the partitions as they are, for work that is defined by partition."""
     checkpoint_root(df.sparkSession)

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from tablewright.models import neighbours
 from tablewright.models.algebra import Regression, class_moments
 from tablewright.models.features import LABEL, PREDICTION, assemble
-from tablewright.models.leaderboard import best_model, compare_models
+from tablewright.models.leaderboard import best_model, compare_models, fold_of
 from tablewright.models.mlp import Network, NetworkClassifier, NetworkRegressor, learning_rate
 from tablewright.models.neighbours import Index
 from tablewright.models.network import Architecture, batch_edges, gradient, loss_and_slope, predict
 from tablewright.models.zoo import CLASSIFIERS, REGRESSORS
 from tablewright.operators.outliers import expected_length, iqr_filter, outlier_report, outlier_scores, remove_outliers
-from tablewright.plans.automl import analyze
+from tablewright.plans.automl import analyze, automl_prepare
 
 RNG = np.random.default_rng(42)
 
@@ -150,6 +150,28 @@ def test_analyze(spark):
     assert {"prediction_label", "prediction_score"} <= set(holdout.columns)
 
 
+def test_the_holdout_does_not_reach_the_training_share(spark):
+    rows = [(i, float(i % 20) if i % 7 else None, ["a", "b"][i % 2], "yes" if i % 20 > 9 else "no") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, s string, y string")
+    held = fold_of(["id"], 100) >= 70
+    changed = df.withColumn("x", F.when(held, F.col("x") * 50).otherwise(F.col("x"))).withColumn("s", F.when(held, F.lit("c")).otherwise(F.col("s")))
+    one, two = (sorted(map(repr, automl_prepare(t, "classification", "y", ["id"], rounds=1, trees=10).train.collect())) for t in (df, changed))
+    assert one == two
+
+
+def test_a_failing_model_is_a_row(spark):
+    rows = [(i, [float(i % 20), float(i % 3)], float(i % 20 > 9) if i else 2.0) for i in range(200)]
+    df = assemble(spark.createDataFrame([(i, *x, y) for i, x, y in rows], "id long, a double, b double, y double"), ["a", "b"], "y", ["id"])
+
+    def broken(classes, key):
+        raise RuntimeError("no such model")
+
+    board = compare_models(df, "classification", ["id"], {"dummy": CLASSIFIERS["dummy"], "dt": CLASSIFIERS["dt"], "bad": broken}, folds=3)
+    found = {r["model"]: r for r in board.collect()}
+    assert found["dt"]["status"] == "ok" and found["dt"]["folds"] == 3
+    assert found["bad"]["folds"] == 0 and "no such model" in found["bad"]["status"] and found["bad"]["accuracy"] is None
+
+
 # the network -----------------------------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ from tablewright.operators.clean import (align_features, clean_sentinels, coerce
                                          drop_report, nan_gate)
 from tablewright.operators.encode import apply_labels, fit_labels, one_hot
 from tablewright.operators.impute import fit_median_mode, impute, remove_null_rows
-from tablewright.operators.iterative import impute_iterative
+from tablewright.operators.iterative import fit_iterative, impute_iterative
 from tablewright.operators.scale import apply_quantile_grids, fit_powers, fit_quantile_grids, normalize, transform_shape
 from tablewright.plans.preprocessor import FittedPreprocessor, TablePreprocessor
 from tablewright.schema import as_supported, feature_types, validate
@@ -246,3 +246,24 @@ def test_iterative_imputation(spark):
         assert s is None or out[i]["s"] == s
     gaps = [abs(out[i]["y"] - 2 * x) for i, x, y, _ in rows if y is None]
     assert statistics.mean(gaps) < 1.5
+
+
+def test_iterative_imputation_of_further_tables(spark, tmp_path):
+    rows = [(i, float(i % 10), float(2 * (i % 10)) if i % 4 else N, N, "a" if i % 3 else N) for i in range(120)]
+    kinds = "id int, x double, y double, empty double, s string"
+    train, other = spark.createDataFrame(rows[:80], kinds), spark.createDataFrame(rows[80:], kinds)
+    old = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        imputer, filled = fit_iterative(train, keep=["id"], rounds=3, trees=2, depth=2)
+        folder = next(tmp_path.iterdir())
+        assert len(list(folder.iterdir())) == 1            # one settled table whatever the rounds
+        filled, done = sorted(map(tuple, filled.collect())), {r["id"]: r for r in imputer.transform(other).collect()}
+        assert len(list(folder.iterdir())) == 2
+    finally:
+        if old:
+            spark.sparkContext.setCheckpointDir(old)
+    assert all(f[2] is not None and f[3] is None and f[4] == "a" for f in filled)
+    for i, x, y, _, s in rows[80:]:
+        assert done[i]["x"] == x and done[i]["y"] is not None and done[i]["empty"] is None and done[i]["s"] == "a"
+        assert y is None or done[i]["y"] == y
