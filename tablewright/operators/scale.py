@@ -15,7 +15,9 @@ from tablewright.operators.distribution import describe, moments
 METHODS = ("zscore", "zscore_sample", "minmax", "maxabs", "robust")
 QUANTILES = 1_000       # fixed value: points of the quantile grid
 CLIP = 1e-7             # fixed value: probabilities are kept this far from 0 and 1
-POWERS = [p / 20 for p in range(-40, 81)]   # searched powers, -2 to 4
+POWERS = [p / 2 for p in range(-4, 9)]      # powers tried first, -2 to 4; the range widens while its end is the best
+FINE = 20                                   # powers are refined to steps of 1 / FINE
+WIDEST = 64.0                               # beyond this power doubles overflow for all but tiny values
 
 
 @dataclass(frozen=True)
@@ -77,7 +79,12 @@ class QuantileGrid:
 
 
 def fit_quantile_grids(df: DataFrame, columns: list[str], points: int = QUANTILES) -> dict[str, QuantileGrid]:
-    """The exact quantiles of every column on an even grid of at most ``points`` probabilities."""
+    """The exact quantiles of every column on an even grid of at most ``points`` probabilities.
+
+    Infinite values lie outside the grid: they take the outermost places when it is applied.
+    """
+    df = df.select(*(ref(c) if c not in columns else F.when(F.abs(ref(c).cast("double")) < math.inf, ref(c)).alias(c)
+                     for c in df.columns))
     present = moments(df, columns, columns)
     wanted = {}
     for name in columns:
@@ -140,30 +147,55 @@ def apply_quantile_grids(df: DataFrame, grids: dict[str, QuantileGrid], shape: s
     return df.withColumns(clipped).withColumns({c: normal_quantile(ref(c)) for c in usable}) if usable else df
 
 
-def fit_powers(df: DataFrame, columns: list[str], powers: list[float] = POWERS) -> dict[str, float]:
-    """The Yeo-Johnson power of highest likelihood on a grid, for all columns in one pass.
+def likelihoods(df: DataFrame, grids: dict[str, list[float]]) -> dict[str, list[float]]:
+    """The Yeo-Johnson likelihood of each column's powers, all in one pass.
 
-    The likelihood needs, per power, the variance of the transformed column, and once the sum of the
-    logarithm of the Jacobian.
+    It needs, per power, the variance of the transformed column, and once the sum of the logarithm of the
+    Jacobian.
     """
     wanted = []
-    for i, name in enumerate(columns):
+    for i, (name, powers) in enumerate(grids.items()):
         x = parse_number(ref(name))
         wanted += [F.count(x).alias(f"{i}_n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"{i}_log")]
         wanted += [F.var_pop(yeo_johnson(x, p)).alias(f"{i}_{j}") for j, p in enumerate(powers)]
     row = df.agg(*wanted).first()
-    best = {}
-    for i, name in enumerate(columns):
-        n, log_sum = row[f"{i}_n"] or 0, row[f"{i}_log"] or 0.0
-
-        def likelihood(j: int) -> float:
-            variance = row[f"{i}_{j}"]
-            if not variance or not math.isfinite(variance):
-                return -math.inf
-            return -n / 2 * math.log(variance) + (powers[j] - 1) * log_sum
-
-        best[name] = powers[max(range(len(powers)), key=likelihood)]
-    return best
+
+    def likelihood(i: int, j: int, power: float) -> float:
+        variance = row[f"{i}_{j}"]
+        if not variance or not math.isfinite(variance):
+            return -math.inf
+        return -(row[f"{i}_n"] or 0) / 2 * math.log(variance) + (power - 1) * (row[f"{i}_log"] or 0.0)
+
+    return {name: [likelihood(i, j, p) for j, p in enumerate(powers)] for i, (name, powers) in enumerate(grids.items())}
+
+
+def fit_powers(df: DataFrame, columns: list[str], powers: list[float] = POWERS) -> dict[str, float]:
+    """The Yeo-Johnson power of highest likelihood, to steps of ``1 / FINE``, for all columns side by side.
+
+    A coarse grid is moved on while its end is the best of a column; then the best is refined.
+    """
+    best = {name: (-math.inf, 1.0) for name in columns}
+    grids = {name: list(powers) for name in columns}
+    while grids:
+        found, moved = likelihoods(df, grids), {}
+        for name, tried in grids.items():
+            top = max(range(len(tried)), key=found[name].__getitem__)
+            if found[name][top] > best[name][0]:
+                best[name] = (found[name][top], tried[top])
+                width = tried[-1] - tried[0]
+                if len(tried) > 1 and top == 0 and tried[0] > -WIDEST:
+                    moved[name] = [p - width for p in tried]
+                elif len(tried) > 1 and top == len(tried) - 1 and tried[-1] < WIDEST:
+                    moved[name] = [p + width for p in tried]
+        grids = moved
+    step = max((b - a for a, b in zip(powers, powers[1:])), default=0.0)
+    reach = round(step * FINE)
+    near = {name: [power + k / FINE for k in range(-reach, reach + 1)] for name, (_, power) in best.items()}
+    if not reach or not columns:
+        return {name: power for name, (_, power) in best.items()}
+    found = likelihoods(df, near)
+    return {name: tried[max(range(len(tried)), key=found[name].__getitem__)] if max(found[name]) > -math.inf else best[name][1]
+            for name, tried in near.items()}
 
 
 def shaper(source: DataFrame, columns: list[str], method: str = "quantile",

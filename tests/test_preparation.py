@@ -235,6 +235,17 @@ def test_yeo_johnson_power_search(spark):
     assert back == pytest.approx(column(df, "x"))
 
 
+def test_yeo_johnson_power_beyond_the_first_range(spark):
+    df = spark.createDataFrame([((1 + 7.0 * i / 150) ** (1 / 7) - 1, float(i)) for i in range(1, 150)], "x double, y double")
+    found = fit_powers(df, ["x", "y"])
+    assert found["x"] > 5 and 0.5 < found["y"] < 1.5
+
+
+def test_infinite_values_take_the_outermost_places(spark):
+    df = spark.createDataFrame([(float(v),) for v in (-math.inf, 1, 2, 3, math.inf, math.inf)], "x double")
+    assert column(apply_quantile_grids(df, fit_quantile_grids(df, ["x"]), "uniform"), "x") == [0.0, 0.0, 0.5, 1.0, 1.0, 1.0]
+
+
 def test_iterative_imputation(spark):
     rows = [(i, float(i % 10), float(2 * (i % 10)) if i % 4 else N, ("low" if i % 10 < 5 else "high") if i % 5 else N)
             for i in range(200)]
