@@ -173,6 +173,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more; columns as they were."""
-    name = fresh_name(docs, "_statistics")
-    return with_statistics(docs, name).filter(score_column(model, F.col(name)) >= least).select(*docs.columns)
+    """The rows of ``docs`` that score ``least`` or more; columns as they were.
+
+    Spark would push the filter below the projections and so count every statistic anew for every rule that reads
+    it. The partition's number beside the score, which no filter passes, holds it above them.
+    """
+    name, part = fresh_name(docs, "_statistics"), fresh_name(docs, "_partition")
+    scored = with_statistics(docs, name).select(
+        *docs.columns, score_column(model, F.col(name)).alias(name), F.spark_partition_id().alias(part))
+    return scored.filter((F.col(name) >= least) & (F.col(part) >= 0)).select(*docs.columns)
