@@ -11,7 +11,7 @@
 Three orders predict each id: order 2 and order 1 remember the id that last followed their context, with a confidence;
 order 0 keeps the frequencies of the ids' bit lengths, even within a length. They are mixed by weights learnt for
 each pair of confidences, and the mixture drives a 64-bit carry-less range coder that emits 16-bit words. All counts
-adapt after every id and are halved at a limit.
+adapt after every id and are halved at a limit; order 0's cumulative table is drawn from its counts every 16 ids.
 
 All blocks of a chunk are coded side by side, one array element each, so Python's work is per step, not per id.
 """
@@ -42,68 +42,109 @@ PIECE = 1 << 21                  # characters tokenized at once
 FIRST, SECOND = 1_024, 2_048     # contexts an order remembers in a block
 STEP = 24                        # what a seen symbol adds to its count
 MIX_LIMIT, CLASS_LIMIT = 1 << 11, 1 << 12
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
-NONE = 0xFFFFFF                  # no prediction yet; ids are smaller
+CLASS_BITS, REDRAW = 12, 16      # resolution of order 0's table, and the ids after which it is drawn anew
+TOP = np.uint64(1 << 48)
+LARGEST = 1 << 22                # ids are smaller
+NONE = 0xFFFFFF                  # no prediction yet
+NONE_MASK, SURE, TOP_SURE = np.uint32(NONE), np.uint32(1 << 24), np.uint32(3 << 24)   # a remembered id, its confidence
 #: Unicode's white space, at which the pre-tokenizer of byte-level BPE never joins words.
 WHITE = "\t-\r \x85\xa0  -     　"
 
 
 class Models:
-    """The state of all blocks of a chunk, one lane each."""
+    """The state of all blocks of a chunk, one lane each. Order 0's table is drawn anew every ``REDRAW`` ids."""
 
     def __init__(self, lanes: int, classes: int):
-        self.lane = np.arange(lanes)
+        self.kinds = classes
         self.first = np.full(lanes * FIRST, NONE, np.uint32)
         self.second = np.full(lanes * SECOND, NONE, np.uint32)
-        self.mix = np.tile(np.array([STEP // 2, STEP // 2, STEP], np.int64), (lanes * 16, 1))
-        self.classes = np.full((lanes, classes), STEP // 3, np.int64)
+        self.mix2, self.mix1 = (np.full(lanes * 16, STEP // 2, np.int32) for _ in range(2))
+        self.mix0 = np.full(lanes * 16, STEP, np.int32)
+        self.counts = np.ones(lanes * classes, np.int32)
+        self.first_lane, self.second_lane, self.mix_lane, self.kind_lane = (
+            np.arange(lanes) * n for n in (FIRST, SECOND, 16, classes))
         self.before, self.earlier = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        self.steps = 0
+        # A step divides an interval by the weights, the table's resolution and the places of a bit length.
+        self.bottom = np.uint64(1 << MIX_LIMIT.bit_length() + CLASS_BITS + max(classes - 2, 0) + 2)
 
     def shorten(self, lanes: int) -> None:
         """Leave the lanes that have no more ids (the shorter last block)."""
-        for name in ("lane", "classes", "before", "earlier", "low", "range"):
+        for name in ("first_lane", "second_lane", "mix_lane", "kind_lane", "before", "earlier", "low", "range", "upto"):
             setattr(self, name, getattr(self, name)[:lanes])
 
+    def redraw(self) -> None:
+        """Cumulative frequencies of the bit lengths, scaled to sum to 2^CLASS_BITS, at least one each."""
+        lanes = len(self.kind_lane)
+        counts = self.counts[:lanes * self.kinds].reshape(lanes, self.kinds)
+        full = counts.sum(axis=1) > CLASS_LIMIT
+        if full.any():
+            counts[full] = (counts[full] + 1) >> 1
+        upto = np.zeros((lanes, self.kinds + 1), np.int64)
+        np.cumsum(counts, axis=1, out=upto[:, 1:])
+        spare = (1 << CLASS_BITS) - self.kinds
+        self.upto = upto * spare // upto[:, -1:] + np.arange(self.kinds + 1)
+
     def predict(self) -> None:
-        self.at1 = self.lane * FIRST + ((self.before * 0x9E3779B1 >> 12) & FIRST - 1)
-        self.at2 = self.lane * SECOND + (((self.before * 0x9E3779B1 + self.earlier * 0x85EBCA6B) >> 13) & SECOND - 1)
-        seen1, seen2 = self.first[self.at1].astype(np.int64), self.second[self.at2].astype(np.int64)
-        self.id1, self.sure1 = seen1 & NONE, seen1 >> 24
-        self.id2, self.sure2 = seen2 & NONE, seen2 >> 24
-        self.at_mix = self.lane * 16 + self.sure2 * 4 + self.sure1
-        weights = self.mix[self.at_mix]
-        self.weight2, weight1, self.weight0 = weights.T
-        self.weight1 = np.where(self.id1 == self.id2, 0, weight1)     # one prediction of both orders stands once
-
-    def narrow(self, lanes, start, size, total) -> None:
-        """Narrow the interval of some lanes (a slice or places) to [start, start + size) of total."""
-        step = self.range[lanes] // total.astype(np.uint64)
-        self.low[lanes] += step * start.astype(np.uint64)
-        self.range[lanes] = step * size.astype(np.uint64)
+        if self.steps % REDRAW == 0 or len(self.upto) != len(self.kind_lane):
+            self.redraw()
+        self.steps += 1
+        mixed = self.before * 0x9E3779B1
+        self.at1 = self.first_lane + ((mixed >> 12) & FIRST - 1)
+        self.at2 = self.second_lane + (((mixed + self.earlier * 0x85EBCA6B) >> 13) & SECOND - 1)
+        self.seen1, self.seen2 = self.first[self.at1], self.second[self.at2]
+        self.id1, self.id2 = (self.seen1 & NONE_MASK).astype(np.int64), (self.seen2 & NONE_MASK).astype(np.int64)
+        self.at_mix = self.mix_lane + (self.seen2 >> 24) * 4 + (self.seen1 >> 24)
+        self.weight2, self.weight0 = self.mix2[self.at_mix], self.mix0[self.at_mix]
+        # One prediction of both orders stands once.
+        self.weight1 = self.mix1[self.at_mix] * (self.id1 != self.id2)
+        self.upto1 = self.weight2 + self.weight1
+        self.total = (self.upto1 + self.weight0).astype(np.uint64)
+
+    def narrow(self, source) -> None:
+        """Narrow every interval to the order that is right: ``source`` 0, 1, 2 for order 2, 1, 0."""
+        start = np.choose(source, (0, self.weight2, self.upto1))
+        size = np.choose(source, (self.weight2, self.weight1, self.weight0))
+        step = self.range // self.total
+        self.low += step * start.astype(np.uint64)
+        self.range = step * size.astype(np.uint64)
+
+    def narrow_literal(self, literal, kinds, rest, width) -> None:
+        """Narrow the intervals of some lanes to an id: its bit length, then its place ``rest`` of 2^``width``."""
+        low, end = self.upto[literal, kinds], self.upto[literal, kinds + 1]
+        step = self.range[literal] >> np.uint64(CLASS_BITS)
+        inner = step * (end - low).astype(np.uint64) >> width
+        self.low[literal] += step * low.astype(np.uint64) + inner * rest
+        self.range[literal] = inner
 
     def overfull(self) -> np.ndarray:
         """Lanes whose next word is settled, after cutting intervals that are too small to go on."""
         same = (self.low ^ (self.low + self.range)) < TOP
-        small = ~same & (self.range < BOTTOM)
+        small = self.range < self.bottom
         if small.any():
-            self.range[small] = (~self.low[small] + np.uint64(1)) & (BOTTOM - np.uint64(1))
-        return np.flatnonzero(same | small)
+            small &= ~same
+            self.range[small] = (~self.low[small] + np.uint64(1)) & (self.bottom - np.uint64(1))
+            same |= small
+        return np.flatnonzero(same)
 
     def learn(self, ids, source, literal, kinds) -> None:
-        """Adapt to the ids of this step: ``source`` 0, 1, 2 for order 2, 1, 0; ``kinds`` of the literal lanes."""
-        self.mix[self.at_mix, source] += STEP
-        full = self.at_mix[self.mix[self.at_mix].sum(axis=1) > MIX_LIMIT]
-        if len(full):
-            self.mix[full] = (self.mix[full] + 1) >> 1
-        self.classes[literal, kinds] += STEP
-        full = literal[self.classes[literal].sum(axis=1) > CLASS_LIMIT]
+        """Adapt to the ids of this step; ``kinds`` are the bit lengths of the literal lanes."""
+        self.mix2[self.at_mix] = self.weight2 + (source == 0) * STEP
+        self.mix1[self.at_mix] += (source == 1) * np.int32(STEP)
+        self.mix0[self.at_mix] = self.weight0 + (source == 2) * STEP
+        full = np.flatnonzero(self.total > MIX_LIMIT)
         if len(full):
-            self.classes[full] = (self.classes[full] + 1) >> 1
-        for table, at, seen, sure in ((self.first, self.at1, self.id1, self.sure1), (self.second, self.at2, self.id2, self.sure2)):
-            right = seen == ids
-            keep = np.where(right, np.minimum(sure + 1, 3), np.maximum(sure - 1, 0))
-            table[at] = (np.where(right | (sure > 0), seen, ids) | keep << 24).astype(np.uint32)
+            full = self.at_mix[full]
+            for weights in (self.mix2, self.mix1, self.mix0):
+                weights[full] = (weights[full] + 1) >> 1
+        self.counts[self.kind_lane[literal] + kinds] += STEP
+        fresh = ids.astype(np.uint32)
+        for table, at, seen, known in ((self.first, self.at1, self.seen1, self.id1), (self.second, self.at2, self.seen2, self.id2)):
+            right = known == ids
+            sure = seen >= SURE
+            # Right: one surer, up to three. Wrong: one less sure, or replaced.
+            table[at] = np.where(right, np.minimum(seen + SURE, seen | TOP_SURE), np.where(sure, seen - SURE, fresh))
         self.earlier, self.before = self.before, ids
 
 
@@ -116,8 +157,7 @@ def encode_blocks(ids: np.ndarray, block: int, classes: int) -> list[bytes]:
     count = -(-len(ids) // block)
     padded = np.zeros(count * block, np.int64)
     padded[:len(ids)] = ids
-    steps, tail = padded.reshape(count, block).T.copy(), len(ids) - (count - 1) * block
-    kinds_of = bit_lengths(steps)
+    steps, tail, last = padded.reshape(count, block).T.copy(), len(ids) - (count - 1) * block, min(block, len(ids))
     models = Models(count, classes)
     words, used = np.empty((count, block + 8), np.uint16), np.zeros(count, np.int64)
 
@@ -125,38 +165,31 @@ def encode_blocks(ids: np.ndarray, block: int, classes: int) -> list[bytes]:
         nonlocal words
         if used.max() + 1 >= words.shape[1]:
             words = np.concatenate([words, np.empty_like(words)], axis=1)
-        words[done, used[done]] = (models.low[done] >> np.uint64(48)).astype(np.uint16)
+        low = models.low[done]
+        words[done, used[done]] = (low >> np.uint64(48)).astype(np.uint16)
         used[done] += 1
-        models.low[done] <<= np.uint64(16)
+        models.low[done] = low << np.uint64(16)
         models.range[done] <<= np.uint64(16)
 
-    for step in range(min(block, len(ids))):
-        now = steps[step]
+    for step in range(last):
         if step == tail:
             models.shorten(count - 1)
-        now, kind = now[:len(models.lane)], kinds_of[step][:len(models.lane)]
+        lanes = len(models.before)
+        now = steps[step, :lanes]
         models.predict()
-        source = np.where(now == models.id2, 0, np.where((now == models.id1) & (models.weight1 > 0), 1, 2))
-        start = np.where(source == 0, 0, models.weight2 + np.where(source == 2, models.weight1, 0))
-        size = np.where(source == 0, models.weight2, np.where(source == 1, models.weight1, models.weight0))
-        models.narrow(slice(None), start, size, models.weight2 + models.weight1 + models.weight0)
+        source = np.where(now == models.id2, 0, np.where((now == models.id1), 1, 2))
         literal = np.flatnonzero(source == 2)
-        kinds = kind[literal]
-        upto = models.classes[literal].cumsum(axis=1)
-        rows = np.arange(len(literal))
-        size = models.classes[literal, kinds]
-        models.narrow(literal, upto[rows, kinds] - size, size, upto[:, -1])
-        width = np.left_shift(1, np.maximum(kinds - 1, 0))
-        models.narrow(literal, now[literal] - np.where(kinds > 0, width, 0), np.ones_like(width), width)
+        models.narrow(source)
+        rare = now[literal]
+        kinds = bit_lengths(rare)
+        width = np.maximum(kinds - 1, 0).astype(np.uint64)
+        models.narrow_literal(literal, kinds, rare.astype(np.uint64) - ((kinds > 0).astype(np.uint64) << width), width)
         while len(done := models.overfull()):
             emit(done)
         models.learn(now, source, literal, kinds)
-        if step + 1 == tail and count > 1 or step + 1 == min(block, len(ids)):
-            last = np.array([count - 1]) if step + 1 == tail else np.arange(len(models.lane))
-            if step + 1 == tail and step + 1 == min(block, len(ids)):
-                last = np.arange(len(models.lane))
-            for _ in range(4):
-                emit(last)
+        ended = np.arange(lanes) if step + 1 == last else np.array([count - 1]) if step + 1 == tail else ()
+        for _ in range(4 if len(ended) else 0):
+            emit(ended)
     return [row[:n].astype("<u2").tobytes() for row, n in zip(words, used.tolist())]
 
 
@@ -166,38 +199,33 @@ def decode_blocks(blocks: list[bytes], tokens: int, block: int, classes: int) ->
     words = np.zeros((count, max(len(b) for b in blocks) // 2 + 4), np.uint64)
     for row, data in zip(words, blocks):
         row[:len(data) // 2] = np.frombuffer(data, "<u2")
-    models, used = Models(count, classes), np.full(count, 4)
+    models, used, most = Models(count, classes), np.full(count, 4), words.shape[1] - 1
     code = words[:, 0] << np.uint64(48) | words[:, 1] << np.uint64(32) | words[:, 2] << np.uint64(16) | words[:, 3]
     found = np.zeros((block, count), np.int64)
-
-    def place(lanes, total) -> np.ndarray:
-        step = models.range[lanes] // total.astype(np.uint64)
-        return np.minimum(((code[lanes] - models.low[lanes]) // step).astype(np.int64), total - 1)
-
     for step in range(min(block, tokens)):
         if step == tail:
             models.shorten(count - 1)
             code, used, words = code[:count - 1], used[:count - 1], words[:count - 1]
         models.predict()
-        total = models.weight2 + models.weight1 + models.weight0
-        at = place(slice(None), total)
-        source = (at >= models.weight2).astype(np.int64) + (at >= models.weight2 + models.weight1)
-        start = np.where(source == 0, 0, models.weight2 + np.where(source == 2, models.weight1, 0))
-        size = np.where(source == 0, models.weight2, np.where(source == 1, models.weight1, models.weight0))
-        models.narrow(slice(None), start, size, total)
-        now = np.where(source == 0, models.id2, models.id1)
+        at = ((code - models.low) // (models.range // models.total)).astype(np.int64)
+        source = (at >= models.weight2).astype(np.int64) + (at >= models.upto1)
         literal = np.flatnonzero(source == 2)
-        upto = models.classes[literal].cumsum(axis=1)
-        kinds = (place(literal, upto[:, -1])[:, None] >= upto).sum(axis=1)
+        models.narrow(source)
+        now = np.where(source == 0, models.id2, models.id1)
+        above = code[literal] - models.low[literal]
+        scale = models.range[literal] >> np.uint64(CLASS_BITS)
+        at = np.minimum((above // scale).astype(np.int64), (1 << CLASS_BITS) - 1)
+        upto = models.upto[literal]
+        kinds = (upto <= at[:, None]).sum(axis=1) - 1
         rows = np.arange(len(literal))
-        size = models.classes[literal, kinds]
-        models.narrow(literal, upto[rows, kinds] - size, size, upto[:, -1])
-        width = np.left_shift(1, np.maximum(kinds - 1, 0))
-        within = place(literal, width)
-        models.narrow(literal, within, np.ones_like(width), width)
-        now[literal] = within + np.where(kinds > 0, width, 0)
+        low = upto[rows, kinds].astype(np.uint64)
+        width = np.maximum(kinds - 1, 0).astype(np.uint64)
+        inner = scale * (upto[rows, kinds + 1].astype(np.uint64) - low) >> width
+        rest = np.minimum((above - scale * low) // inner, (np.uint64(1) << width) - np.uint64(1))
+        models.narrow_literal(literal, kinds, rest, width)
+        now[literal] = (rest + ((kinds > 0).astype(np.uint64) << width)).astype(np.int64)
         while len(done := models.overfull()):
-            code[done] = code[done] << np.uint64(16) | words[done, np.minimum(used[done], words.shape[1] - 1)]
+            code[done] = code[done] << np.uint64(16) | words[done, np.minimum(used[done], most)]
             used[done] += 1
             models.low[done] <<= np.uint64(16)
             models.range[done] <<= np.uint64(16)
@@ -208,9 +236,9 @@ def decode_blocks(blocks: list[bytes], tokens: int, block: int, classes: int) ->
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A chunk of whole documents as bytes."""
-    if len(ids) and int(ids.max()) >= NONE:
-        raise ValueError(f"token ids must be below {NONE}")
-    classes = int(ids.max()).bit_length() + 1 if len(ids) else 1
+    if len(ids) and int(ids.max()) >= LARGEST:
+        raise ValueError(f"token ids must be below {LARGEST}")
+    classes = int(ids.max()).bit_length() + 1 if len(ids) else 1     # bit lengths 0 to that of the largest id
     blocks = encode_blocks(ids, block, classes) if len(ids) else []
     sums = [zlib.crc32(ids[at:at + block].astype("<u4").tobytes(), n) for n, at in enumerate(range(0, len(ids), block))]
     return b"".join([

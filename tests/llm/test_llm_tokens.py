@@ -17,7 +17,9 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def test_coder_round_trip(count):
     rng = np.random.default_rng(count)
     for ids in (rng.integers(0, 50_257, count), rng.integers(0, 2, count), np.full(count, 50_256), rng.zipf(1.2, count) % 60_000,
-                np.arange(count) % 7, rng.integers(0, tokens.NONE, count)):
+                np.arange(count) % 7, rng.integers(0, tokens.LARGEST, count),
+                np.where(np.arange(count) % 50, 3, rng.integers(tokens.LARGEST // 2, tokens.LARGEST, count)),
+                np.where(rng.random(count) < 0.01, 40_000, 5)):
         chunk = tokens.pack([5, None], np.array([count // 3, count - count // 3]), ids.astype(np.uint32))
         doc_ids, lengths, back = tokens.unpack(chunk)
         assert doc_ids == [5, None] and lengths.sum() == count and (back == ids).all()
