@@ -5,11 +5,11 @@ sequence as one. Two documents link when ``100 * intersection >= percent * union
 
 1. **Equal sets** become one class, represented by its smallest doc_id, so copies are never paired.
 2. **Size-banded tiles.** Only sets of near sizes can link, so classes fall into bands of sizes. Two linked sets of a
-   band differ in at most ``D`` shingles (``budget``). The shingles are dealt by hash to ``D + SPARE`` parts;
-   ``SPARE`` parts at least then hold exactly the same shingles in both. A tile is the classes of a band with the same
-   shingles in one part: every linked pair meets in a tile, by the pigeonhole principle, whatever its content, and
-   other pairs hardly ever do, however common a single passage is. Empty parts make no tile, unless a class has so
-   many that it needs them. A class also joins the tiles of the bands below in which a smaller partner may lie.
+   band differ in at most ``D`` shingles (``budget``). The shingles are dealt by hash to ``D + spare`` parts;
+   ``spare`` parts at least then hold exactly the same shingles in both. A tile is the classes of a band with the same
+   shingles in one part: every linked pair meets in that many tiles, by the pigeonhole principle, whatever its content.
+   A class that has company in fewer tiles is linked with none and goes, as most that only share a passage do. Empty
+   parts make no tile, unless a class has so many that it needs them. A class also joins the tiles of the bands below in which a smaller partner may lie.
 3. **Stars.** Tiles are gathered around their hub, the member with the most company in all its tiles. A star of up to
    ``UNIT`` classes is one unit of work; a larger one is cut into units that each hold the hub.
 4. **Within a unit** bitmaps of hashed shingles are compared first: bits that only one side has bound the overlap from
@@ -30,13 +30,14 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablewright.llm.common import slices
 from tablewright.session import checkpoint_root, settle, ship_package
 
-SPARE = 3              # parts beyond the number of differing shingles
+SPARE = 8              # differing shingles for each part beyond their number, besides three
 BAND = 1.5             # largest over smallest size of a band
+PRUNINGS = 2           # times that classes with too little company are left out
 UNIT = 512             # classes compared in one unit of work, about
 PIECE = 1 << 22        # bytes of text handled at once
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -124,9 +125,12 @@ def budget(band: int, percent: int) -> int:
     return (100 - percent) * (end + 100 * end // percent) // (100 + percent)
 
 
-def tiles(found: np.ndarray, percent: int) -> np.ndarray:
-    """The tile keys of a set: its own band, and those below in which smaller partners may lie."""
-    size, keys = len(found), []
+def tiles(found: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The tile keys of a set, and in how many tiles it meets any partner, at least.
+
+    It has keys in its own band and in those below in which smaller partners may lie.
+    """
+    size, keys, least = len(found), [], []
     own = band_of(size)
     for band in range(own, -1, -1):
         if band < own and percent * size > 100 * band_end(band):
@@ -134,14 +138,17 @@ def tiles(found: np.ndarray, percent: int) -> np.ndarray:
         differing = budget(band, percent)
         if not differing:
             continue          # only equal sets link, and these are one class already
-        parts = differing + SPARE
+        spare = 3 + differing // SPARE
+        parts = differing + spare
         part = ((found >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.intp)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, part, mixed(found + np.uint64(1)))
         empty = sums == 0
-        chosen = np.arange(parts) if empty.sum() >= SPARE else np.flatnonzero(~empty)
+        blank = int(empty.sum())
+        chosen = np.arange(parts) if blank >= spare else np.flatnonzero(~empty)
+        least.append(max(spare - blank, 1))
         keys.append(mixed(sums[chosen] * np.uint64(MULTIPLIERS[0]) + (chosen + (band << 24)).astype(np.uint64)))
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+    return (np.concatenate(keys), min(least)) if keys else (np.empty(0, np.uint64), 1)
 
 
 def signed(values: np.ndarray) -> np.ndarray:
@@ -158,26 +165,28 @@ def sets_of(column: pa.Array, n: int) -> Iterator[np.ndarray]:
         yield from shingles(texts[start:end], n)
 
 
-def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit sums that stand for the whole set, and the tile keys, for every row."""
+def signatures(docs: DataFrame, n: int, percent: int, tiled: bool) -> DataFrame:
+    """doc_id, n_shingles, two 64-bit sums that stand for the whole set, and (if ``tiled``) ``tiles``, for every row."""
     ship_package(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, sums, keys = [], [], []
+            sizes, sums, keys, least = [], [], [], []
             for found in sets_of(batch.column(1), n):
                 sizes.append(len(found))
                 sums.append((mixed(found).sum(dtype=np.uint64), mixed(found ^ np.uint64(MULTIPLIERS[0])).sum(dtype=np.uint64)))
-                keys.append(signed(tiles(found, percent)) if len(found) else np.empty(0, np.int64))
+                made, need = tiles(found, percent) if tiled and len(found) else (np.empty(0, np.uint64), 1)
+                keys.append(signed(made))
+                least.append(need)
             sums = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
             offsets = np.cumsum([0] + [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]),
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(least, pa.int32()),
                  pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))],
-                names=["doc_id", "n_shingles", "sum_a", "sum_b", "tiles"])
+                names=["doc_id", "n_shingles", "sum_a", "sum_b", "least", "tiles"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        sign, "doc_id bigint, n_shingles bigint, sum_a bigint, sum_b bigint, tiles array<bigint>")
+        sign, "doc_id bigint, n_shingles bigint, sum_a bigint, sum_b bigint, least int, tiles array<bigint>")
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -269,19 +278,24 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         raise ValueError("n must be positive and percent between 1 and 100")
     checkpoint_root(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed_rows = settle(signatures(ids, n, percent))
+    signed_rows = settle(signatures(ids, n, percent, False).drop("least", "tiles"))
     identity = ["n_shingles", "sum_a", "sum_b"]
     linkable = signed_rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
     equal = linkable.groupBy(*identity).agg(F.min("doc_id").alias("rep"))
-    members = settle(linkable.select("doc_id", *identity).distinct().join(equal, identity).select("doc_id", "rep", *identity))
-
-    owner = members.filter("doc_id = rep").select(F.col("doc_id").alias("own"), *[F.col(c).alias(f"own_{c}") for c in identity])
-    of_class = linkable.dropDuplicates(["doc_id", *identity]).join(
-        owner, (F.col("doc_id") == F.col("own")) & (F.col("sum_a") == F.col("own_sum_a"))
-        & (F.col("sum_b") == F.col("own_sum_b")) & (F.col("n_shingles") == F.col("own_n_shingles")))
-    in_tiles = of_class.select(F.col("doc_id").alias("member"), F.explode("tiles").alias("tile"))
-    shared = in_tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("company")).filter("company > 1")
-    in_tiles = settle(in_tiles.join(shared, "tile"))
+    members = settle(linkable.select("doc_id", *identity).distinct().join(equal, identity).select("doc_id", "rep"))
+
+    # Keys are made from the texts again rather than stored: they are the bulk of the work's bytes. Copies are merged
+    # before they are shuffled, and what is alone in its tile goes before anything is written.
+    keyed = signatures(ids.filter("doc_id IS NOT NULL"), n, percent, True).filter(F.size("tiles") > 0)
+    of_class = keyed.groupBy(*identity).agg(F.min(F.struct("doc_id", "least", "tiles")).alias("class"))
+    in_tiles = of_class.select(F.col("class.doc_id").alias("member"), F.col("class.least").alias("least"),
+                               F.explode("class.tiles").alias("tile"))
+    company = F.count(F.lit(1)).over(Window.partitionBy("tile"))
+    for _ in range(PRUNINGS):
+        in_tiles = settle(in_tiles.withColumn("company", company).filter("company > 1"))
+        met = in_tiles.groupBy("member").agg(F.count(F.lit(1)).alias("met"))
+        in_tiles = in_tiles.join(met, "member").filter("met >= least").select("member", "least", "tile")
+    in_tiles = settle(in_tiles.withColumn("company", company).filter("company > 1"))
     standing = in_tiles.groupBy("member").agg(F.sum("company").alias("standing"))
     ranked = in_tiles.join(standing, "member")
     hubs = ranked.groupBy("tile").agg(F.min(F.struct(-F.col("standing"), F.col("member")))["member"].alias("hub"))
