@@ -39,7 +39,7 @@ SPARE = 8              # differing shingles for each part beyond their number, b
 BAND = 1.5             # largest over smallest size of a band
 PRUNINGS = 2           # times that classes with too little company are left out
 UNIT = 512             # classes compared in one unit of work, about
-PIECE = 1 << 22        # bytes of text handled at once
+PIECE = 1 << 20        # bytes of text handled at once
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BASE = 0x5851F42D4C957F2D
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -80,7 +80,7 @@ def shingles(texts: list[bytes], n: int) -> list[np.ndarray]:
     inside = values != 0
     edges = np.flatnonzero(np.diff(np.r_[False, inside].astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
-    size = 1 << max(16, int(len(joined)).bit_length())
+    size = 1 << max(16, (len(joined) - 1).bit_length())
     total = np.r_[np.uint64(0), np.cumsum(values * powers(size, BASE)[:len(values)], dtype=np.uint64)]
     words = mixed((total[ends] - total[starts]) * powers(size, INVERSE)[starts] + (ends - starts).astype(np.uint64))
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])

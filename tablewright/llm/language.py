@@ -28,7 +28,7 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 EVIDENCE = 50
-PIECE = 1 << 19        # characters handled at once
+PIECE = 1 << 18        # characters handled at once
 UNKNOWN = "und"
 
 

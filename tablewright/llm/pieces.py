@@ -28,7 +28,7 @@ from tablewright.llm.words import WordMemory
 from tablewright.session import ship_package
 
 MARK = "▁"
-PIECE = 1 << 21        # characters handled at once
+PIECE = 1 << 20        # characters handled at once
 
 
 class Pieces:

@@ -38,7 +38,7 @@ MAGIC = b"TWT1"
 HEAD = struct.Struct("<4sIIII")
 BLOCK = 2_048                    # ids in a block
 CHUNK = 1 << 22                  # ids in a chunk, about: whole documents, the last may be longer
-PIECE = 1 << 21                  # characters tokenized at once
+PIECE = 1 << 20                  # characters tokenized at once
 FIRST, SECOND = 1_024, 2_048     # contexts an order remembers in a block
 STEP = 24                        # what a seen symbol adds to its count
 MIX_LIMIT, CLASS_LIMIT = 1 << 11, 1 << 12

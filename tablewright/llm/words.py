@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-REMEMBERED = 800_000       # words kept in a worker at a time
+REMEMBERED = 300_000       # words kept in a worker at a time
 LONG = 1 << 20             # characters in words over 64 characters, at which it starts anew
 
 
