@@ -4,7 +4,8 @@
 2. quality classifier: documents that score below the threshold go.
 3. n-gram Jaccard join: one document of each near-duplicate group stays (five words, similarity 0.8).
 4. mixing: the rest is put into the order of the Pfair schedule of its sources.
-5. SentencePiece: the piece ids of every whole text are added.
+5. SentencePiece: the piece ids of every whole text are added, and each document's place in the mix (``mix_position``), as
+   files that are read again keep no order.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm import jaccard, language, mixing, pieces, quality
+from tablewright.llm.common import fresh_name
 from tablewright.session import settle
 
 
@@ -37,7 +39,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with ``piece_ids`` and whether they decode to the text."""
+    """All documents with their place in the mix, ``piece_ids`` and whether they decode to the text."""
+    docs = mixing.placed(docs, fresh_name(docs, "mix_position"))
     return pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -111,12 +111,21 @@ def positions(docs: DataFrame, weights: Mapping | None = None, block_rows: int =
         (F.col("row_base") + along * block_rows + F.col("_row") % block_rows).alias("position"))
 
 
+def placed(docs: DataFrame, name: str, weights: Mapping | None = None, block_rows: int = 16) -> DataFrame:
+    """``docs`` with ``name``, the position in the mixed order.
+
+    Repeated rows of one doc_id and source share a place.
+    """
+    places = positions(docs.select("doc_id", "source").distinct(), weights, block_rows)
+    places = places.select("doc_id", "source", F.col("position").alias(name))
+    return join_keys(docs, places, ["doc_id", "source"])
+
+
 def mixed(docs: DataFrame, weights: Mapping | None = None, block_rows: int = 16) -> DataFrame:
     """``docs`` in the mixed order: range partitioned by position and sorted, columns as they were.
 
-    Repeated rows of one doc_id and source share a place and follow each other.
+    Repeated rows of one doc_id and source follow each other. Files that are read again come in any order; ``placed`` has
+    the position as a column, the same one for the same rows.
     """
-    places = positions(docs.select("doc_id", "source").distinct(), weights, block_rows)
-    places = places.select("doc_id", "source", F.col("position").alias("_position"))
-    ordered = join_keys(docs, places, ["doc_id", "source"])
+    ordered = placed(docs, "_position", weights, block_rows)
     return ordered.repartitionByRange("_position").sortWithinPartitions("_position").drop("_position")

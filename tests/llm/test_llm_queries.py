@@ -1,10 +1,12 @@
 """The registered queries: names, columns and kinds by contract; the one in SQL against DuckDB; the pipeline by stages."""
 
+from collections import Counter
+
 import corpus_pipeline
 import oracle
 import pytest
 from test_llm_jaccard import plain, plain_set
-from text_cases import documents
+from text_cases import DOCS, documents
 
 import __spark_entry__ as contract
 from tablewright.llm import language, quality
@@ -82,5 +84,22 @@ def test_awkward_rows_through_all_stages(spark):
     assert empty.count() == 0
 
 
+def test_the_mix_lasts_to_the_result(spark):
+    """Sorted by ``mix_position``, what the last stage wrote keeps every prefix at the targets, whatever its files' order."""
+    rows = {"a": 1_600, "b": 400, "c": 100}
+    docs = spark.createDataFrame([(n, f"word {n}", "en", s, 6) for s in rows for n in range(rows[s])], DOCS).repartition(7)
+    mixed = settle(corpus_pipeline.source_mixing(spark, docs, SF))
+    found = settle(corpus_pipeline.sentencepiece(spark, mixed, SF).repartition(5)).orderBy("mix_position").collect()
+    assert [r["mix_position"] for r in found] == list(range(2_100))
+    seen, weights = Counter(), {s: n ** 0.5 for s, n in rows.items()}
+    for at, row in enumerate(found, start=1):
+        seen[row["source"]] += 1
+        if at % 16 == 0:
+            assert all(abs(seen[s] - at * w / sum(weights.values())) < 16 for s, w in weights.items())
+        if any(seen[s] > n - 16 for s, n in rows.items()):
+            break
+    assert at > 600
+
+
 def test_scores_reject_by_threshold():
     assert quality.THRESHOLD == 0.3
