@@ -4,11 +4,11 @@ Rows of a source form blocks of ``block_rows`` in order of doc_id. With a source
 released at slot floor(j / w) and due by slot ceil((j + 1) / w). Earliest deadline first fills every slot, so
 that in any prefix of the order each source is less than one block away from its target share.
 
-Weights are taken as whole shares of a period, so the schedule repeats after one period and is worked out for
-that alone, on the driver; a block's slot then follows from its number by arithmetic. When a source runs out
-of blocks, the others go on by their weights: a new phase begins, with as many phases as sources. Every row
-is placed. What the driver sees is one count for each source; the table of phases holds at most
-sources x (period + sources) whole numbers.
+Weights are taken exactly, as whole shares of one long period, so the bound holds for the targets themselves at
+every length. When a source runs out of blocks, the others go on by their weights: a new phase begins, with as
+many phases as sources. Every row is placed. The driver sees one count for each source and deals the blocks one
+by one, ``period`` slots to a row of the plan, without reading any row; the plan is handed to Spark in parts of
+``HELD`` slots, and joined by source and block.
 
 A NULL source is a source like any other. Positions count from 0 without gaps.
 """
@@ -16,17 +16,21 @@ A NULL source is a source like any other. Positions count from 0 without gaps.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from functools import reduce
+from itertools import islice
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.llm.common import join_keys, numbered
+from tablewright.session import settle
 
-PERIOD = 1_024
-SMALL_TABLE = 1 << 20     # whole numbers in the table of phases up to which it is broadcast
+PERIOD = 1_024            # slots in a row of the plan
+HELD = 1 << 20            # slots of the plan that the driver holds at a time
 PLAN = ("source string, phase int, first_block bigint, end_block bigint, slot_base bigint, row_base bigint, "
-        "share int, period int, slots array<int>")
+        "share int, period int, slots array<bigint>")
 
 
 def shares(weights: Mapping, period: int = PERIOD) -> dict:
@@ -55,32 +59,71 @@ def pfair(share: Mapping) -> dict:
     return slots
 
 
-def phases(counts: Mapping, weights: Mapping, block_rows: int, period: int = PERIOD) -> list[tuple]:
-    """Rows of ``PLAN``: where each source's blocks lie while the set of sources with blocks is the same."""
+def exact(weights: Mapping) -> dict:
+    """The weights as whole numbers in exactly the same proportions."""
+    parts = {source: Fraction(weight) for source, weight in weights.items()}
+    common = math.lcm(*(part.denominator for part in parts.values()))
+    whole = {source: int(part * common) for source, part in parts.items()}
+    divisor = math.gcd(*whole.values())
+    return {source: share // divisor for source, share in whole.items()}
+
+
+def deal(left: Mapping, share: Mapping) -> Iterator:
+    """The source of each slot by earliest deadline first, until one of them has no more of its blocks."""
+    total, sources = sum(share.values()), list(left)
+    weight, blocks = [share[source] for source in sources], [left[source] for source in sources]
+    given = [0] * len(sources)
+    waiting = [(0, rank) for rank in range(len(sources))]     # (release, source)
+    ready: list[tuple[int, int]] = []                         # (deadline, source)
+    slot = 0
+    while True:
+        while waiting and waiting[0][0] <= slot:
+            _, rank = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(given[rank] + 1) * total // weight[rank]), rank))
+        _, rank = heapq.heappop(ready)
+        given[rank] += 1
+        yield sources[rank]
+        if given[rank] == blocks[rank]:
+            return
+        heapq.heappush(waiting, (given[rank] * total // weight[rank], rank))
+        slot += 1
+
+
+def phases(counts: Mapping, weights: Mapping, block_rows: int, period: int = PERIOD) -> Iterator[tuple]:
+    """Rows of ``PLAN``, up to ``period`` slots each: where each source's blocks lie."""
     left = {source: -(-rows // block_rows) for source, rows in counts.items() if rows}
     begun = dict.fromkeys(left, 0)
-    plan, slot_base, row_base, phase = [], 0, 0, 0
+    slot_base, row_base, phase = 0, 0, 0
     while left:
-        share = shares({source: weights[source] for source in left}, period)
-        whole, slots = sum(share.values()), pfair(share)
-
-        def slot_of(source, block):
-            return block // share[source] * whole + slots[source][block % share[source]]
-
-        last, out = min((slot_of(source, n - 1), i, source) for i, (source, n) in enumerate(left.items()))[::2]
-        length = last + 1
-        done = {source: length // whole * share[source] + bisect_left(slots[source], length % whole) for source in left}
-        for source in left:
-            plan.append((source, phase, begun[source], begun[source] + done[source], slot_base, row_base,
-                         share[source], whole, slots[source]))
-        for source in list(left):
-            begun[source] += done[source]
-            left[source] -= done[source]
-            if not left[source]:
-                del left[source]
+        dealt, length = deal(left, exact({source: weights[source] for source in left})), 0
+        while part := list(islice(dealt, period)):
+            slots: dict = {}
+            for slot, out in enumerate(part, start=length):
+                slots.setdefault(out, []).append(slot)
+            for source, own in slots.items():
+                yield (source, phase, begun[source], begun[source] + len(own), slot_base, row_base, len(own), period, own)
+                begun[source] += len(own)
+                left[source] -= len(own)
+            length += len(part)
+        del left[out]
         missing = -counts[out] % block_rows            # the phase ends with the last, partial block of ``out``
         slot_base, row_base, phase = slot_base + length, row_base + length * block_rows - missing, phase + 1
-    return plan
+
+
+def plan_table(spark: SparkSession, rows: Iterator[tuple]) -> DataFrame:
+    """source, block, phase, slot and the position of its first row, for every block of the plan."""
+    tables, held, size = [], [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= HELD:
+            tables.append(settle(spark.createDataFrame(held, PLAN)))
+            held, size = [], 0
+    tables.append(spark.createDataFrame(held, PLAN))
+    plan = reduce(DataFrame.union, tables)
+    each = plan.select("source", "phase", "first_block", "slot_base", "row_base", F.posexplode("slots").alias("_at", "_slot"))
+    return each.select("source", (F.col("first_block") + F.col("_at")).alias("block"), "phase",
+                       (F.col("slot_base") + F.col("_slot")).alias("slot"), "row_base", "_slot")
 
 
 def positions(docs: DataFrame, weights: Mapping | None = None, block_rows: int = 16, period: int = PERIOD) -> DataFrame:
@@ -96,19 +139,12 @@ def positions(docs: DataFrame, weights: Mapping | None = None, block_rows: int =
     unknown = [source for source in counts if source not in weights]
     if unknown or any(weights[source] <= 0 for source in counts):
         raise ValueError(f"every source needs a positive weight: {unknown[:5]}")
-    rows = phases(counts, weights, block_rows, period)
-    plan = spark.createDataFrame(rows, PLAN)
-    if sum(9 + len(row[-1]) for row in rows) <= SMALL_TABLE:
-        plan = F.broadcast(plan)
-    placed = numbered(docs.select("doc_id", "source"), ["source"], ["doc_id"], "_row")
-    placed = placed.withColumn("block", F.floor(F.col("_row") / block_rows))
-    joined = placed.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))
-                         & (F.col("block") >= F.col("first_block")) & (F.col("block") < F.col("end_block")))
-    step = F.col("block") - F.col("first_block")
-    along = F.floor(step / F.col("share")) * F.col("period") + F.get("slots", (step % F.col("share")).cast("int"))
-    return joined.select(
-        "doc_id", "source", "block", "phase", (F.col("slot_base") + along).alias("slot"),
-        (F.col("row_base") + along * block_rows + F.col("_row") % block_rows).alias("position"))
+    plan = plan_table(spark, phases(counts, weights, block_rows, period))
+    rows = numbered(docs.select("doc_id", "source"), ["source"], ["doc_id"], "_row")
+    rows = rows.withColumn("block", F.floor(F.col("_row") / block_rows))
+    return join_keys(rows, plan, ["source", "block"]).select(
+        "doc_id", "source", "block", "phase", "slot",
+        (F.col("row_base") + F.col("_slot") * block_rows + F.col("_row") % block_rows).alias("position"))
 
 
 def placed(docs: DataFrame, name: str, weights: Mapping | None = None, block_rows: int = 16) -> DataFrame:

@@ -20,6 +20,35 @@ def test_every_prefix_is_within_a_block(weights):
         assert all(abs(seen[s] * period - (slot + 1) * share[s]) < period for s in share)
 
 
+@pytest.mark.parametrize("counts", [
+    {0: 333_333} | {n: 33_333 for n in range(1, 21)}, {0: 1_000_000} | {n: 50_000 for n in range(1, 41)},
+    {n: 160 for n in range(3_000)} | {"hot": 50_000}])
+def test_every_prefix_keeps_to_the_real_weights(counts):
+    """The first phase at the default period, by whole numbers: the error of every source in blocks stays under one."""
+    share = mixing.exact({source: rows ** 0.5 for source, rows in counts.items()})
+    total, order = sum(share.values()), {}
+    for source, phase, *_, own in mixing.phases(counts, share, 16):
+        if phase:
+            break
+        order.update(dict.fromkeys(own, source))
+    assert sorted(order) == list(range(len(order)))
+    # A source's error grows between its blocks, so it is looked at right before and right after each, and at the end.
+    seen = Counter()
+    for slot in range(len(order)):
+        source = order[slot]
+        assert seen[source] * total > slot * share[source] - total
+        seen[source] += 1
+        assert seen[source] * total < (slot + 1) * share[source] + total
+    assert all(abs(seen[s] * total - len(order) * share[s]) < total for s in share)
+
+
+def test_a_plan_in_parts(spark, monkeypatch):
+    df = documents(spark)
+    whole = sorted(map(repr, mixing.positions(df, block_rows=2).collect()))
+    monkeypatch.setattr(mixing, "HELD", 1)
+    assert sorted(map(repr, mixing.positions(df, block_rows=2, period=1).collect())) == whole
+
+
 def test_phases_place_every_block():
     counts, weights = {"a": 1_000, "b": 130, "c": 7, None: 64}, {"a": 1, "b": 1, "c": 2, None: 1}
     plan = mixing.phases(counts, weights, 16, 10)
