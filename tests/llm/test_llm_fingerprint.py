@@ -66,3 +66,27 @@ def test_fingerprints_of_long_texts_wrap(spark):
     df = spark.createDataFrame([("a b c " * 3_000,), ("a b c " * 2_999,)], "text string")
     first, second = [r["fingerprint"] for r in fingerprint.fingerprints(df).collect()]
     assert first != second and len(first) == 16 + 15 * fingerprint.WORDS
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_long_texts_keep_their_likeness(spark, repeated):
+    """Texts of some MB that share half of their runs, all different or one line each many times over."""
+    def half(name):
+        words = [f"{name}{0 if repeated else n} {name} line" for n in range(150_000)]
+        return "\n".join(words) + "\n"
+
+    shared, first, second = half("both"), half("one"), half("other")
+    df = spark.createDataFrame([(shared + first, shared + second)], "a string, b string")
+    for name in df.columns:
+        df = fingerprint.with_hash(df, name, name)
+    a, b = F.col("a"), F.col("b")
+    made = df.select(fingerprint.likeness(a, b, fingerprint.centred(a), fingerprint.centred(b)).alias("near"),
+                     a["runs"].alias("runs"), *[fingerprint.centred(c).alias(f"{n}_sums") for n, c in (("a", a), ("b", b))]).first()
+    assert made["runs"] == 300_000
+    assert made["near"] == pytest.approx(0.5, abs=0.3)
+    # No sum has wrapped: those of a multiset are the sums of its parts.
+    parts = spark.createDataFrame([(shared, first)], "s string, t string")
+    for name in parts.columns:
+        parts = fingerprint.with_hash(parts, name, name)
+    s, t = parts.select(*[fingerprint.centred(F.col(c)) for c in "st"]).first()
+    assert all(abs(x + y - z) <= 1 for x, y, z in zip(s, t, made["a_sums"]))
