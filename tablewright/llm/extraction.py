@@ -9,8 +9,8 @@
    ``C/T * log(C/LC * T/LT) / log(ln(C * LC / (C - LC) + C * LCb / Cb + e))`` (with counts of at least one). The element
    with the largest sum of its children's densities is the heart of the text.
 4. The text is the heart's section: the enclosing article or main element, else the nearest container. The least density
-   on the path from there up to the body is the threshold; neighbours along the path that hold paragraphs and reach it
-   belong to the text as well.
+   on the path from there up to the body is the threshold; neighbours along the path, and blocks within them, that reach it
+   belong to the text as well, whatever their element. A heading goes with the block that follows it.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined in page order by one line
 break. NULL or empty pages give an empty text.
@@ -49,6 +49,7 @@ NOISE = frozenset(
     "disqus replies reply discussion menu nav navbar navigation breadcrumb breadcrumbs topbar footer header masthead related "
     "recommended share sharing social pagination pager toolbar widget hidden skip banner alert adsbygoogle adbox sitenav".split())
 NOISE_STARTS = ("advert", "sponsor", "cookie", "comment", "newsletter", "breadcrumb", "sidebar")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main".split())
 SECTIONS = frozenset("article main section div body table td blockquote center".split())
 TOKEN = re.compile(
@@ -205,13 +206,26 @@ class Page:
             path.append(self.parents[path[-1]])
         threshold = min(density[n] for n in path)
         on_path = set(path)
-        paragraphs = {self.parents[n] for n, tag in enumerate(self.tags) if tag == "p"}
         for n in range(1, len(self.tags)):
-            if self.parents[n] in on_path and n not in on_path and n in paragraphs and density[n] >= threshold > 0:
+            if n not in on_path and density[n] >= threshold > 0 and (self.parents[n] in on_path or self.tags[n] in BLOCKS):
                 inside[n] = True
         for n in range(1, len(self.tags)):
             inside[n] = (inside[n] or inside[self.parents[n]]) and not self.noise[n]
-        return inside
+        return self.with_headings(inside)
+
+    def with_headings(self, inside: list[bool]) -> list[bool]:
+        """``inside`` with the headings whose next text in page order, other headings aside, is inside."""
+        heading, followed, near = [0] * len(self.tags), set(), False
+        for n in range(1, len(self.tags)):
+            heading[n] = heading[self.parents[n]] or (n if self.tags[n] in HEADINGS else 0)
+        for element, text in reversed(self.events):
+            if text is None or self.noise[element] or not text.strip():
+                continue
+            if inside[element] or not heading[element]:
+                near = inside[element]
+            elif near:
+                followed.add(heading[element])
+        return [kept or heading[n] in followed and not self.noise[n] for n, kept in enumerate(inside)]
 
     def text(self) -> str:
         inside, blocks, parts = self.chosen(), [], []

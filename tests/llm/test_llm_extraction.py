@@ -33,6 +33,25 @@ def test_cases(page):
     assert main_text(page) == CASES[page]
 
 
+def paragraphs(number, length):
+    return "".join(f"<p>{('lorem ipsu' * 99)[:length]}</p>" for _ in range(number))
+
+
+def test_dense_neighbours_without_article_or_main():
+    heart, lead = f"<div>{paragraphs(20, 100)}</div>", "L" * 300
+    assert main_text(f"<body><h1>T</h1><p>{lead}</p>{heart}</body>").split("\n")[:2] == ["T", lead]
+    rest = ["P" * 400, "Q" * 300, "R" * 400, "S" * 400, "T" * 500]
+    page = "<body>{}<pre>{}</pre><blockquote>{}</blockquote><ul><li>{}<li>{}</ul><table><tr><td>{}</table></body>"
+    assert main_text(page.format(heart, *rest)).split("\n")[20:] == rest
+    wrapped = f"<body>{heart}<h2>B</h2><div><div>{paragraphs(20, 100)}</div></div></body>"
+    assert main_text(wrapped).count("lorem") == main_text(heart).count("lorem") * 2 and "\nB\n" in main_text(wrapped)
+    links = "<div>" + "<a href=x>somewhere else</a>" * 20 + "</div>"
+    nested = f"<body>{heart}<div>{links}<div><h3>N</h3>{paragraphs(20, 120)}</div></div></body>"
+    assert "\nN\n" in main_text(nested) and "somewhere" not in main_text(nested)
+    alone = f"<body><h3>Links</h3>{links}{heart}<h2>More</h2>{links}<p>(c) 2020</p></body>"
+    assert main_text(alone) == main_text(heart)
+
+
 def test_densities_by_hand():
     page = Page("<div><p>abcde</p><p>fgh<a>ij</a></p></div>")
     density, sums = page.densities()
