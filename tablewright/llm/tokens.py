@@ -274,12 +274,15 @@ def unpack(chunk: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def byte_bpe(path: str) -> WordMemory:
-    """A byte-level BPE tokenizer. It never joins what a white-space run begins with what stands before it."""
+def byte_bpe(path: str, as_given: bool = False) -> WordMemory:
+    """A byte-level BPE tokenizer. It never joins what a white-space run begins with what stands before it.
+
+    ``as_given`` takes special tokens that stand in a text by their ids, as the file does; they hold no white space.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not as_given
     return WordMemory(re.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+\Z"),
                       lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
 
@@ -292,7 +295,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
     ship_package(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, shard, start = byte_bpe(tokenizer), TaskContext.get().partitionId(), 0
+        memory, shard, start = byte_bpe(tokenizer, as_given=True), TaskContext.get().partitionId(), 0
         doc_ids, lengths, parts, size = [], [], [], 0
 
         def chunk() -> pa.RecordBatch:

@@ -66,6 +66,20 @@ def test_round_trip_against_the_tokenizer(spark, clashing):
     assert rows_of(found) == sorted(expected, key=repr)
 
 
+def test_special_tokens_are_those_of_the_file(spark):
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "one<|endoftext|>two  <|endoftext|>\n <|endoftext|><|endoftext|> ", "<|endoftext |>"]
+    whole, memory = Tokenizer.from_file(PATH), tokens.byte_bpe(PATH, as_given=True)
+    ids = [whole.encode(text, add_special_tokens=False).ids for text in texts]
+    assert ids[0] == [50256] and [memory.encode_all([text])[0].tolist() for text in texts] == ids
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    expected, start = [], 0
+    for doc_id, own in enumerate(ids):
+        data = np.array(own + [2], "<u4")
+        expected.append((doc_id, start, len(data), zlib.crc32(data.tobytes())))
+        start += len(data)
+    assert rows_of(tokens.round_trip(df, PATH)) == expected
+
+
 def test_empty_table(spark):
     assert tokens.round_trip(spark.createDataFrame([], DOCS), PATH).collect() == []
 
