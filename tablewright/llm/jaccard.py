@@ -3,7 +3,8 @@
 A document's set holds the 64-bit hashes of its distinct shingles of ``n`` words; with fewer words, the whole
 sequence as one. Two documents link when ``100 * intersection >= percent * union``.
 
-1. **Equal sets** become one class, represented by its smallest doc_id, so copies are never paired.
+1. **Equal sets** become one class, so copies are never paired. A class goes by a number hashed from its set (``key``), as
+   rows of one doc_id may have different sets; its smallest doc_id comes in at the end.
 2. **Size-banded tiles.** Only sets of near sizes can link, so classes fall into bands of sizes. Two linked sets of a
    band differ in at most ``D`` shingles (``budget``). The shingles are dealt by hash to ``D + spare`` parts;
    ``spare`` parts at least then hold exactly the same shingles in both. A tile is the classes of a band with the same
@@ -30,7 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablewright.llm.common import slices
 from tablewright.session import checkpoint_root, settle, ship_package
@@ -43,6 +44,12 @@ PIECE = 1 << 20        # bytes of text handled at once
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BASE = 0x5851F42D4C957F2D
 INVERSE = pow(BASE, -1, 1 << 64)
+IDENTITY = ["n_shingles", "sum_a", "sum_b"]
+
+
+def key() -> Column:
+    """The number of a row's class."""
+    return F.xxhash64(*IDENTITY).alias("key")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -174,11 +181,11 @@ def signatures(docs: DataFrame, n: int, percent: int, tiled: bool) -> DataFrame:
             sizes, sums, keys, least = [], [], [], []
             for found in sets_of(batch.column(1), n):
                 sizes.append(len(found))
-                sums.append((mixed(found).sum(dtype=np.uint64), mixed(found ^ np.uint64(MULTIPLIERS[0])).sum(dtype=np.uint64)))
+                sums.append(sums_of([found]))
                 made, need = tiles(found, percent) if tiled and len(found) else (np.empty(0, np.uint64), 1)
                 keys.append(signed(made))
                 least.append(need)
-            sums = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
+            sums = np.concatenate([np.empty((0, 2), np.int64), *sums])
             offsets = np.cumsum([0] + [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(least, pa.int32()),
@@ -241,7 +248,7 @@ def unit_links(sets: list[np.ndarray], labels: list[int], active: int, percent:
 
 def compare(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) links from ``units``: unit, member, label, active (whether to compare it with all of its unit)."""
-    ready = units.join(sets, units["member"] == sets["doc_id"]).select("unit", "member", "label", "active", "hashes")
+    ready = units.join(sets, units["member"] == sets["key"]).select("unit", "member", "label", "active", "hashes")
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["active", "member"], ascending=[False, True], kind="stable")
@@ -279,16 +286,16 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     checkpoint_root(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed_rows = settle(signatures(ids, n, percent, False).drop("least", "tiles"))
-    identity = ["n_shingles", "sum_a", "sum_b"]
-    linkable = signed_rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    equal = linkable.groupBy(*identity).agg(F.min("doc_id").alias("rep"))
-    members = settle(linkable.select("doc_id", *identity).distinct().join(equal, identity).select("doc_id", "rep"))
+    linkable = signed_rows.filter("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", key())
+    equal = linkable.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    members = settle(linkable.distinct().join(equal, "key").select("doc_id", "key", "rep"))
+    reps = members.filter("doc_id = rep").select("key", "rep")
 
     # Keys are made from the texts again rather than stored: they are the bulk of the work's bytes. Copies are merged
     # before they are shuffled, and what is alone in its tile goes before anything is written.
     keyed = signatures(ids.filter("doc_id IS NOT NULL"), n, percent, True).filter(F.size("tiles") > 0)
-    of_class = keyed.groupBy(*identity).agg(F.min(F.struct("doc_id", "least", "tiles")).alias("class"))
-    in_tiles = of_class.select(F.col("class.doc_id").alias("member"), F.col("class.least").alias("least"),
+    of_class = keyed.groupBy(key()).agg(F.min(F.struct("doc_id", "least", "tiles")).alias("class"))
+    in_tiles = of_class.select(F.col("key").alias("member"), F.col("class.least").alias("least"),
                                F.explode("class.tiles").alias("tile"))
     company = F.count(F.lit(1)).over(Window.partitionBy("tile"))
     for _ in range(PRUNINGS):
@@ -302,7 +309,9 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     spokes = settle(in_tiles.join(hubs, "tile").filter("member <> hub").select("hub", "member").distinct())
 
     wanted = settle(spokes.select("member").union(spokes.select("hub")).distinct())
-    sets = settle(hashed_sets(ids.join(wanted, ids["doc_id"] == wanted["member"], "left_semi"), n).dropDuplicates(["doc_id"]))
+    holders = reps.join(wanted, reps["key"] == wanted["member"]).select(F.col("rep").alias("holder"))
+    held = hashed_sets(ids.join(holders, ids["doc_id"] == holders["holder"], "left_semi"), n)
+    sets = settle(held.join(wanted, held["key"] == wanted["member"], "left_semi").dropDuplicates(["key"]))
     many = spokes.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("int").alias("units"))
     dealt = spokes.join(many, "hub").withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("units")).cast("int"))
     dealt = settle(dealt)
@@ -318,16 +327,19 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         links = settle(links.union(cross_links(cut, found, sets, percent)))
         found = components(links)
 
-    grouped = members.join(found, members["rep"] == found["node"], "left").groupBy("doc_id").agg(
-        F.min(F.least("rep", F.coalesce("component", "rep"))).alias("component"))
+    linked = found.join(reps, found["node"] == reps["key"]).select("node", "component", "rep")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = linked.join(least, "component").select("node", "least")
+    grouped = members.join(linked, members["key"] == linked["node"], "left").groupBy("doc_id").agg(
+        F.min(F.coalesce("least", "rep")).alias("component"))
     answer = signed_rows.select("doc_id", "n_shingles").join(grouped.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
     return answer.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_id(members: DataFrame) -> DataFrame:
     """(a, b) links between the classes of one doc_id, where its rows have different sets."""
-    several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a <> last")
-    return members.join(several, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))
+    several = members.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("last")).filter("a <> last")
+    return members.join(several, "doc_id").filter("key <> a").select("a", F.col("key").alias("b"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -344,17 +356,25 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return alone.unionByName(docs.join(copies, docs["doc_id"] == copies["_id"], "left_semi").dropDuplicates(["doc_id"]))
 
 
+def sums_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit sums for each set, which stand for the whole of it."""
+    sums = [(mixed(found).sum(dtype=np.uint64), mixed(found ^ np.uint64(MULTIPLIERS[0])).sum(dtype=np.uint64)) for found in sets]
+    return np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
+
+
 def hashed_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id and the sorted shingle hashes as bytes."""
+    """The class of each row and its sorted shingle hashes as bytes."""
     def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1_000):
-                part = batch.slice(start, 1_000)
+                sets = list(sets_of(batch.column(0).slice(start, 1_000), n))
+                sums = sums_of(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([s.tobytes() for s in sets_of(part.column(1), n)], pa.binary())],
-                    names=["doc_id", "hashes"])
+                    [pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]),
+                     pa.array([s.tobytes() for s in sets], pa.binary())], names=[*IDENTITY, "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(hash_texts, "doc_id bigint, hashes binary")
+    return docs.select("text").mapInArrow(hash_texts, "n_shingles bigint, sum_a bigint, sum_b bigint, hashes binary").select(
+        key(), "hashes")
 
 
 def cross_links(cut: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -132,3 +132,13 @@ def test_keep_one(spark):
     kept = jaccard.keep_one(documents(spark, rows, clashing=True))
     assert kept.columns == documents(spark, rows, clashing=True).columns
     assert sorted(((r["doc_id"] or -1) for r in kept.collect())) == [-1, 3, 8, 9, 10]
+
+
+def test_near_copies_of_both_texts_of_one_id(spark):
+    rng = random.Random(4)
+    x, y = ([f"{name}{rng.randrange(10**6)}" for _ in range(200)] for name in "xy")
+    rows = [(3, " ".join(x)), (3, " ".join(y)), (5, " ".join(x[:-1])), (6, " ".join(y[:-1])), (7, " ".join(y[:-2])), (8, "alone")]
+    check(spark, rows, 3, 90)
+    check(spark, [(2, " ".join(x[:-2]))] + rows, 3, 90)
+    # X and Y have a smaller id of their own, and one row more has the id of Y's.
+    check(spark, [(1, " ".join(x)), (2, " ".join(y)), (2, "other words of no kind")] + rows, 3, 90)
