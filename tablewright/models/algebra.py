@@ -20,13 +20,16 @@ from tablewright.session import ship_package
 CELLS = "group double, i int, j int, value double"
 
 
-def cross_products(df: DataFrame, by_label: bool = False, with_label: bool = False) -> DataFrame:
-    """(group, i, j, value) with i <= j: sums of products of (1, features[, label]) per class.
+def cross_products(df: DataFrame, by_label: bool = False, with_label: bool = False, by: str | None = None,
+                   origin: np.ndarray | None = None) -> DataFrame:
+    """(group, i, j, value) with i <= j: sums of products of (1, features[, label]) per class, or per value of the column ``by``.
 
-    Place 0 is the constant, so row 0 holds the count and the sums.
+    Place 0 is the constant, so row 0 holds the count and the sums. With ``origin``, a point of (features, label), sums are taken
+    about it: near the rows, it keeps the digits that squares of large means would take.
     """
     ship_package(df.sparkSession)
-    rows = df.select(F.col(LABEL).alias("y"), feature_array().alias("x"))
+    rows = df.select(F.col(LABEL).alias("y"), feature_array().alias("x"),
+                     (F.col(by).cast("double") if by else F.col(LABEL) if by_label else F.lit(0.0)).alias("g"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[float, np.ndarray] = {}
@@ -35,8 +38,10 @@ def cross_products(df: DataFrame, by_label: bool = False, with_label: bool = Fal
                 continue
             y = batch["y"].to_numpy(dtype=float)
             parts = [np.ones((len(batch), 1)), np.stack(batch["x"].to_numpy())]
+            if origin is not None:
+                parts[1], y = parts[1] - origin[:-1], y - origin[-1]
             z = np.hstack([*parts, y[:, None]] if with_label else parts)
-            groups = y if by_label else np.zeros(len(batch))
+            groups = batch["g"].to_numpy(dtype=float)
             for g in np.unique(groups):
                 mine = z[groups == g]
                 sums[g] = sums.get(g, 0) + mine.T @ mine
@@ -56,10 +61,18 @@ class Moments:
     scatter: np.ndarray
 
     @classmethod
-    def of(cls, cells: np.ndarray) -> Moments:
+    def of(cls, cells: np.ndarray, origin: np.ndarray | float = 0.0) -> Moments:
         count = cells[0, 0]
         mean = cells[0, 1:] / count
-        return cls(count, mean, cells[1:, 1:] - count * np.outer(mean, mean))
+        return cls(count, mean + origin, cells[1:, 1:] - count * np.outer(mean, mean))
+
+
+def some_row(df: DataFrame) -> np.ndarray:
+    """The features and the label of any row, as an origin for sums."""
+    row = df.select(feature_array().alias("x"), F.col(LABEL).alias("y")).first()
+    if row is None:
+        raise ValueError("the table is empty")
+    return np.array([*row["x"], row["y"]], float)
 
 
 def matrices(cells: DataFrame) -> dict[float, np.ndarray]:
@@ -78,7 +91,9 @@ def matrices(cells: DataFrame) -> dict[float, np.ndarray]:
 
 
 def class_moments(df: DataFrame) -> dict[int, Moments]:
-    return {int(g): Moments.of(m) for g, m in sorted(matrices(cross_products(df, by_label=True)).items())}
+    origin = some_row(df)
+    cells = matrices(cross_products(df, by_label=True, origin=origin))
+    return {int(g): Moments.of(m, origin[:-1]) for g, m in sorted(cells.items())}
 
 
 class LinearScores(Model):
@@ -195,7 +210,11 @@ class Regression:
 
     @classmethod
     def of(cls, df: DataFrame) -> Regression:
-        moments = Moments.of(matrices(cross_products(df, with_label=True))[0.0])
+        origin = some_row(df)
+        return cls.of_moments(Moments.of(matrices(cross_products(df, with_label=True, origin=origin))[0.0], origin))
+
+    @classmethod
+    def of_moments(cls, moments: Moments) -> Regression:
         return cls(moments.count, moments.mean[:-1], float(moments.mean[-1]), moments.scatter[:-1, :-1],
                    moments.scatter[:-1, -1], float(moments.scatter[-1, -1]))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml import Estimator
 from pyspark.ml import classification as c, regression as r
@@ -10,14 +11,34 @@ from pyspark.ml import classification as c, regression as r
 from tablewright.models.algebra import (BayesianRidge, LinearDiscriminant, MatchingPursuit, QuadraticDiscriminant,
                                         RidgeClassifier)
 from tablewright.models.boosting import AdaBoostClassifier, AdaBoostRegressor
+from tablewright.models.histogram import HistogramBoosting
+from tablewright.models.linear import LinearNet
 from tablewright.models.neighbours import NeighbourEstimator
 from tablewright.models.simple import MajorityClass, MeanTarget
+from tablewright.models.trees import ExtraTrees
 from tablewright.schema import CLASSIFICATION, check_task
 
 SEED = 123
+PENALTY = 0.01     # of ridge, lasso and elastic net, for standardized features
 Maker = Callable[[int, str | None], Estimator]
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """How large the iterative models get. Defaults are those of the study's libraries, but for a bound on the depth of trees."""
+
+    trees: int = 100          # of a forest
+    depth: int = 10           # of forests and single trees, which the libraries leave open
+    rounds: int = 100         # of gradient boosting
+    boosted_depth: int = 3
+    leaves: int = 31          # of a tree of histogram boosting
+    adaptive: int = 50        # rounds of adaptive boosting
+    steps: int = 100          # of solvers
+
+
+FULL = Sizes()
+
+
 def per_class(binary: Callable[[], Estimator]) -> Maker:
     """A two-class learner as it is for two classes, one against the rest above."""
     return lambda classes, key: binary() if classes <= 2 else c.OneVsRest(classifier=binary())
@@ -27,48 +48,52 @@ def fixed(build: Callable[[], Estimator]) -> Maker:
     return lambda classes, key: build()
 
 
-def forest_classifier(bagged: bool) -> Estimator:
-    return c.RandomForestClassifier(numTrees=20, maxDepth=8, bootstrap=bagged, featureSubsetStrategy="sqrt", seed=SEED)
-
-
-def forest_regressor(bagged: bool) -> Estimator:
-    return r.RandomForestRegressor(numTrees=20, maxDepth=8, bootstrap=bagged, featureSubsetStrategy="onethird", seed=SEED)
-
-
-# "unbagged" stands where the study ran extra trees: Spark has no trees with random thresholds, and a
-# forest on the full table with random features is the nearest it offers.
-CLASSIFIERS: dict[str, Maker] = {
-    "lr": fixed(lambda: c.LogisticRegression(maxIter=50)),
-    "ridge": fixed(RidgeClassifier),
-    "lda": fixed(LinearDiscriminant),
-    "qda": fixed(QuadraticDiscriminant),
-    "nb": fixed(lambda: c.NaiveBayes(modelType="gaussian")),
-    "svm": per_class(lambda: c.LinearSVC(maxIter=50, standardization=True)),
-    "dt": fixed(lambda: c.DecisionTreeClassifier(maxDepth=8, seed=SEED)),
-    "rf": fixed(lambda: forest_classifier(True)),
-    "unbagged": fixed(lambda: forest_classifier(False)),
-    "gbt": per_class(lambda: c.GBTClassifier(maxIter=10, maxDepth=4, seed=SEED)),
-    "ada": fixed(lambda: AdaBoostClassifier(rounds=10)),
-    "knn": lambda classes, key: NeighbourEstimator(id_column=key),
-    "dummy": fixed(MajorityClass),
-}
-REGRESSORS: dict[str, Maker] = {
-    "linear": fixed(lambda: r.LinearRegression(solver="normal")),
-    "ridge": fixed(lambda: r.LinearRegression(regParam=0.01, elasticNetParam=0.0, solver="normal")),
-    "lasso": fixed(lambda: r.LinearRegression(regParam=0.01, elasticNetParam=1.0, maxIter=50)),
-    "enet": fixed(lambda: r.LinearRegression(regParam=0.01, elasticNetParam=0.5, maxIter=50)),
-    "huber": fixed(lambda: r.LinearRegression(loss="huber", maxIter=50)),
-    "bayes_ridge": fixed(BayesianRidge),
-    "omp": fixed(MatchingPursuit),
-    "dt": fixed(lambda: r.DecisionTreeRegressor(maxDepth=8, seed=SEED)),
-    "rf": fixed(lambda: forest_regressor(True)),
-    "unbagged": fixed(lambda: forest_regressor(False)),
-    "gbt": fixed(lambda: r.GBTRegressor(maxIter=10, maxDepth=4, seed=SEED)),
-    "ada": fixed(lambda: AdaBoostRegressor(rounds=10)),
-    "knn": lambda classes, key: NeighbourEstimator(classify=False, id_column=key),
-    "dummy": fixed(MeanTarget),
-}
-
-
-def models_for(task: str) -> dict[str, Maker]:
-    return CLASSIFIERS if check_task(task) == CLASSIFICATION else REGRESSORS
+def classifiers(sizes: Sizes = FULL) -> dict[str, Maker]:
+    """"unbagged" is a forest on the full table with random features and the best thresholds; "et" has random thresholds too."""
+    forest = {"numTrees": sizes.trees, "maxDepth": sizes.depth, "featureSubsetStrategy": "sqrt", "seed": SEED}
+    return {
+        "lr": fixed(lambda: c.LogisticRegression(maxIter=sizes.steps)),
+        "ridge": fixed(RidgeClassifier),
+        "lda": fixed(LinearDiscriminant),
+        "qda": fixed(QuadraticDiscriminant),
+        "nb": fixed(lambda: c.NaiveBayes(modelType="gaussian")),
+        "svm": per_class(lambda: c.LinearSVC(maxIter=sizes.steps, standardization=True)),
+        "dt": fixed(lambda: c.DecisionTreeClassifier(maxDepth=sizes.depth, seed=SEED)),
+        "rf": fixed(lambda: c.RandomForestClassifier(bootstrap=True, **forest)),
+        "unbagged": fixed(lambda: c.RandomForestClassifier(bootstrap=False, **forest)),
+        "et": fixed(lambda: ExtraTrees(True, sizes.trees, sizes.depth, seed=SEED)),
+        "gbt": per_class(lambda: c.GBTClassifier(maxIter=sizes.rounds, maxDepth=sizes.boosted_depth, seed=SEED)),
+        "hgb": fixed(lambda: HistogramBoosting(True, sizes.rounds, sizes.leaves)),
+        "ada": fixed(lambda: AdaBoostClassifier(rounds=sizes.adaptive)),
+        "knn": lambda classes, key: NeighbourEstimator(id_column=key),
+        "dummy": fixed(MajorityClass),
+    }
+
+
+def regressors(sizes: Sizes = FULL) -> dict[str, Maker]:
+    forest = {"numTrees": sizes.trees, "maxDepth": sizes.depth, "featureSubsetStrategy": "onethird", "seed": SEED}
+    return {
+        "linear": fixed(lambda: r.LinearRegression(solver="normal")),
+        "ridge": fixed(lambda: LinearNet(PENALTY, 0.0)),
+        "lasso": fixed(lambda: LinearNet(PENALTY, 1.0)),
+        "enet": fixed(lambda: LinearNet(PENALTY, 0.5)),
+        "huber": fixed(lambda: r.LinearRegression(loss="huber", maxIter=sizes.steps)),
+        "bayes_ridge": fixed(BayesianRidge),
+        "omp": fixed(MatchingPursuit),
+        "dt": fixed(lambda: r.DecisionTreeRegressor(maxDepth=sizes.depth, seed=SEED)),
+        "rf": fixed(lambda: r.RandomForestRegressor(bootstrap=True, **forest)),
+        "unbagged": fixed(lambda: r.RandomForestRegressor(bootstrap=False, **forest)),
+        "et": fixed(lambda: ExtraTrees(False, sizes.trees, sizes.depth, seed=SEED)),
+        "gbt": fixed(lambda: r.GBTRegressor(maxIter=sizes.rounds, maxDepth=sizes.boosted_depth, seed=SEED)),
+        "hgb": fixed(lambda: HistogramBoosting(False, sizes.rounds, sizes.leaves)),
+        "ada": fixed(lambda: AdaBoostRegressor(rounds=sizes.adaptive)),
+        "knn": lambda classes, key: NeighbourEstimator(classify=False, id_column=key),
+        "dummy": fixed(MeanTarget),
+    }
+
+
+CLASSIFIERS, REGRESSORS = classifiers(), regressors()
+
+
+def models_for(task: str, sizes: Sizes = FULL) -> dict[str, Maker]:
+    return classifiers(sizes) if check_task(task) == CLASSIFICATION else regressors(sizes)

@@ -5,13 +5,17 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writing_lock, _writing = threading.Lock(), []    # what the setting was, then one entry for each write under way
 SMALL_SHARE = 64 << 20     # bytes per core below which a table counts as small
 FEW_ROWS = 1_000           # rows per core not worth spreading
 
@@ -55,15 +59,35 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_folder(spark, "table")
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with shuffle_cleanup(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
+    """Give back shuffle files at the end of each write inside.
+
+    The session has one setting for all its threads: the first one in turns it on, the last one out leaves it as it was.
+    """
+    with _writing_lock:
+        if not _writing:
+            _writing.append(spark.conf.get(SHUFFLE_CLEANUP, None))
+            spark.conf.set(SHUFFLE_CLEANUP, "true")
+        _writing.append(None)
+    try:
+        yield
+    finally:
+        with _writing_lock:
+            _writing.pop()
+            if len(_writing) == 1:
+                before = _writing.pop()
+                if before is None:
+                    spark.conf.unset(SHUFFLE_CLEANUP)
+                else:
+                    spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 class Generations:
     """Settled tables of which only the newest is read: the one before is deleted once the next is written."""
 
@@ -77,6 +101,12 @@ class Generations:
             release(self.spark, os.path.dirname(old[0]))
         return made
 
+    def close(self) -> None:
+        """Delete the newest one too."""
+        old, self.path = self.path, None
+        if old:
+            release(self.spark, os.path.dirname(old[0]))
+
 
 def release(spark: SparkSession, path: str) -> None:
     """Delete a folder beside the checkpoints, on whatever file system they are."""

@@ -16,11 +16,13 @@ from tablewright.models.leaderboard import best_model, compare_models, fold_of
 from tablewright.models.mlp import Network, NetworkClassifier, NetworkRegressor, learning_rate
 from tablewright.models.neighbours import Index
 from tablewright.models.network import Architecture, batch_edges, gradient, loss_and_slope, predict
-from tablewright.models.zoo import CLASSIFIERS, REGRESSORS
+from tablewright.models.zoo import Sizes, classifiers, regressors
 from tablewright.operators.outliers import expected_length, iqr_filter, outlier_report, outlier_scores, remove_outliers
 from tablewright.plans.automl import analyze, automl_prepare
 
 RNG = np.random.default_rng(42)
+SMALL = Sizes(trees=10, depth=6, rounds=12, leaves=8, adaptive=6, steps=50)
+CLASSIFIERS, REGRESSORS = classifiers(SMALL), regressors(SMALL)
 
 
 def frame(spark, x, y):
