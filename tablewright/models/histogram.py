@@ -2,7 +2,7 @@
 
 Features are cut once into at most ``bins`` bins at their quantiles. A round adds one tree (classes above two: one for each, by
 softmax loss). What a leaf needs is the sum of slopes and curvatures per feature and bin: tasks add up their own rows,
-a grouped aggregation merges these, and the best split of each leaf is found from running sums over the bins.
+and one group for each leaf and feature merges these and finds its best split from running sums over the bins.
 
 **Leaf by leaf with few passes.** The next leaf to split is the one of the highest gain, until there are ``leaves``. That order is
 replayed from what is known; when it comes to a leaf whose histogram is missing, one pass over the rows makes all that
@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Estimator, Model
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.models.features import LABEL, PREDICTION, SCORES, argmax, feature_array
 from tablewright.models.trees import matrix
@@ -142,7 +142,7 @@ def slopes(kind: str, scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np
 
 def histograms(rows: DataFrame, kind: str, recent: list[list[FlatTree]], growing: list[FlatTree], wanted: list[dict[int, int]],
                size: int, bins: int) -> DataFrame:
-    """(leaf, feature, bin, slope, curvature, n) of the wanted nodes of the growing trees."""
+    """(leaf, feature, bin, slope, curvature, n) of the wanted nodes of the growing trees, as each task has added them up."""
     shared = rows.sparkSession.sparkContext.broadcast((recent, growing, wanted))
     count = sum(map(len, wanted))
 
@@ -173,31 +173,41 @@ def histograms(rows: DataFrame, kind: str, recent: list[list[FlatTree]], growing
              pa.array((kept % bins).astype(np.int32)), *(pa.array(s[kept]) for s in sums)],
             names=["leaf", "feature", "bin", "slope", "curvature", "n"])
 
-    found = rows.mapInArrow(add_up, "leaf int, feature int, bin int, slope double, curvature double, n double")
-    return found.repartition("leaf", "feature").groupBy("leaf", "feature", "bin").agg(
-        *(F.sum(c).alias(c) for c in ("slope", "curvature", "n")))
+    return rows.mapInArrow(add_up, "leaf int, feature int, bin int, slope double, curvature double, n double")
 
 
-def best_splits(found: DataFrame, penalty: float, min_rows: int, min_curvature: float) -> DataFrame:
-    """Each leaf's sums and its best split, if any: gain, feature, last bin of the left side, sums of the left side."""
-    inside = Window.partitionBy("leaf", "feature")
-    upto = inside.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = found.select("leaf", "feature", "bin", *(F.sum(c).over(upto).alias(f"left_{c}") for c in ("slope", "curvature", "n")),
-                        *(F.sum(c).over(inside).alias(f"all_{c}") for c in ("slope", "curvature", "n")))
+BEST = ("leaf int, feature int, gain double, bin int, left_slope double, left_curvature double, left_rows double, "
+        "slope double, curvature double, n double")
+BEST_NAMES = [part.split()[0] for part in BEST.split(", ")]
 
-    def worth(slope: Column, curvature: Column) -> Column:
+
+def best_splits(found: DataFrame, bins: int, penalty: float, min_rows: int, min_curvature: float) -> DataFrame:
+    """For each leaf and feature the sums of all rows and the best split, if any: gain, last bin of the left side, its sums.
+
+    One group is what the tasks sent for a leaf and a feature, a value for each bin that they met.
+    """
+
+    def worth(slope: np.ndarray, curvature: np.ndarray) -> np.ndarray:
         return slope * slope / (curvature + penalty)
 
-    right = {c: F.col(f"all_{c}") - F.col(f"left_{c}") for c in ("slope", "curvature", "n")}
-    gain = (worth(F.col("left_slope"), F.col("left_curvature")) + worth(right["slope"], right["curvature"])
-            - worth(F.col("all_slope"), F.col("all_curvature")))
-    whole_worth = worth(F.col("all_slope"), F.col("all_curvature"))    # gains below its last digits are no gains
-    enough = ((F.col("left_n") >= min_rows) & (right["n"] >= min_rows) & (F.col("left_curvature") >= min_curvature)
-              & (right["curvature"] >= min_curvature))
-    order = F.when(enough & (gain > 1e-12 + 1e-10 * whole_worth), F.struct(gain, -F.col("feature"), -F.col("bin")))
-    split = F.struct(gain.alias("gain"), "feature", "bin", "left_slope", "left_curvature", F.col("left_n").alias("left_rows"))
-    whole = [F.max(F.struct(-F.col("feature"), F.col(f"all_{c}").alias("sum")))["sum"].alias(c) for c in ("slope", "curvature", "n")]
-    return sums.groupBy("leaf").agg(F.max_by(split, order).alias("best"), *whole).select("leaf", "slope", "curvature", "n", "best.*")
+    def best(table: pa.Table) -> pa.Table:
+        at = table["bin"].to_numpy()
+        sums = np.stack([np.bincount(at, table[c].to_numpy(), bins) for c in ("slope", "curvature", "n")])
+        left, whole = np.cumsum(sums, axis=1), sums.sum(axis=1)
+        right = whole[:, None] - left
+        fits = np.flatnonzero((left[2] >= min_rows) & (right[2] >= min_rows) & (left[1] >= min_curvature) & (right[1] >= min_curvature))
+        node = float(worth(whole[0], whole[1]))
+        gains = worth(left[0, fits], left[1, fits]) + worth(right[0, fits], right[1, fits]) - node
+        row = [table["leaf"][0].as_py(), table["feature"][0].as_py(), None, None, None, None, None, *whole.tolist()]
+        # gains below the last digits of what they are differences of are none
+        if len(fits) and (top := int(np.argmax(gains))) >= 0 and gains[top] > 1e-12 + 1e-10 * node:
+            row[2:7] = [float(gains[top]), int(fits[top]), *left[:, fits[top]].tolist()]
+        return pa.table([pa.array([v], t) for v, t in zip(row, BEST_TYPES)], names=BEST_NAMES)
+
+    return found.groupBy("leaf", "feature").applyInArrow(best, BEST)
+
+
+BEST_TYPES = [pa.int32(), pa.int32(), pa.float64(), pa.int32(), *[pa.float64()] * 6]
 
 
 class Boosted(Model):
@@ -308,9 +318,13 @@ class HistogramBoosting(Estimator):
                 number += len(leaves)
                 asked += leaves
             found = histograms(rows, kind, recent, growing, wanted, size, self.bins)
-            best = {r["leaf"]: r for r in best_splits(found, self.penalty, self.min_rows, self.min_curvature).collect()}
+            best = {}
+            for r in best_splits(found, self.bins, self.penalty, self.min_rows, self.min_curvature).collect():
+                order = (r["gain"] is not None, r["gain"] or 0.0, -r["feature"])
+                if r["leaf"] not in best or order > best[r["leaf"]][0]:
+                    best[r["leaf"]] = order, r
             for n, leaf in enumerate(asked):
-                leaf.learn(best.get(n))
+                leaf.learn(best[n][1] if n in best else None)
         if not any(g.split for g in growth):
             return None
         return [flat(g.root, {id(leaf) for leaf in g.split}, self.rate, self.penalty) for g in growth]

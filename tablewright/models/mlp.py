@@ -1,8 +1,11 @@
 """Data-parallel training of the multilayer perceptron.
 
-Each epoch is one Spark job: every partition runs the mini-batch loop over its own rows, starting
-from the shared weights, and sends back its weights; Spark averages them by rows, entry by entry
-(parallel SGD: Zinkevich and others, 2010). With one partition this is the plain sequential loop.
+Each epoch is one Spark job: every worker runs the mini-batch loop over its own rows, starting from the shared weights, and
+sends back its weights as one block; blocks are added up in a tree, in the order of workers, and averaged by rows (parallel SGD:
+Zinkevich and others, 2010). With one worker this is the plain sequential loop.
+
+A row's worker comes from a hash of the row, and its place in an epoch from a hash of the row and the epoch, by which Spark
+sorts each worker's rows. Partitions, files and cores therefore change nothing: the same rows give the same weights.
 """
 
 from __future__ import annotations
@@ -13,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,29 +26,72 @@ from tablewright.schema import CLASSIFICATION, REGRESSION
 from tablewright.session import settle_partitions, ship_package
 
 EPOCHS, BATCH, SEED = 100, 32, 123       # fixed values: the study's defaults and seed
-CHUNK_ROWS = 10_000                      # rows a task shuffles and trains on at a time
-WORKER_ROWS = 4_000                      # least rows worth a worker of their own
-CHANGES = "place int, total double, rows double"
-LOSS, RIGHT = -1, -2                     # places below the weights: batch losses, right answers
+WORKER_ROWS = 50_000                     # rows for each worker, if their number is not given
+FAN = 16                                 # blocks that one task of the tree adds up
+BLOCKS = "worker long, state binary, rows double, losses double, batches double, right double"
+BLOCK_NAMES = [part.split()[0] for part in BLOCKS.split(", ")]
 
 
 def learning_rate(epoch: int) -> float:
     return LEARNING_RATE * RATE_FACTOR ** (epoch // RATE_STEP)
 
 
-def chunks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows in pieces of ``size``, so that a task never holds its whole partition."""
-    held, rows = [], 0
-    for batch in batches:
-        held.append(batch)
-        rows += len(batch)
-        while rows >= size + 2:
-            whole = pd.concat(held)
-            yield np.stack(whole["x"][:size].to_numpy()).astype(float), whole["y"][:size].to_numpy(dtype=float)
-            held, rows = [whole[size:]], rows - size
-    if rows:
-        whole = pd.concat(held)
-        yield np.stack(whole["x"].to_numpy()).astype(float), whole["y"].to_numpy(dtype=float)
+def runs(tables: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Neighbouring rows of one worker: its number, features, labels."""
+    for table in tables:
+        worker = table["worker"].to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(worker)) + 1).tolist(), len(worker)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if a < b:
+                yield int(worker[a]), np.stack(table["x"][a:b].to_numpy()).astype(float), table["y"][a:b].to_numpy(dtype=float)
+
+
+class Worker:
+    """The mini-batch loop of one worker, rows fed as they come; a last batch of one row joins the one before."""
+
+    def __init__(self, net: Architecture, shared: tuple, batch: int, rate: float, random: np.random.Generator):
+        weights, first, second, steps = shared
+        self.net, self.batch, self.rate, self.random = net, batch, rate, random
+        self.weights, self.adam = weights.copy(), Adam(len(first), first.copy(), second.copy(), steps)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = self.rows = self.batches = self.right = 0
+        self.losses = 0.0
+
+    def feed(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.held.append((x, y))
+        self.waiting += len(y)
+        if self.waiting >= self.batch + 2:
+            x, y = (np.concatenate(parts) for parts in zip(*self.held))
+            whole = (len(y) - 2) // self.batch * self.batch        # so that two rows at least are left
+            for at in range(0, whole, self.batch):
+                self.learn(x[at:at + self.batch], y[at:at + self.batch])
+            self.held, self.waiting = [(x[whole:], y[whole:])], len(y) - whole
+
+    def learn(self, x: np.ndarray, y: np.ndarray) -> None:
+        loss, out, slopes = gradient(self.net, self.weights, x, y, self.random)
+        self.adam.step(self.weights, slopes, self.rate)
+        self.losses, self.batches, self.rows = self.losses + loss, self.batches + 1, self.rows + len(y)
+        if self.net.task == CLASSIFICATION:
+            self.right += int((out.argmax(axis=1) == y).sum())
+
+    def block(self, number: int) -> tuple:
+        """What is left is trained on, and all is handed in: the state weighed by its rows."""
+        if self.waiting:
+            x, y = (np.concatenate(parts) for parts in zip(*self.held))
+            for a, b in batch_edges(len(y), self.batch):
+                self.learn(x[a:b], y[a:b])
+        state = np.concatenate([self.weights, self.adam.first, self.adam.second, [self.adam.steps]]) * self.rows
+        return number, state.tobytes(), float(self.rows), self.losses, float(self.batches), float(self.right)
+
+
+def added(blocks: pd.DataFrame) -> pd.DataFrame:
+    """One block for many, added up in the order of workers."""
+    blocks = blocks.sort_values("worker")
+    state = np.zeros(len(blocks["state"].iloc[0]) // 8)
+    for part in blocks["state"]:
+        state += np.frombuffer(part)
+    sums = {c: [float(blocks[c].sum())] for c in ("rows", "losses", "batches", "right")}
+    return pd.DataFrame({"worker": [int(blocks["worker"].iloc[0])], "state": [state.tobytes()], **sums})
 
 
 class Trainer(Estimator):
@@ -71,51 +116,45 @@ class Trainer(Estimator):
         if not found["rows"]:
             raise ValueError("the table is empty")
         net = Architecture(found["features"], self.outputs(found["labels"], found["highest"]), self.task)
-        workers = self.workers or max(1, min(spark.sparkContext.defaultParallelism,
-                                             math.ceil(found["rows"] / WORKER_ROWS)))
-        data = settle_partitions(rows.repartition(workers))
+        workers = self.workers or math.ceil(found["rows"] / WORKER_ROWS)
+        placed = rows.withColumn("worker", F.pmod(F.xxhash64(F.lit(self.seed), "x", "y"), F.lit(workers)))
+        data = settle_partitions(placed.repartition(workers, "worker"))
         vector, size = net.initial(self.seed), net.trained_size()
         adam, history = Adam(size), []
         for epoch in range(self.epochs):
-            vector, adam, scores = self.run_epoch(data, net, vector, adam, epoch)
-            history.append((epoch + 1, *scores))
+            vector, adam, scores = self.run_epoch(data, net, vector, adam, epoch, workers)
+            history.append((epoch + 1, *scores, learning_rate(epoch)))
         return Network(net, vector, history)
 
-    def run_epoch(self, data: DataFrame, net: Architecture, vector: np.ndarray, adam: Adam,
-                  epoch: int) -> tuple[np.ndarray, Adam, tuple[float, float | None]]:
-        context = data.sparkSession.sparkContext
-        shared = context.broadcast((vector, adam.first, adam.second, adam.steps))
-        batch, seed, rate, classes = self.batch, self.seed, learning_rate(epoch), self.task == CLASSIFICATION
-
-        def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            start, first, second, steps = shared.value
-            weights, mine = start.copy(), Adam(len(first), first.copy(), second.copy(), steps)
-            random = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
-            seen = losses = runs = right = 0
-            for x, y in chunks(batches, CHUNK_ROWS):
-                order = random.permutation(len(y))
-                x, y = x[order], y[order]
-                for a, b in batch_edges(len(y), batch):
-                    loss, out, slopes = gradient(net, weights, x[a:b], y[a:b], random)
-                    mine.step(weights, slopes, rate)
-                    losses, runs = losses + loss, runs + 1
-                    right += int((out.argmax(axis=1) == y[a:b]).sum()) if classes else 0
-                seen += len(y)
-            if seen:
-                state = np.concatenate([weights, mine.first, mine.second, [mine.steps]])
-                yield pd.DataFrame({"place": np.arange(len(state), dtype="int32"), "total": state * seen,
-                                    "rows": float(seen)})
-                yield pd.DataFrame({"place": np.array([LOSS, RIGHT], dtype="int32"),
-                                    "total": [losses, float(right)], "rows": [float(runs), float(seen)]})
-
-        sums = (data.mapInPandas(train, CHANGES).groupBy("place")
-                .agg((F.sum("total") / F.sum("rows")).alias("mean")).toPandas().set_index("place")["mean"])
+    def run_epoch(self, data: DataFrame, net: Architecture, vector: np.ndarray, adam: Adam, epoch: int,
+                  workers: int) -> tuple[np.ndarray, Adam, tuple[float, float | None]]:
+        shared = data.sparkSession.sparkContext.broadcast((vector, adam.first, adam.second, adam.steps))
+        batch, seed, rate = self.batch, self.seed, learning_rate(epoch)
+
+        def train(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, worker = None, None
+            for number, x, y in runs(tables):
+                if number != now:
+                    if worker:
+                        yield pd.DataFrame([worker.block(now)], columns=BLOCK_NAMES)
+                    now, worker = number, Worker(net, shared.value, batch, rate, np.random.default_rng([seed, epoch, number]))
+                worker.feed(x, y)
+            if worker:
+                yield pd.DataFrame([worker.block(now)], columns=BLOCK_NAMES)
+
+        order = F.xxhash64(F.lit(seed), F.lit(epoch), "x", "y")
+        blocks, left = data.sortWithinPartitions("worker", order).mapInPandas(train, BLOCKS), workers
+        while left > FAN:
+            group = F.floor(F.col("worker") / F.lit(FAN))
+            blocks, left = blocks.groupBy(group.alias("_group")).applyInPandas(added, BLOCKS).withColumn("worker", group), math.ceil(left / FAN)
+        whole = added(blocks.toPandas()).iloc[0]
         shared.unpersist()
-        state = sums[sums.index >= 0].sort_index().to_numpy()
+        state = np.frombuffer(whole["state"]) / whole["rows"]
         edges = np.cumsum([len(vector), len(adam.first), len(adam.second)])
         new, first, second, steps = np.split(state, edges)
-        accuracy = 100.0 * float(sums[RIGHT]) if classes else None
-        return new.copy(), Adam(len(first), first.copy(), second.copy(), int(round(steps[0]))), (float(sums[LOSS]), accuracy)
+        accuracy = float(100.0 * whole["right"] / whole["rows"]) if self.task == CLASSIFICATION else None
+        return (new.copy(), Adam(len(first), first.copy(), second.copy(), int(round(steps[0]))),
+                (float(whole["losses"] / whole["batches"]), accuracy))
 
 
 class NetworkClassifier(Trainer):
@@ -156,9 +195,9 @@ class Network(Model):
         return found.withColumn(PREDICTION, F.get(SCORES, F.lit(0))).drop(SCORES)
 
     def history(self, spark: SparkSession, scenario: str) -> DataFrame:
-        """(scenario, epoch, loss, accuracy): mean batch loss, and percent right for classes."""
+        """(scenario, epoch, loss, accuracy, rate): mean batch loss, percent right for classes, learning rate."""
         rows = [(scenario, *r) for r in self.epochs_run]
-        return spark.createDataFrame(rows, "scenario string, epoch int, loss double, accuracy double")
+        return spark.createDataFrame(rows, "scenario string, epoch int, loss double, accuracy double, rate double")
 
     def save_to(self, spark: SparkSession, path: str) -> None:
         row = (json.dumps(self.net.info()), [float(v) for v in self.vector])

@@ -10,9 +10,11 @@ from tablewright.models.features import assemble
 from tablewright.models.histogram import HistogramBoosting
 from tablewright.models.linear import Folds, choices
 from tablewright.models.trees import ExtraTrees, described
-from tablewright.queries.modelling import CHARGE_SQL, charge
+from tablewright.models.zoo import PENALTY, REGRESSORS
+from tablewright.queries.modelling import CHARGE_SQL, assessed, charge
 from tablewright.queries.registry import query
 from tablewright.queries.tables import table
+from tablewright.session import settle_for_training
 
 SEED, FOREST = 123, 3
 FLAG_SQL = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
@@ -195,3 +197,33 @@ def matching_pursuit_pick_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(name, float(w), float(model.offset)) for name, w in zip(CLASS_PAIR, model.weights) if w]
     made = spark.createDataFrame(rows, "feature string, weight double, intercept double")
     return made.withColumns({c: round_to(ref(c), 6) for c in ("weight", "intercept")})
+
+
+def net_sql(name: str, penalty: float, share: float) -> str:
+    """Weights in closed form as in the path, with the errors on the rows themselves."""
+    return f"""
+WITH d AS (SELECT {PAIR_SQL}, {CHARGE_SQL} AS y FROM lineitem),
+c AS (SELECT count(*) AS rows, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab,
+             covar_pop(a, y) AS ya, covar_pop(b, y) AS yb, var_pop(y) AS yy FROM d),
+e AS (SELECT *, aa + {penalty * (1 - share)} AS pa, bb + {penalty * (1 - share)} AS pb,
+             ya - {penalty * share} * sign(ya * bb - yb * ab) AS qa, yb - {penalty * share} * sign(yb * aa - ya * ab) AS qb FROM c),
+w AS (SELECT *, (qa * pb - qb * ab) / (pa * pb - ab * ab) AS wa, (qb * pa - qa * ab) / (pa * pb - ab * ab) AS wb FROM e),
+m AS (SELECT *, yy - 2 * (wa * ya + wb * yb) + wa * wa * aa + 2 * wa * wb * ab + wb * wb * bb AS mse FROM w)
+SELECT '{name}' AS model, rows, round(wa, 6) AS weight_a, round(wb, 6) AS weight_b, round(my - wa * ma - wb * mb, 6) AS intercept,
+       round(mse, 5) AS mse, round(1 - mse / yy, 6) AS r2 FROM m"""
+
+
+def net_query(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data = settle_for_training(pair(spark, sf_dir))
+        model = REGRESSORS[name](0, None).fit(data)
+        found = assessed(model.transform(data), name, False).withColumns({
+            "weight_a": F.lit(float(model.weights[0])), "weight_b": F.lit(float(model.weights[1])), "intercept": F.lit(float(model.offset))})
+        return found.select("model", "rows", *(round_to(ref(c), 6).alias(c) for c in ("weight_a", "weight_b", "intercept")),
+                            round_to(ref("mse"), 5).alias("mse"), round_to(ref("r2"), 6).alias("r2"))
+
+    return run
+
+
+for short, part in (("ridge", 0.0), ("enet", 0.5), ("lasso", 1.0)):
+    query(f"reg_{short}", net_sql(short, PENALTY, part))(net_query(short))

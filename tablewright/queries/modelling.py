@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tablewright.functions import ref, round_to
 from tablewright.models.algebra import cross_products
 from tablewright.models.features import FEATURES, LABEL, PREDICTION, assemble
-from tablewright.models.leaderboard import compare_models, label_predictions
-from tablewright.models.mlp import Network, NetworkClassifier, NetworkRegressor
+from tablewright.models.leaderboard import FOLDS, compare_models, label_predictions
+from tablewright.models.mlp import EPOCHS, Network, NetworkClassifier, NetworkRegressor
 from tablewright.models.neighbours import NEIGHBOURS, Index
-from tablewright.models.network import Architecture
-from tablewright.models.zoo import CLASSIFIERS, REGRESSORS
+from tablewright.models.network import LEARNING_RATE, RATE_FACTOR, RATE_STEP, Architecture
+from tablewright.models.zoo import CLASSIFIERS, REGRESSORS, Sizes, classifiers, regressors
 from tablewright.operators.metrics import classification_metrics, regression_metrics
 from tablewright.operators.scale import normalize
 from tablewright.queries.registry import query
@@ -89,43 +88,73 @@ def regressor_query(name: str):
     return run
 
 
-def against_dummy(said: DataFrame, name: str, classification: bool) -> DataFrame:
-    """What is determined about a trained model: its rows, the spread of the labels, known labels, and that it is no worse than the dummy.
+#: Customers with a low or a high balance, in units of 500, and a wide gap between them: what any model that learns tells apart without an error.
+BANDED_SQL = ("SELECT c_custkey, CASE WHEN c_acctbal >= 6000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS band, "
+              "floor(c_acctbal / 500) + 1.0::DOUBLE AS slope FROM customer WHERE c_acctbal < 3000 OR c_acctbal >= 6000")
+BAND_FEATURES = ["balance", "nation"]
 
-    Classifiers are compared by the mean share of hits over the classes, a half for the dummy of two classes; regressors
-    by the squared error, the variance for the dummy.
-    """
-    hit = F.col(LABEL) == F.col(PREDICTION)
-    if classification:
-        good, bad = F.col(LABEL) == 1, F.col(LABEL) == 0
-        found = said.agg(F.count(F.lit(1)).alias("rows"), F.count_if(good).alias("good_rows"),
-                         F.count_if(F.col(PREDICTION).isin(0.0, 1.0)).alias("known_labels"),
-                         F.count_if(good & hit).alias("hits"), F.count_if(bad & hit).alias("misses"))
-        no_worse = F.col("hits") / F.col("good_rows") + F.col("misses") / (F.col("rows") - F.col("good_rows")) >= 1
-        return found.select(F.lit(name).alias("model"), "rows", "good_rows", "known_labels", no_worse.alias("no_worse"))
-    found = said.agg(F.count(F.lit(1)).alias("rows"), F.var_pop(LABEL).alias("variance"),
-                     F.count_if(F.abs(F.col(PREDICTION)) < float("inf")).alias("known_labels"),
-                     F.avg((F.col(LABEL) - F.col(PREDICTION)) ** 2).alias("mse"))
-    return found.select(F.lit(name).alias("model"), "rows", round_to(ref("variance"), 4).alias("variance"), "known_labels",
-                        (F.col("mse") <= F.col("variance")).alias("no_worse"))
+
+def banded(spark: SparkSession, sf_dir: str, target: str = "band") -> DataFrame:
+    """These customers by balance and nation, standardized. Targets: the ``band`` 0 or 1, a ``step`` of 10 or 20, a ``slope`` on the balance."""
+    balance = F.col("c_acctbal")
+    units = F.floor(balance / 500).cast("double")
+    rows = table(spark, sf_dir, "customer").filter((balance < 3000) | (balance >= 6000)).select(
+        "c_custkey", units.alias("balance"), F.col("c_nationkey").cast("double").alias("nation"),
+        (balance >= 6000).cast("double").alias("band"), F.when(balance >= 6000, 20.0).otherwise(10.0).alias("step"), (units + 1).alias("slope"))
+    return settle_for_training(assemble(normalize(rows, BAND_FEATURES, "zscore_sample"), BAND_FEATURES, target, ["c_custkey"]))
+
+
+def confusion(said: DataFrame, name: str) -> DataFrame:
+    """Rows by label and prediction."""
+    return said.groupBy(F.lit(name).alias("model"), LABEL, PREDICTION).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def confusion_sql(name: str) -> str:
+    return f"SELECT '{name}' AS model, band AS label, band AS prediction, count(*) AS rows FROM ({BANDED_SQL}) GROUP BY band"
 
 
 def trained_classifier_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        data = settle_for_training(documents(spark, sf_dir))
-        return against_dummy(CLASSIFIERS[name](2, "doc_id").fit(data).transform(data), name, True)
+        data = banded(spark, sf_dir)
+        return confusion(CLASSIFIERS[name](2, "c_custkey").fit(data).transform(data), name)
 
     return run
 
 
-def trained_regressor_query(name: str):
+def levels(said: DataFrame, name: str) -> DataFrame:
+    """Rows by the step of the target and the step next to the prediction."""
+    near = F.when(F.col(PREDICTION) < 15, 10.0).otherwise(20.0)
+    return said.groupBy(F.lit(name).alias("model"), F.col(LABEL).alias("step"), near.alias("predicted_step")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def levels_sql(name: str) -> str:
+    return f"SELECT '{name}' AS model, 10 + 10 * band AS step, 10 + 10 * band AS predicted_step, count(*) AS rows FROM ({BANDED_SQL}) GROUP BY band"
+
+
+def trained_step_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        data = settle_for_training(lines(spark, sf_dir))
-        return against_dummy(REGRESSORS[name](0, "line_id").fit(data).transform(data), name, False)
+        data = banded(spark, sf_dir, "step")
+        return levels(REGRESSORS[name](0, "c_custkey").fit(data).transform(data), name)
 
     return run
 
 
+def trained_slope_query(name: str):
+    """Models of lines on a target that is one: the mean prediction, and the largest error."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data = banded(spark, sf_dir, "slope")
+        said = REGRESSORS[name](0, "c_custkey").fit(data).transform(data)
+        return said.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("rows"), round_to(F.avg(PREDICTION), 2).alias("mean_prediction"),
+                        round_to(F.max(F.abs(F.col(PREDICTION) - F.col(LABEL))), 1).alias("largest_error"))
+
+    return run
+
+
+def slope_sql(name: str) -> str:
+    return (f"SELECT '{name}' AS model, count(*) AS rows, round(avg(slope), 2) AS mean_prediction, 0.0::DOUBLE AS largest_error "
+            f"FROM ({BANDED_SQL})")
+
+
 DUMMY_CLASS = ("WITH d AS (SELECT quality FROM documents JOIN labels USING (doc_id)), m AS (SELECT quality AS said FROM d "
                "GROUP BY quality ORDER BY count(*) DESC, quality LIMIT 1), s AS (SELECT count(*)::DOUBLE AS n, "
                "count(*) FILTER (quality = said)::DOUBLE AS hits FROM d, m) SELECT 'dummy' AS model, hits / n AS accuracy, "
@@ -137,22 +166,16 @@ DUMMY_MEAN = (f"WITH d AS (SELECT {CHARGE_SQL} AS y FROM lineitem), m AS (SELECT
               "count(*) AS rows FROM d, m")
 
 
-def trained_class_sql(name: str) -> str:
-    return (f"SELECT '{name}' AS model, count(*) AS rows, count(*) FILTER (quality = 1) AS good_rows, count(*) AS known_labels, "
-            "true AS no_worse FROM documents JOIN labels USING (doc_id)")
-
-
-def trained_number_sql(name: str) -> str:
-    return (f"SELECT '{name}' AS model, count(*) AS rows, round(var_pop({CHARGE_SQL}), 4) + 0.0 AS variance, count(*) AS known_labels, "
-            "true AS no_worse FROM lineitem")
-
+STEP_MODELS = ["dt", "rf", "unbagged", "et", "gbt", "hgb", "ada", "knn"]
+SLOPE_MODELS = ["huber", "bayes_ridge", "omp"]
 
 for short in CLASSIFIERS:
     if short != "dummy":
-        query(f"clf_{short}", trained_class_sql(short))(trained_classifier_query(short))
-for short in REGRESSORS:
-    if short not in ("dummy", "linear"):
-        query(f"reg_{short}", trained_number_sql(short))(trained_regressor_query(short))
+        query(f"clf_{short}", confusion_sql(short))(trained_classifier_query(short))
+for short in STEP_MODELS:
+    query(f"reg_{short}", levels_sql(short))(trained_step_query(short))
+for short in SLOPE_MODELS:
+    query(f"reg_{short}", slope_sql(short))(trained_slope_query(short))
 
 
 @query("clf_dummy", DUMMY_CLASS.replace("hits / n AS accuracy", "round(hits / n, 6) AS accuracy")
@@ -268,45 +291,46 @@ def knn_topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          round_to(ref("distance"), 6).alias("far"))
 
 
-BOARD_FOLDS = 3
+#: Of the comparisons' forests and boosted models, which are fitted once a fold; README has the figures of full sizes.
+BOARD = Sizes(trees=20, depth=8, rounds=30, leaves=8, adaptive=10)
+METRICS = ["accuracy", "auc", "recall", "precision", "f1", "kappa", "mcc"]
 
 
-def board_sql(names, metric: str) -> str:
-    listed = ", ".join(f"'{name}'" for name in names)
-    return f"SELECT model, 'ok' AS status, {BOARD_FOLDS}::BIGINT AS folds, true AS in_range FROM (SELECT unnest([{listed}]) AS model)"
+def board_sql(names: list[str]) -> str:
+    """All models but the dummy are right everywhere; the dummy says the larger class, whose rows are dealt to folds in turn."""
+    perfect = ", ".join(f"1.0::DOUBLE AS {m}" for m in METRICS)
+    listed = ", ".join(f"'{name}'" for name in names if name != "dummy")
+    return f"""
+WITH d AS ({BANDED_SQL}), c AS (SELECT count(*) FILTER (band = 0) AS n0, count(*) FILTER (band = 1) AS n1 FROM d),
+f AS (SELECT n0 // {FOLDS} + CASE WHEN fold BETWEEN 1 AND n0 % {FOLDS} THEN 1 ELSE 0 END AS r0, n1 // {FOLDS} +
+      CASE WHEN fold BETWEEN 1 AND n1 % {FOLDS} THEN 1 ELSE 0 END AS r1, n1 > n0 AS one FROM c, (SELECT unnest(range({FOLDS})) AS fold)),
+h AS (SELECT (CASE WHEN one THEN r1 ELSE r0 END) / (r0 + r1)::DOUBLE AS s FROM f),
+m AS (SELECT unnest([{listed}]) AS model, {perfect}
+      UNION ALL SELECT 'dummy', round(avg(s), 4), 0.5::DOUBLE, round(avg(s), 4), round(avg(s * s), 4), round(avg(2 * s * s / (1 + s)), 4), 0.0::DOUBLE, 0.0::DOUBLE FROM h)
+SELECT model, {", ".join(METRICS)}, {FOLDS}::BIGINT AS folds, 'ok' AS status, row_number() OVER (ORDER BY accuracy DESC, model) AS rank FROM m"""
 
 
-def board_facts(board: DataFrame, metric: str) -> DataFrame:
-    return board.select("model", "status", "folds", (F.col(metric) <= 1).alias("in_range"))
-
-
-@query("leaderboard", board_sql(CLASSIFIERS, "accuracy"))
+@query("leaderboard", board_sql(list(CLASSIFIERS)))
 def leaderboard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every classifier on the labelled documents: none fails in any fold."""
-    return board_facts(compare_models(documents(spark, sf_dir), "classification", ["doc_id"], folds=BOARD_FOLDS), "accuracy")
+    """Every classifier on the customers' bands in ten folds: all metrics, and the rank."""
+    board = compare_models(banded(spark, sf_dir), "classification", ["c_custkey"], classifiers(BOARD))
+    return board.drop("fit_seconds").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("accuracy"), "model")).cast("bigint"))
 
 
-@query("leaderboard_regression", board_sql(REGRESSORS, "r2"))
+@query("leaderboard_regression", f"SELECT unnest({[n for n in REGRESSORS if n != 'dummy']}) AS model, 1.0::DOUBLE AS r2, {FOLDS}::BIGINT AS folds, "
+                                 f"'ok' AS status UNION ALL SELECT 'dummy', 0.0, {FOLDS}, 'ok' FROM customer HAVING count(*) > 0")
 def leaderboard_regression_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every regressor on the line items: none fails in any fold."""
-    return board_facts(compare_models(lines(spark, sf_dir), "regression", ["line_id"], folds=BOARD_FOLDS), "r2")
+    """Every regressor on the customers' slope in ten folds: the share of variance explained, to one place."""
+    board = compare_models(banded(spark, sf_dir, "slope"), "regression", ["c_custkey"], regressors(BOARD))
+    return board.select("model", round_to(ref("r2"), 1).alias("r2"), "folds", "status")
 
 
-@query("predict_labels", "SELECT doc_id, quality, true AS known_label, true AS score_leads FROM documents JOIN labels USING (doc_id)")
+@query("predict_labels", f"SELECT c_custkey, band AS label, band AS prediction_label, 1.0::DOUBLE AS prediction_score FROM ({BANDED_SQL})")
 def predict_labels_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their label, that the predicted one is known, and that its score is the highest."""
-    data = settle_for_training(documents(spark, sf_dir))
-    model = CLASSIFIERS["lr"](2, None).fit(data)
-    said = label_predictions(model, data, "classification", 2, ["doc_id", LABEL])
-    return said.select("doc_id", F.col(LABEL).cast("int").alias("quality"), F.col("prediction_label").isin(0.0, 1.0).alias("known_label"),
-                       F.col("prediction_score").between(0.5, 1.0).alias("score_leads"))
-
-
-EPOCHS, BATCH = 6, 32
-
-
-def network_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settle_for_training(documents(spark, sf_dir))
+    """Customers with their band, the predicted one, and its score to one place."""
+    data = banded(spark, sf_dir)
+    said = label_predictions(CLASSIFIERS["lr"](2, None).fit(data), data, "classification", 2, ["c_custkey", LABEL])
+    return said.select("c_custkey", LABEL, "prediction_label", round_to(ref("prediction_score"), 1).alias("prediction_score"))
 
 
 @query("mlp_architecture", "SELECT 'documents' AS name, '[64, 32, 16]' AS hidden, 7 AS inputs, count(*) AS rows FROM "
@@ -325,52 +349,50 @@ def mlp_architecture_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@query("mlp_train", "SELECT 'documents' AS scenario, true AS loss_fell FROM documents JOIN labels USING (doc_id) LIMIT 1")
+@query("mlp_train", f"SELECT 'customers' AS scenario, {EPOCHS}::BIGINT AS epochs, true AS loss_fell, 100.0::DOUBLE AS accuracy "
+                    f"FROM ({BANDED_SQL}) LIMIT 1")
 def mlp_train_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the last loss of a training run is below its first."""
-    model = NetworkClassifier(EPOCHS, BATCH).fit(network_data(spark, sf_dir))
-    history = model.history(spark, "documents")
-    return history.groupBy("scenario").agg((F.max_by("loss", "epoch") < F.min_by("loss", "epoch")).alias("loss_fell"))
+    """A whole training run: its last loss is below half of the first, and its last accuracy, to ten percent."""
+    history = NetworkClassifier().fit(banded(spark, sf_dir)).history(spark, "customers")
+    return history.groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("epochs"), (F.max_by("loss", "epoch") < F.min_by("loss", "epoch") / 2).alias("loss_fell"),
+        (F.round(F.max_by("accuracy", "epoch") / 10) * 10).alias("accuracy"))
 
 
-@query("mlp_history", f"SELECT 'documents' AS scenario, unnest(range(1, {EPOCHS + 1}))::INTEGER AS epoch, true AS loss_known, "
-                      "true AS accuracy_known")
+@query("mlp_history", f"SELECT 'customers' AS scenario, unnest(range(1, {EPOCHS + 1}))::INTEGER AS epoch, "
+                      f"round({LEARNING_RATE} * pow({RATE_FACTOR}, (unnest(range(1, {EPOCHS + 1})) - 1) // {RATE_STEP}), 9) AS rate")
 def mlp_history_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for every epoch, with its loss and accuracy."""
-    history = NetworkClassifier(EPOCHS, BATCH).fit(network_data(spark, sf_dir)).history(spark, "documents")
-    return history.select("scenario", F.col("epoch").cast("int").alias("epoch"), F.col("loss").between(0.0, 1e6).alias("loss_known"),
-                          F.col("accuracy").between(0.0, 100.0).alias("accuracy_known"))
+    """A row for every epoch, with its learning rate."""
+    history = NetworkClassifier().fit(banded(spark, sf_dir)).history(spark, "customers")
+    return history.filter("loss IS NOT NULL AND accuracy IS NOT NULL").select("scenario", "epoch", round_to(ref("rate"), 9).alias("rate"))
 
 
-@query("mlp_classifier", trained_class_sql("network").replace("true AS no_worse", "count(*) AS scored"))
+@query("mlp_classifier", confusion_sql("network"))
 def mlp_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = network_data(spark, sf_dir)
-    said = NetworkClassifier(EPOCHS, BATCH).fit(data).transform(data)
-    return against_dummy(said, "network", True).drop("no_worse").withColumn("scored", F.col("rows"))
+    data = banded(spark, sf_dir)
+    return confusion(NetworkClassifier(workers=4).fit(data).transform(data), "network")
 
 
-@query("mlp_regressor", trained_number_sql("network").replace("true AS no_worse", "count(*) AS scored"))
+@query("mlp_regressor", levels_sql("network"))
 def mlp_regressor_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = settle_for_training(lines(spark, sf_dir))
-    said = NetworkRegressor(3, BATCH).fit(data).transform(data)
-    return against_dummy(said, "network", False).drop("no_worse").withColumn("scored", F.col("rows"))
+    data = banded(spark, sf_dir, "step")
+    return levels(NetworkRegressor().fit(data).transform(data), "network")
 
 
-@query("mlp_predict", "SELECT doc_id, true AS known_label FROM documents JOIN labels USING (doc_id)")
+@query("mlp_predict", f"SELECT c_custkey, band AS prediction FROM ({BANDED_SQL})")
 def mlp_predict_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = network_data(spark, sf_dir)
-    said = NetworkClassifier(2, BATCH).fit(data).transform(data)
-    return said.select("doc_id", F.col(PREDICTION).isin(0.0, 1.0).alias("known_label"))
+    data = banded(spark, sf_dir)
+    return NetworkClassifier().fit(data).transform(data).select("c_custkey", PREDICTION)
 
 
-@query("model_roundtrip", "SELECT count(*) AS rows, count(*) AS equal_rows FROM documents JOIN labels USING (doc_id)")
+@query("model_roundtrip", f"SELECT count(*) AS rows, count(*) AS equal_rows FROM ({BANDED_SQL})")
 def model_roundtrip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A saved and reloaded network predicts the same."""
-    data = network_data(spark, sf_dir)
-    model = NetworkClassifier(1, BATCH).fit(data)
+    data = banded(spark, sf_dir)
+    model = NetworkClassifier(1).fit(data)
     folder = scratch_folder(spark, "network")
     model.save_to(spark, folder)
     again = Network.load_from(spark, folder)
-    one, two = (m.transform(data).select("doc_id", F.col("scores").alias(n)) for m, n in ((model, "one"), (again, "two")))
-    return one.join(two, "doc_id").agg(F.count(F.lit(1)).alias("rows"),
+    one, two = (m.transform(data).select("c_custkey", F.col("scores").alias(n)) for m, n in ((model, "one"), (again, "two")))
+    return one.join(two, "c_custkey").agg(F.count(F.lit(1)).alias("rows"),
                                        F.count_if(F.col("one") == F.col("two")).alias("equal_rows"))

@@ -13,7 +13,7 @@ from tablewright.models import neighbours
 from tablewright.models.algebra import Regression, class_moments
 from tablewright.models.features import LABEL, PREDICTION, assemble
 from tablewright.models.leaderboard import best_model, compare_models, fold_of
-from tablewright.models.mlp import Network, NetworkClassifier, NetworkRegressor, learning_rate
+from tablewright.models.mlp import Network, NetworkClassifier, NetworkRegressor, Worker, learning_rate
 from tablewright.models.neighbours import Index
 from tablewright.models.network import Architecture, batch_edges, gradient, loss_and_slope, predict
 from tablewright.models.zoo import Sizes, classifiers, regressors
@@ -228,6 +228,29 @@ def test_network_classifier(spark, classes, tmp_path):
     assert right(loaded.transform(classes)) == right(model.transform(classes))
 
 
+@pytest.mark.parametrize("workers", [1, 3, 20])
+def test_network_weights_do_not_depend_on_the_layout(classes, workers):
+    rows = classes.select("features", "label").unionByName(classes.select("features", "label").limit(30))
+    vectors = [NetworkClassifier(epochs=3, batch=4, workers=workers).fit(rows.repartition(parts)).vector for parts in (1, 7)]
+    assert (vectors[0] == vectors[1]).all() and np.isfinite(vectors[0]).all()
+
+
+def test_batches_of_a_worker_are_those_of_one_table():
+    net = Architecture(3, 2, "classification")
+    for rows in (1, 2, 7, 8, 9, 10, 33):
+        x, y = RNG.normal(size=(rows, 3)), RNG.integers(0, 2, rows).astype(float)
+        seen = []
+        for cut in (1, 3, rows):
+            start = net.initial(1)
+            worker = Worker(net, (start, np.zeros(net.trained_size()), np.zeros(net.trained_size()), 0), 8, 0.01, np.random.default_rng(1))
+            for at in range(0, rows, cut):
+                worker.feed(x[at:at + cut], y[at:at + cut])
+            number, state, count, losses, batches, right = worker.block(5)
+            assert (number, count, batches) == (5, rows, len(batch_edges(rows, 8)))
+            seen.append(state)
+        assert len(set(seen)) == 1
+
+
 def test_network_workers_share_the_training(classes):
     model = NetworkClassifier(epochs=10, batch=8, workers=3).fit(classes)
     assert right(model.transform(classes)) > 0.9
