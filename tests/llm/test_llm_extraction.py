@@ -84,3 +84,40 @@ def test_all_pages_of_a_table(spark):
         article = re.search("<article>(.*)</article>", row["html"], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub("</?b>|<br>", " ", part)).split()) for part in re.split("</?(?:h1|p)>", article)]
         assert found[row["page_id"]] == "\n".join(b for b in blocks if b)
+
+
+FIVE = paragraphs(5, 200)
+NAMES = ["no-sidebar", "has-sidebar content", "content with-comments", "post-header-image article", "notice-board", "social-studies",
+         "side-by-side", "skip-nav content", "share-price article-body", "story banner", "hidden-gems", "content", "widget", "comments"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_name_is_a_hint_no_verdict(name):
+    page = f'<body><nav><a href=x>menu</a></nav><div class="{name}">{FIVE}</div><div class=footer>All rights are ours</div></body>'
+    assert main_text(page) == main_text(f"<article>{FIVE}</article>")
+
+
+def test_forms_around_text_and_beside_it():
+    assert main_text(f"<form action=x><div>{FIVE}</div><input><button>Send</button></form>") == main_text(f"<article>{FIVE}</article>")
+    assert main_text(f"<div>{FIVE}</div><form>Search this site <input></form>") == main_text(f"<article>{FIVE}</article>")
+
+
+def test_what_surrounds_a_short_article_goes():
+    short = "<article><h1>T</h1><p>A short article.</p></article>"
+    for name in ("comments", "comment-list", "cookie-notice", "site-footer", "newsletter-box", "related-posts"):
+        assert main_text(f'{short}<div class="{name}">{FIVE}</div>') == "T\nA short article."
+    assert main_text(f'<div><h1>T</h1>{FIVE}</div><div id="comments">{FIVE * 3}</div>') == main_text(f"<article><h1>T</h1>{FIVE}</article>")
+
+
+def test_short_leads_and_further_articles():
+    page = f"<h1>T</h1><p>A short lead, of few words.</p><div>{FIVE}</div><p>(c) 2020 by someone, all rights</p>"
+    assert main_text(page) == "T\nA short lead, of few words.\n" + main_text(f"<article>{FIVE}</article>")
+    assert main_text(f"<article><h1>T</h1>{FIVE}</article><article><h2>U</h2><p>tiny</p></article>").endswith("\nU\ntiny")
+    assert not main_text(f"<article><h1>T</h1>{FIVE}</article><article><a href=x>More on this</a></article>").endswith("this")
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "post-header-image article", "story banner", "entry", None])
+def test_all_pages_without_an_article_element(spark, name):
+    for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        opening, closing = (f'<div class="{name}">', "</div>") if name else ("<form><div>", "</div></form>")
+        assert main_text(row["html"].replace("<article>", opening).replace("</article>", closing)) == main_text(row["html"])
