@@ -3,15 +3,16 @@
 **File format.** A folder of Parquet files; each row is one chunk of whole documents in order: ``shard`` and ``start``
 (ids before it in its shard) give its place, ``tokens`` and ``documents`` its size, ``chunk`` the bytes:
 
-    magic "TWT1", documents, tokens, block length, classes (u32 each); then for every document its doc_id (i64),
+    magic "TWT2", documents, tokens, block length, largest id (u32 each); then for every document its doc_id (i64),
     whether it has one (u8) and its number of ids (u32); for every block its length in bytes (u32) and the crc32 of
     its ids and of its place (u32); then the blocks' bytes.
 
 **Coder.** A block is a run of ids coded on its own: all models start afresh, so any block can be read or lost alone.
 Three orders predict each id: order 2 and order 1 remember the id that last followed their context, with a confidence;
-order 0 keeps the frequencies of the ids' bit lengths, even within a length. They are mixed by weights learnt for
-each pair of confidences, and the mixture drives a 64-bit carry-less range coder that emits 16-bit words. All counts
-adapt after every id and are halved at a limit; order 0's cumulative table is drawn from its counts every 16 ids.
+order 0 keeps the frequencies of all ids that the block has had, in a tree of sums over them by first appearance. An id that is
+new to the block is coded by its bit length, whose frequencies adapt too, and evenly within that. Which of the four is right is
+predicted by weights learnt for each pair of confidences, and this mixture drives a 64-bit carry-less range coder that emits
+16-bit words. Everything adapts after every id; weights are halved at a limit.
 
 All blocks of a chunk are coded side by side, one array element each, so Python's work is per step, not per id.
 """
@@ -34,45 +35,98 @@ from tablewright.llm.common import join_keys, slices
 from tablewright.llm.words import WordMemory
 from tablewright.session import scratch_folder, ship_package
 
-MAGIC = b"TWT1"
+MAGIC = b"TWT2"
 HEAD = struct.Struct("<4sIIII")
-BLOCK = 2_048                    # ids in a block
+BLOCK = 4_096                    # ids in a block
 CHUNK = 1 << 22                  # ids in a chunk, about: whole documents, the last may be longer
 PIECE = 1 << 20                  # characters tokenized at once
-FIRST, SECOND = 1_024, 2_048     # contexts an order remembers in a block
+FIRST, SECOND = 2_048, 4_096     # contexts an order remembers in a block
 STEP = 24                        # what a seen symbol adds to its count
 MIX_LIMIT, CLASS_LIMIT = 1 << 11, 1 << 12
-CLASS_BITS, REDRAW = 12, 16      # resolution of order 0's table, and the ids after which it is drawn anew
+CLASS_BITS, REDRAW = 12, 16      # resolution of the bit lengths' table, and the ids after which it is drawn anew
 TOP = np.uint64(1 << 48)
 LARGEST = 1 << 22                # ids are smaller
+TABLE = 1 << 26                  # places of ids that all lanes coded at once may hold
 NONE = 0xFFFFFF                  # no prediction yet
 NONE_MASK, SURE, TOP_SURE = np.uint32(NONE), np.uint32(1 << 24), np.uint32(3 << 24)   # a remembered id, its confidence
 #: Unicode's white space, at which the pre-tokenizer of byte-level BPE never joins words.
 WHITE = "\t-\r \x85\xa0  -     　"
 
 
+class Seen:
+    """Order 0: how often each lane has had each id. Ids have places by first appearance, 1, 2, ..., with a Fenwick tree of sums."""
+
+    def __init__(self, lanes: int, block: int, largest: int):
+        self.size = 1 << max(block - 1, 1).bit_length()
+        width = self.size + 2                                 # place 0 holds nothing, the last one takes what leaves the tree
+        self.tree, self.count, self.ids = (np.zeros(lanes * width, np.int32) for _ in range(3))
+        self.place = np.zeros(lanes * (largest + 1), np.uint16 if block < 1 << 16 else np.int32)
+        self.base, self.start = np.arange(lanes) * width, np.arange(lanes) * (largest + 1)
+        self.used, self.total = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+
+    def shorten(self, lanes: int) -> None:
+        self.base, self.start, self.used, self.total = (x[:lanes] for x in (self.base, self.start, self.used, self.total))
+
+    def before(self, lanes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The sum over the places below."""
+        base, at, found = self.base[lanes], place - 1, np.zeros(len(lanes), np.int64)
+        while at.any():
+            found += self.tree[base + at]
+            at &= at - 1
+        return found
+
+    def find(self, lanes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place whose share of the sum holds a value, and the sum below it."""
+        base, at, left, bit = self.base[lanes], np.zeros(len(lanes), np.int64), value.copy(), self.size
+        while bit:
+            part = self.tree[base + np.minimum(at + bit, self.size)]
+            goes = (part <= left) & (at + bit <= self.size)
+            at += goes * bit
+            left -= goes * part
+            bit >>= 1
+        return at + 1, value - left
+
+    def learn(self, ids: np.ndarray) -> None:
+        """One more of an id for every lane."""
+        at = self.start + ids
+        place = self.place[at].astype(np.int64)
+        new = np.flatnonzero(place == 0)
+        if len(new):
+            self.used[new] += 1
+            place[new] = self.used[new]
+            self.place[at[new]] = place[new]
+            self.ids[self.base[new] + place[new]] = ids[new]
+        self.count[self.base + place] += 1
+        self.total += 1
+        while (inside := place <= self.size).any():
+            self.tree[self.base + np.where(inside, place, self.size + 1)] += 1
+            place += place & -place
+
+
 class Models:
-    """The state of all blocks of a chunk, one lane each. Order 0's table is drawn anew every ``REDRAW`` ids."""
+    """The state of all blocks of a chunk, one lane each. The bit lengths' table is drawn anew every ``REDRAW`` ids."""
 
-    def __init__(self, lanes: int, classes: int):
-        self.kinds = classes
+    def __init__(self, lanes: int, block: int, largest: int):
+        classes = largest.bit_length() + 1                   # bit lengths 0 to that of the largest id
+        self.kinds, self.seen = classes, Seen(lanes, block, largest)
         self.first = np.full(lanes * FIRST, NONE, np.uint32)
         self.second = np.full(lanes * SECOND, NONE, np.uint32)
         self.mix2, self.mix1 = (np.full(lanes * 16, STEP // 2, np.int32) for _ in range(2))
-        self.mix0 = np.full(lanes * 16, STEP, np.int32)
+        self.mix0, self.mix_new = (np.full(lanes * 16, STEP, np.int32) for _ in range(2))
         self.counts = np.ones(lanes * classes, np.int32)
         self.first_lane, self.second_lane, self.mix_lane, self.kind_lane = (
             np.arange(lanes) * n for n in (FIRST, SECOND, 16, classes))
         self.before, self.earlier = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.steps = 0
-        # A step divides an interval by the weights, the table's resolution and the places of a bit length.
-        self.bottom = np.uint64(1 << MIX_LIMIT.bit_length() + CLASS_BITS + max(classes - 2, 0) + 2)
+        # A step divides an interval by the weights, then by the table's resolution and the places of a bit length, or by order 0's sum.
+        self.bottom = np.uint64(1 << MIX_LIMIT.bit_length() + max(CLASS_BITS + max(classes - 2, 0), block.bit_length()) + 2)
 
     def shorten(self, lanes: int) -> None:
         """Leave the lanes that have no more ids (the shorter last block)."""
         for name in ("first_lane", "second_lane", "mix_lane", "kind_lane", "before", "earlier", "low", "range", "upto"):
             setattr(self, name, getattr(self, name)[:lanes])
+        self.seen.shorten(lanes)
 
     def redraw(self) -> None:
         """Cumulative frequencies of the bit lengths, scaled to sum to 2^CLASS_BITS, at least one each."""
@@ -100,16 +154,24 @@ class Models:
         # One prediction of both orders stands once.
         self.weight1 = self.mix1[self.at_mix] * (self.id1 != self.id2)
         self.upto1 = self.weight2 + self.weight1
-        self.total = (self.upto1 + self.weight0).astype(np.uint64)
+        self.weight0 = self.weight0 * (self.seen.total > 0)
+        self.upto0, self.weight_new = self.upto1 + self.weight0, self.mix_new[self.at_mix]
+        self.total = (self.upto0 + self.weight_new).astype(np.uint64)
 
     def narrow(self, source) -> None:
-        """Narrow every interval to the order that is right: ``source`` 0, 1, 2 for order 2, 1, 0."""
-        start = np.choose(source, (0, self.weight2, self.upto1))
-        size = np.choose(source, (self.weight2, self.weight1, self.weight0))
+        """Narrow every interval to what is right: ``source`` 0, 1, 2 for order 2, 1, 0, and 3 for a new id."""
+        start = np.choose(source, (0, self.weight2, self.upto1, self.upto0))
+        size = np.choose(source, (self.weight2, self.weight1, self.weight0, self.weight_new))
         step = self.range // self.total
         self.low += step * start.astype(np.uint64)
         self.range = step * size.astype(np.uint64)
 
+    def narrow_seen(self, lanes, place, below) -> None:
+        """Narrow the intervals of some lanes to the share of a place in order 0."""
+        step = self.range[lanes] // self.seen.total[lanes].astype(np.uint64)
+        self.low[lanes] += step * below.astype(np.uint64)
+        self.range[lanes] = step * self.seen.count[self.seen.base[lanes] + place].astype(np.uint64)
+
     def narrow_literal(self, literal, kinds, rest, width) -> None:
         """Narrow the intervals of some lanes to an id: its bit length, then its place ``rest`` of 2^``width``."""
         low, end = self.upto[literal, kinds], self.upto[literal, kinds + 1]
@@ -132,11 +194,12 @@ class Models:
         """Adapt to the ids of this step; ``kinds`` are the bit lengths of the literal lanes."""
         self.mix2[self.at_mix] = self.weight2 + (source == 0) * STEP
         self.mix1[self.at_mix] += (source == 1) * np.int32(STEP)
-        self.mix0[self.at_mix] = self.weight0 + (source == 2) * STEP
+        self.mix0[self.at_mix] += (source == 2) * np.int32(STEP)
+        self.mix_new[self.at_mix] += (source == 3) * np.int32(STEP)
         full = np.flatnonzero(self.total > MIX_LIMIT)
         if len(full):
             full = self.at_mix[full]
-            for weights in (self.mix2, self.mix1, self.mix0):
+            for weights in (self.mix2, self.mix1, self.mix0, self.mix_new):
                 weights[full] = (weights[full] + 1) >> 1
         self.counts[self.kind_lane[literal] + kinds] += STEP
         fresh = ids.astype(np.uint32)
@@ -145,6 +208,7 @@ class Models:
             sure = seen >= SURE
             # Right: one surer, up to three. Wrong: one less sure, or replaced.
             table[at] = np.where(right, np.minimum(seen + SURE, seen | TOP_SURE), np.where(sure, seen - SURE, fresh))
+        self.seen.learn(ids)
         self.earlier, self.before = self.before, ids
 
 
@@ -152,13 +216,13 @@ def bit_lengths(ids: np.ndarray) -> np.ndarray:
     return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
 
 
-def encode_blocks(ids: np.ndarray, block: int, classes: int) -> list[bytes]:
+def encode_lanes(ids: np.ndarray, block: int, largest: int) -> list[bytes]:
     """The bytes of each block of ``block`` ids."""
     count = -(-len(ids) // block)
     padded = np.zeros(count * block, np.int64)
     padded[:len(ids)] = ids
     steps, tail, last = padded.reshape(count, block).T.copy(), len(ids) - (count - 1) * block, min(block, len(ids))
-    models = Models(count, classes)
+    models = Models(count, min(block, len(ids)), largest)
     words, used = np.empty((count, block + 8), np.uint16), np.zeros(count, np.int64)
 
     def emit(done: np.ndarray) -> None:
@@ -177,9 +241,12 @@ def encode_blocks(ids: np.ndarray, block: int, classes: int) -> list[bytes]:
         lanes = len(models.before)
         now = steps[step, :lanes]
         models.predict()
-        source = np.where(now == models.id2, 0, np.where((now == models.id1), 1, 2))
-        literal = np.flatnonzero(source == 2)
+        place = models.seen.place[models.seen.start + now]
+        source = np.where(now == models.id2, 0, np.where(now == models.id1, 1, np.where(place > 0, 2, 3)))
+        known, literal = np.flatnonzero(source == 2), np.flatnonzero(source == 3)
         models.narrow(source)
+        at = place[known].astype(np.int64)
+        models.narrow_seen(known, at, models.seen.before(known, at))
         rare = now[literal]
         kinds = bit_lengths(rare)
         width = np.maximum(kinds - 1, 0).astype(np.uint64)
@@ -193,13 +260,13 @@ def encode_blocks(ids: np.ndarray, block: int, classes: int) -> list[bytes]:
     return [row[:n].astype("<u2").tobytes() for row, n in zip(words, used.tolist())]
 
 
-def decode_blocks(blocks: list[bytes], tokens: int, block: int, classes: int) -> np.ndarray:
+def decode_lanes(blocks: list[bytes], tokens: int, block: int, largest: int) -> np.ndarray:
     """The ids of the blocks, in order."""
     count, tail = len(blocks), tokens - (len(blocks) - 1) * block
     words = np.zeros((count, max(len(b) for b in blocks) // 2 + 4), np.uint64)
     for row, data in zip(words, blocks):
         row[:len(data) // 2] = np.frombuffer(data, "<u2")
-    models, used, most = Models(count, classes), np.full(count, 4), words.shape[1] - 1
+    models, used, most = Models(count, min(block, tokens), largest), np.full(count, 4), words.shape[1] - 1
     code = words[:, 0] << np.uint64(48) | words[:, 1] << np.uint64(32) | words[:, 2] << np.uint64(16) | words[:, 3]
     found = np.zeros((block, count), np.int64)
     for step in range(min(block, tokens)):
@@ -208,10 +275,15 @@ def decode_blocks(blocks: list[bytes], tokens: int, block: int, classes: int) ->
             code, used, words = code[:count - 1], used[:count - 1], words[:count - 1]
         models.predict()
         at = ((code - models.low) // (models.range // models.total)).astype(np.int64)
-        source = (at >= models.weight2).astype(np.int64) + (at >= models.upto1)
-        literal = np.flatnonzero(source == 2)
+        source = (at >= models.weight2).astype(np.int64) + (at >= models.upto1) + (at >= models.upto0)
+        known, literal = np.flatnonzero(source == 2), np.flatnonzero(source == 3)
         models.narrow(source)
         now = np.where(source == 0, models.id2, models.id1)
+        total = models.seen.total[known]
+        value = ((code[known] - models.low[known]) // (models.range[known] // total.astype(np.uint64))).astype(np.int64)
+        place, below = models.seen.find(known, np.minimum(value, total - 1))
+        models.narrow_seen(known, place, below)
+        now[known] = models.seen.ids[models.seen.base[known] + place]
         above = code[literal] - models.low[literal]
         scale = models.range[literal] >> np.uint64(CLASS_BITS)
         at = np.minimum((above // scale).astype(np.int64), (1 << CLASS_BITS) - 1)
@@ -229,20 +301,39 @@ def decode_blocks(blocks: list[bytes], tokens: int, block: int, classes: int) ->
             used[done] += 1
             models.low[done] <<= np.uint64(16)
             models.range[done] <<= np.uint64(16)
+        now = np.minimum(now, largest)                       # damage is left to the checksum
         models.learn(now, source, literal, kinds)
         found[step, :len(now)] = now
     return found.T.reshape(-1)[:tokens]
 
 
+def lanes_at_once(largest: int) -> int:
+    """Blocks coded side by side, so that their tables of ids stay within ``TABLE`` entries."""
+    return max(TABLE // (largest + 1), 1)
+
+
+def encode_blocks(ids: np.ndarray, block: int, largest: int) -> list[bytes]:
+    """The bytes of all blocks, a group of lanes after the other."""
+    step = block * lanes_at_once(largest)
+    return [b for at in range(0, len(ids), step) for b in encode_lanes(ids[at:at + step], block, largest)]
+
+
+def decode_blocks(blocks: list[bytes], tokens: int, block: int, largest: int) -> np.ndarray:
+    """The ids of all blocks."""
+    lanes = lanes_at_once(largest)
+    return np.concatenate([decode_lanes(blocks[at:at + lanes], min(tokens - at * block, lanes * block), block, largest)
+                           for at in range(0, len(blocks), lanes)])
+
+
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A chunk of whole documents as bytes."""
     if len(ids) and int(ids.max()) >= LARGEST:
         raise ValueError(f"token ids must be below {LARGEST}")
-    classes = int(ids.max()).bit_length() + 1 if len(ids) else 1     # bit lengths 0 to that of the largest id
-    blocks = encode_blocks(ids, block, classes) if len(ids) else []
+    largest = int(ids.max()) if len(ids) else 0
+    blocks = encode_blocks(ids, block, largest) if len(ids) else []
     sums = [zlib.crc32(ids[at:at + block].astype("<u4").tobytes(), n) for n, at in enumerate(range(0, len(ids), block))]
     return b"".join([
-        HEAD.pack(MAGIC, len(doc_ids), len(ids), block, classes),
+        HEAD.pack(MAGIC, len(doc_ids), len(ids), block, largest),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is not None for d in doc_ids),
         np.asarray(lengths, "<u4").tobytes(), np.array([len(b) for b in blocks], "<u4").tobytes(),
         np.array(sums, "<u4").tobytes(), *blocks])
@@ -250,7 +341,7 @@ def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, block:
 
 def unpack(chunk: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """doc_ids, numbers of ids, and all ids of a chunk; every block's checksum is compared."""
-    magic, documents, tokens, block, classes = HEAD.unpack_from(chunk)
+    magic, documents, tokens, block, largest = HEAD.unpack_from(chunk)
     if magic != MAGIC:
         raise ValueError("not a chunk of token ids")
     at = HEAD.size
@@ -265,7 +356,7 @@ def unpack(chunk: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     count = -(-tokens // block)
     sizes, sums = take("<u4", count), take("<u4", count)
     ends = np.cumsum(sizes, dtype=np.int64) + at
-    ids = decode_blocks([chunk[e - s:e] for s, e in zip(sizes.tolist(), ends.tolist())], tokens, block, classes) if count else np.empty(0, np.int64)
+    ids = decode_blocks([chunk[e - s:e] for s, e in zip(sizes.tolist(), ends.tolist())], tokens, block, largest) if count else np.empty(0, np.int64)
     ids = ids.astype("<u4")
     for n, expected in enumerate(sums.tolist()):
         if zlib.crc32(ids[n * block:(n + 1) * block].tobytes(), n) != expected:

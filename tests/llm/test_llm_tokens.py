@@ -13,14 +13,14 @@ from tablewright.llm import tokens
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-@pytest.mark.parametrize("count", [0, 1, 2, 2_047, 2_048, 2_049, 6_500])
+@pytest.mark.parametrize("count", [0, 1, 2, 511, 512, 513, 1_700])
 def test_coder_round_trip(count):
     rng = np.random.default_rng(count)
     for ids in (rng.integers(0, 50_257, count), rng.integers(0, 2, count), np.full(count, 50_256), rng.zipf(1.2, count) % 60_000,
                 np.arange(count) % 7, rng.integers(0, tokens.LARGEST, count),
                 np.where(np.arange(count) % 50, 3, rng.integers(tokens.LARGEST // 2, tokens.LARGEST, count)),
                 np.where(rng.random(count) < 0.01, 40_000, 5)):
-        chunk = tokens.pack([5, None], np.array([count // 3, count - count // 3]), ids.astype(np.uint32))
+        chunk = tokens.pack([5, None], np.array([count // 3, count - count // 3]), ids.astype(np.uint32), block=512)
         doc_ids, lengths, back = tokens.unpack(chunk)
         assert doc_ids == [5, None] and lengths.sum() == count and (back == ids).all()
 
@@ -30,11 +30,31 @@ def test_repetition_is_compressed():
     assert len(tokens.pack([1], np.array([len(ids)]), ids)) < len(ids) // 2
 
 
+def test_ids_of_documents_take_less_than_general_compression_and_than_their_entropy(spark):
+    memory = tokens.byte_bpe(PATH)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(300).collect()]
+    ids = memory.encode_all(texts)[0].astype(np.int64)
+    counts = np.unique(ids, return_counts=True)[1]
+    entropy = -(counts * np.log2(counts / len(ids))).sum() / 8 / len(ids)
+    for block, below in ((tokens.BLOCK, 1.05 * entropy), (8 * tokens.BLOCK, entropy)):
+        coded = sum(map(len, tokens.encode_blocks(ids, block, int(ids.max())))) / len(ids)
+        general = sum(len(zlib.compress(ids[at:at + block].astype("<u2").tobytes(), 9)) for at in range(0, len(ids), block)) / len(ids)
+        assert coded < 0.9 * general and coded < below
+
+
+def test_lanes_in_groups(monkeypatch):
+    ids = np.random.default_rng(1).zipf(1.3, 9_000) % 5_000
+    whole = tokens.encode_blocks(ids, 512, 5_000)
+    monkeypatch.setattr(tokens, "TABLE", 15_100)
+    assert tokens.lanes_at_once(5_000) == 3 and tokens.encode_blocks(ids, 512, 5_000) == whole
+    assert (tokens.decode_blocks(whole, 9_000, 512, 5_000) == ids).all()
+
+
 def test_blocks_are_independent_and_checked():
-    ids = np.random.default_rng(0).integers(0, 50_000, 5_000).astype(np.uint32)
-    first = tokens.encode_blocks(ids, tokens.BLOCK, 17)
-    assert first[1] == tokens.encode_blocks(ids[tokens.BLOCK:2 * tokens.BLOCK], tokens.BLOCK, 17)[0]
-    chunk = bytearray(tokens.pack([1], np.array([5_000]), ids))
+    ids = np.random.default_rng(0).integers(0, 50_000, 10_000).astype(np.uint32)
+    first = tokens.encode_blocks(ids, tokens.BLOCK, 50_000)
+    assert first[1] == tokens.encode_blocks(ids[tokens.BLOCK:2 * tokens.BLOCK], tokens.BLOCK, 50_000)[0]
+    chunk = bytearray(tokens.pack([1], np.array([10_000]), ids))
     chunk[-2_000] ^= 1
     with pytest.raises(ValueError, match="damaged"):
         tokens.unpack(bytes(chunk))
