@@ -15,6 +15,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.models.features import LABEL, PREDICTION, SCORES, argmax, dot, feature_array
+from tablewright.models.saving import Saved
 from tablewright.session import ship_package
 
 CELLS = "group double, i int, j int, value double"
@@ -96,7 +97,7 @@ def class_moments(df: DataFrame) -> dict[int, Moments]:
     return {int(g): Moments.of(m, origin[:-1]) for g, m in sorted(cells.items())}
 
 
-class LinearScores(Model):
+class LinearScores(Saved, Model):
     """One linear score per class; the highest one is the prediction."""
 
     def __init__(self, weights: np.ndarray, offsets: np.ndarray):
@@ -109,7 +110,7 @@ class LinearScores(Model):
         return scored.withColumn(PREDICTION, argmax(F.col(SCORES)).cast("double"))
 
 
-class QuadraticScores(Model):
+class QuadraticScores(Saved, Model):
     """Gaussian class scores with one covariance per class, from a vectorized function on the features."""
 
     def __init__(self, means: np.ndarray, precisions: np.ndarray, offsets: np.ndarray):
@@ -150,7 +151,7 @@ def symmetric_inverse(matrix: np.ndarray) -> tuple[np.ndarray, float]:
     return (vectors[:, kept] / values[kept]) @ vectors[:, kept].T, float(np.log(values[kept]).sum())
 
 
-class LinearDiscriminant(Estimator):
+class LinearDiscriminant(Saved, Estimator):
     def _fit(self, df: DataFrame) -> Model:
         groups, shares = by_class(class_moments(df))
         pooled = sum(g.scatter for g in groups) / sum(g.count for g in groups)
@@ -160,7 +161,7 @@ class LinearDiscriminant(Estimator):
         return LinearScores(weights, offsets)
 
 
-class QuadraticDiscriminant(Estimator):
+class QuadraticDiscriminant(Saved, Estimator):
     def _fit(self, df: DataFrame) -> Model:
         groups, shares = by_class(class_moments(df))
         inverses = [symmetric_inverse(g.scatter / max(g.count - 1, 1)) for g in groups]
@@ -168,7 +169,7 @@ class QuadraticDiscriminant(Estimator):
                                np.log(shares) - 0.5 * np.array([d for _, d in inverses]))
 
 
-class RidgeClassifier(Estimator):
+class RidgeClassifier(Saved, Estimator):
     """Least squares on -1/+1 targets per class with a penalty on the weights, all classes in one pass."""
 
     def __init__(self, penalty: float = 1.0):
@@ -186,7 +187,7 @@ class RidgeClassifier(Estimator):
         return LinearScores(weights, offsets)
 
 
-class LinearPrediction(Model):
+class LinearPrediction(Saved, Model):
     """A linear prediction, computed as one expression on the feature array."""
 
     def __init__(self, weights: np.ndarray, offset: float):
@@ -222,7 +223,7 @@ class Regression:
         return LinearPrediction(weights, float(self.target_mean - weights @ self.mean))
 
 
-class BayesianRidge(Estimator):
+class BayesianRidge(Saved, Estimator):
     """Evidence maximization of noise and weight precision (MacKay, 1992) on the p x p sums."""
 
     def __init__(self, rounds: int = 300, tolerance: float = 1e-3, prior: float = 1e-6):
@@ -249,7 +250,7 @@ class BayesianRidge(Estimator):
         return sums.model(weights)
 
 
-class MatchingPursuit(Estimator):
+class MatchingPursuit(Saved, Estimator):
     """Orthogonal matching pursuit on the p x p sums: by default a tenth of the features, one at least."""
 
     def __init__(self, features: int | None = None):

@@ -10,6 +10,7 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.models.features import FEATURES, LABEL, PREDICTION, SCORES, argmax
+from tablewright.models.saving import Saved
 from tablewright.session import settle
 
 WEIGHT = "_weight"
@@ -22,7 +23,7 @@ def predict_into(df: DataFrame, tree: Model, name: str) -> DataFrame:
     return tree.transform(df.drop(*TREE_COLUMNS)).withColumnRenamed(PREDICTION, name).drop(*TREE_COLUMNS)
 
 
-class VotedClasses(Model):
+class VotedClasses(Saved, Model):
     def __init__(self, trees: list[Model], votes: list[float], classes: int):
         super().__init__()
         self.trees, self.votes, self.classes = trees, votes, classes
@@ -41,7 +42,7 @@ class VotedClasses(Model):
         return scored.withColumn(PREDICTION, argmax(F.col(SCORES)).cast("double"))
 
 
-class AdaBoostClassifier(Estimator):
+class AdaBoostClassifier(Saved, Estimator):
     """SAMME (Zhu and others, 2009): each round fits a shallow tree and raises the weight of its misses."""
 
     def __init__(self, rounds: int = 50, depth: int = 1, rate: float = 1.0, seed: int = 123):
@@ -72,7 +73,7 @@ class AdaBoostClassifier(Estimator):
         return VotedClasses(trees or [tree], votes or [1.0], classes)
 
 
-class MedianOfTrees(Model):
+class MedianOfTrees(Saved, Model):
     """The weighted median of the trees' predictions."""
 
     def __init__(self, trees: list[Model], votes: list[float]):
@@ -96,7 +97,7 @@ class MedianOfTrees(Model):
         return df.withColumn(PREDICTION, F.aggregate(said, start, step)["median"]).select(*names, PREDICTION)
 
 
-class AdaBoostRegressor(Estimator):
+class AdaBoostRegressor(Saved, Estimator):
     """AdaBoost.R2 with linear loss (Drucker, 1997), on row weights."""
 
     def __init__(self, rounds: int = 50, depth: int = 3, rate: float = 1.0, seed: int = 123):

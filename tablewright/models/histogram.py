@@ -23,6 +23,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.models.features import LABEL, PREDICTION, SCORES, argmax, feature_array
+from tablewright.models.saving import Saved
 from tablewright.models.trees import matrix
 from tablewright.session import Generations, ship_package
 
@@ -210,7 +211,7 @@ def best_splits(found: DataFrame, bins: int, penalty: float, min_rows: int, min_
 BEST_TYPES = [pa.int32(), pa.int32(), pa.float64(), pa.int32(), *[pa.float64()] * 6]
 
 
-class Boosted(Model):
+class Boosted(Saved, Model):
     """Start scores and trees; a prediction walks all trees over a row's bins."""
 
     def __init__(self, kind: str, edges: list[np.ndarray], start: np.ndarray, rounds: list[list[FlatTree]]):
@@ -258,7 +259,7 @@ class Boosted(Model):
         return Boosted, (self.kind, self.edges, self.start, self.rounds)
 
 
-class HistogramBoosting(Estimator):
+class HistogramBoosting(Saved, Estimator):
     """Boosted trees on (features, label) rows; labels of classes are 0, 1, ...
 
     Training ends early when no tree of a round finds a split. ``min_rows`` and ``min_curvature`` are the least a leaf holds.

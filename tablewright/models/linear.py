@@ -13,6 +13,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame
 
 from tablewright.models.algebra import Moments, Regression, cross_products, matrices, some_row
+from tablewright.models.saving import Saved
 
 ROUNDS, TOLERANCE = 10_000, 1e-10    # of the coordinate descent; the largest step relative to the largest weight
 
@@ -52,7 +53,7 @@ def weights_of(sums: Regression, penalty: float, share: float, start: np.ndarray
     return ridge(sums, penalty) if share == 0 else elastic_net(sums, penalty, share, start)
 
 
-class LinearNet(Estimator):
+class LinearNet(Saved, Estimator):
     """Least squares with a penalty: ``share`` 0 is ridge, 1 lasso, between them the elastic net. One scan."""
 
     def __init__(self, penalty: float = 1.0, share: float = 0.5):
@@ -119,7 +120,7 @@ def choices(folds: Folds, penalties: list[float], shares: list[float]) -> list[C
     return found
 
 
-class LinearSearch(Estimator):
+class LinearSearch(Saved, Estimator):
     """The penalty and share of the smallest mean squared error over folds, then fitted on all rows; one scan in all."""
 
     def __init__(self, fold: str, penalties: list[float], shares: list[float] = (0.0, 0.5, 1.0)):

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablewright.models.features import LABEL, PREDICTION, SCORES, argmax, feature_array
 from tablewright.models.network import (RATE_FACTOR, RATE_STEP, LEARNING_RATE, Adam, Architecture, batch_edges,
                                         gradient, predict, softmax)
+from tablewright.models.saving import Saved
 from tablewright.schema import CLASSIFICATION, REGRESSION
 from tablewright.session import settle_partitions, ship_package
 
@@ -94,7 +95,7 @@ def added(blocks: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"worker": [int(blocks["worker"].iloc[0])], "state": [state.tobytes()], **sums})
 
 
-class Trainer(Estimator):
+class Trainer(Saved, Estimator):
     """Settings of a training run; ``fit`` takes (features, label) rows."""
 
     task = CLASSIFICATION
@@ -172,7 +173,7 @@ class NetworkRegressor(Trainer):
     task = REGRESSION
 
 
-class Network(Model):
+class Network(Saved, Model):
     """Trained weights; scoring is a vectorized function of the feature column alone."""
 
     def __init__(self, net: Architecture, vector: np.ndarray, history: list[tuple] = ()):

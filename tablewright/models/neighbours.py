@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window
 
 from tablewright.models.features import FEATURES, LABEL, PREDICTION, SCORES, argmax, feature_array
+from tablewright.models.saving import Saved
 from tablewright.session import settle, ship_package
 
 CHUNK = 20_000         # points or queries one task searches at a time
@@ -216,7 +217,7 @@ class Index:
         return top(own.select("x", "distance", "id", "label").unionByName(further), k)
 
 
-class Neighbours(Model):
+class Neighbours(Saved, Model):
     def __init__(self, index: Index, classes: int | None):
         super().__init__()
         self.index, self.classes = index, classes
@@ -233,7 +234,7 @@ class Neighbours(Model):
         return asked.join(said, asked["_x"] == said["x"], "left").drop("_x", "x")
 
 
-class NeighbourEstimator(Estimator):
+class NeighbourEstimator(Saved, Estimator):
     """k nearest neighbours; ``id_column`` breaks ties, without it a hash of the row does."""
 
     def __init__(self, k: int = NEIGHBOURS, classify: bool = True, id_column: str | None = None):

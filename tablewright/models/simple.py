@@ -6,9 +6,10 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.models.features import LABEL, PREDICTION
+from tablewright.models.saving import Saved
 
 
-class Constant(Model):
+class Constant(Saved, Model):
     def __init__(self, value: float):
         super().__init__()
         self.value = value
@@ -17,13 +18,13 @@ class Constant(Model):
         return df.withColumn(PREDICTION, F.lit(float(self.value)))
 
 
-class MajorityClass(Estimator):
+class MajorityClass(Saved, Estimator):
     """The most frequent class, the smallest on ties."""
 
     def _fit(self, df: DataFrame) -> Model:
         return Constant(df.agg(F.mode(LABEL, True)).first()[0])
 
 
-class MeanTarget(Estimator):
+class MeanTarget(Saved, Estimator):
     def _fit(self, df: DataFrame) -> Model:
         return Constant(df.agg(F.avg(LABEL)).first()[0])

@@ -21,6 +21,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablewright.models.features import LABEL, PREDICTION, SCORES, argmax, feature_array
+from tablewright.models.saving import Saved
 from tablewright.session import Generations, ship_package
 
 TREES, DEPTH, SEED = 100, 10, 123    # the library's number of trees; levels, so that a forest is bounded
@@ -84,7 +85,7 @@ def described(spark: SparkSession, nodes: Nodes) -> DataFrame:
     return spark.createDataFrame(list(columns), "tree bigint, place bigint, feature int, threshold double, value array<double>")
 
 
-class GrownForest(Model):
+class GrownForest(Saved, Model):
     def __init__(self, nodes: Nodes, classify: bool, centre: float = 0.0):
         super().__init__()
         self.nodes, self.classify, self.centre = nodes, classify, centre
@@ -103,7 +104,7 @@ class GrownForest(Model):
         return said.withColumn(PREDICTION, F.get(SCORES, F.lit(0)) + F.lit(self.centre)).drop(SCORES)
 
 
-class ExtraTrees(Estimator):
+class ExtraTrees(Saved, Estimator):
     """Extremely randomized trees (Geurts and others, 2006) on (features, label) rows.
 
     Each node draws ``features`` of those that vary in it (classes: the square root of all, numbers: all) and for each one threshold

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import StandardScaler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.functions import ref, round_to
 from tablewright.models.algebra import LinearDiscriminant, MatchingPursuit, QuadraticDiscriminant, RidgeClassifier
-from tablewright.models.features import assemble
+from tablewright.models.features import FEATURES, PREDICTION, assemble
 from tablewright.models.histogram import HistogramBoosting
 from tablewright.models.linear import Folds, choices
 from tablewright.models.trees import ExtraTrees, described
-from tablewright.models.zoo import PENALTY, REGRESSORS
-from tablewright.queries.modelling import CHARGE_SQL, assessed, charge
+from tablewright.models.zoo import PENALTY, REGRESSORS, Sizes, classifiers, regressors
+from tablewright.queries.modelling import BANDED_SQL, CHARGE_SQL, assessed, banded, charge
 from tablewright.queries.registry import query
 from tablewright.queries.tables import table
-from tablewright.session import settle_for_training
+from tablewright.session import scratch_folder, settle, settle_for_training
 
 SEED, FOREST = 123, 3
 FLAG_SQL = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
@@ -227,3 +231,30 @@ def net_query(name: str):
 
 for short, part in (("ridge", 0.0), ("enet", 0.5), ("lasso", 1.0)):
     query(f"reg_{short}", net_sql(short, PENALTY, part))(net_query(short))
+
+
+KEPT_CLASSIFIERS, KEPT_REGRESSORS = ["lr", "ridge", "lda", "qda", "et", "hgb", "ada", "knn", "dummy"], ["lasso", "bayes_ridge", "et", "hgb", "ada", "knn", "dummy"]
+QUICK = Sizes(trees=10, depth=4, rounds=3, adaptive=3)     # models that are saved here need not be good
+
+
+def kept_sql() -> str:
+    names = [f"clf_{n}" for n in KEPT_CLASSIFIERS] + [f"reg_{n}" for n in KEPT_REGRESSORS]
+    return f"SELECT unnest({names}) AS model, rows, rows AS equal_rows FROM (SELECT count(*) AS rows FROM ({BANDED_SQL}))"
+
+
+@query("models_roundtrip", kept_sql())
+def models_roundtrip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models saved and loaded again, behind a scaler in one pipeline, predict the same for every customer."""
+    found = []
+    for task, makers, names, target in (("clf", classifiers(QUICK), KEPT_CLASSIFIERS, "band"), ("reg", regressors(QUICK), KEPT_REGRESSORS, "step")):
+        data = banded(spark, sf_dir, target).withColumnRenamed(FEATURES, "raw")
+        for name in names:
+            scaler = StandardScaler(inputCol="raw", outputCol=FEATURES, withMean=True)
+            model = Pipeline(stages=[scaler, makers[name](2, "c_custkey")]).fit(data)
+            folder = scratch_folder(spark, "model")
+            model.write().save(folder)
+            one, two = (m.transform(data).select("c_custkey", F.col(PREDICTION).alias(n))
+                        for m, n in ((model, "one"), (PipelineModel.load(folder), "two")))
+            found.append(settle(one.join(two, "c_custkey").agg(
+                F.lit(f"{task}_{name}").alias("model"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("one") == F.col("two")).alias("equal_rows"))))
+    return reduce(DataFrame.unionByName, found)

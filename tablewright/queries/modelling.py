@@ -291,8 +291,8 @@ def knn_topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          round_to(ref("distance"), 6).alias("far"))
 
 
-#: Of the comparisons' forests and boosted models, which are fitted once a fold; README has the figures of full sizes.
-BOARD = Sizes(trees=20, depth=8, rounds=30, leaves=8, adaptive=10)
+#: Of the boosted models in comparisons, which are fitted once a fold; README has the figures of full sizes.
+BOARD = Sizes(rounds=30, leaves=8, adaptive=10)
 METRICS = ["accuracy", "auc", "recall", "precision", "f1", "kappa", "mcc"]
 
 
