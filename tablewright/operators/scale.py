@@ -16,8 +16,8 @@ METHODS = ("zscore", "zscore_sample", "minmax", "maxabs", "robust")
 QUANTILES = 1_000       # fixed value: points of the quantile grid
 CLIP = 1e-7             # fixed value: probabilities are kept this far from 0 and 1
 POWERS = [p / 2 for p in range(-4, 9)]      # powers tried first, -2 to 4; the range widens while its end is the best
-FINE = 20                                   # powers are refined to steps of 1 / FINE
-WIDEST = 64.0                               # beyond this power doubles overflow for all but tiny values
+CLOSE = 1e-4                                # powers are refined to steps of this size
+AROUND = [k / 4 for k in range(-4, 5)]      # where a refined grid lies, in steps of the one before
 
 
 @dataclass(frozen=True)
@@ -147,55 +147,80 @@ def apply_quantile_grids(df: DataFrame, grids: dict[str, QuantileGrid], shape: s
     return df.withColumns(clipped).withColumns({c: normal_quantile(ref(c)) for c in usable}) if usable else df
 
 
-def likelihoods(df: DataFrame, grids: dict[str, list[float]]) -> dict[str, list[float]]:
+def reaches(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """The largest log(1 + |x|) of the values from 0 up, and of those below, for each column."""
+    wanted = []
+    for i, name in enumerate(columns):
+        x = parse_number(ref(name))
+        size = F.log1p(F.abs(x))
+        wanted += [F.max(F.when(x >= 0, size)).alias(f"{i}_up"), F.max(F.when(x < 0, size)).alias(f"{i}_down")]
+    row = df.agg(*wanted).first()
+    return {name: (row[f"{i}_up"] or 0.0, row[f"{i}_down"] or 0.0) for i, name in enumerate(columns)}
+
+
+def lowered_power(x: Column, power: float, by: float) -> Column:
+    """The Yeo-Johnson transform divided by exp(``by``), without the large numbers in between."""
+    size, mirrored, low = F.log1p(F.abs(x)), 2.0 - power, math.exp(-by)
+    right = size * low if power == 0 else (F.exp(size * power - by) - low) / power
+    left = -size * low if mirrored == 0 else -(F.exp(size * mirrored - by) - low) / mirrored
+    return F.when(x >= 0, right).otherwise(left)
+
+
+def likelihoods(df: DataFrame, grids: dict[str, list[float]], reach: dict[str, tuple[float, float]]) -> dict[str, list[float]]:
     """The Yeo-Johnson likelihood of each column's powers, all in one pass.
 
     It needs, per power, the variance of the transformed column, and once the sum of the logarithm of the
-    Jacobian.
+    Jacobian. The transform is taken over its largest value, so that no power overflows.
     """
     wanted = []
+    lowered = {name: [max(0.0, p * reach[name][0], (2 - p) * reach[name][1]) for p in powers] for name, powers in grids.items()}
     for i, (name, powers) in enumerate(grids.items()):
         x = parse_number(ref(name))
         wanted += [F.count(x).alias(f"{i}_n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"{i}_log")]
-        wanted += [F.var_pop(yeo_johnson(x, p)).alias(f"{i}_{j}") for j, p in enumerate(powers)]
+        wanted += [F.var_pop(lowered_power(x, p, lowered[name][j])).alias(f"{i}_{j}") for j, p in enumerate(powers)]
     row = df.agg(*wanted).first()
 
-    def likelihood(i: int, j: int, power: float) -> float:
+    def likelihood(i: int, j: int, power: float, by: float) -> float:
         variance = row[f"{i}_{j}"]
         if not variance or not math.isfinite(variance):
             return -math.inf
-        return -(row[f"{i}_n"] or 0) / 2 * math.log(variance) + (power - 1) * (row[f"{i}_log"] or 0.0)
+        return -(row[f"{i}_n"] or 0) / 2 * (math.log(variance) + 2 * by) + (power - 1) * (row[f"{i}_log"] or 0.0)
 
-    return {name: [likelihood(i, j, p) for j, p in enumerate(powers)] for i, (name, powers) in enumerate(grids.items())}
+    return {name: [likelihood(i, j, p, lowered[name][j]) for j, p in enumerate(powers)] for i, (name, powers) in enumerate(grids.items())}
 
 
-def fit_powers(df: DataFrame, columns: list[str], powers: list[float] = POWERS) -> dict[str, float]:
-    """The Yeo-Johnson power of highest likelihood, to steps of ``1 / FINE``, for all columns side by side.
+def fit_powers(df: DataFrame, columns: list[str], powers: list[float] = POWERS, close: float = CLOSE) -> dict[str, float]:
+    """The Yeo-Johnson power of highest likelihood, to steps of ``close``, for all columns side by side.
 
-    A coarse grid is moved on while its end is the best of a column; then the best is refined.
+    A coarse grid goes on, twice as wide each time, while its end is the best of a column; then the best is
+    enclosed by grids a quarter as wide. A pass over the table serves all columns that are still searched.
     """
+    reach = reaches(df, columns) if columns else {}
     best = {name: (-math.inf, 1.0) for name in columns}
+    steps = dict.fromkeys(columns, max((b - a for a, b in zip(powers, powers[1:])), default=0.0))
     grids = {name: list(powers) for name in columns}
     while grids:
-        found, moved = likelihoods(df, grids), {}
+        found, further = likelihoods(df, grids, reach), {}
         for name, tried in grids.items():
             top = max(range(len(tried)), key=found[name].__getitem__)
-            if found[name][top] > best[name][0]:
-                best[name] = (found[name][top], tried[top])
-                width = tried[-1] - tried[0]
-                if len(tried) > 1 and top == 0 and tried[0] > -WIDEST:
-                    moved[name] = [p - width for p in tried]
-                elif len(tried) > 1 and top == len(tried) - 1 and tried[-1] < WIDEST:
-                    moved[name] = [p + width for p in tried]
-        grids = moved
-    step = max((b - a for a, b in zip(powers, powers[1:])), default=0.0)
-    reach = round(step * FINE)
-    near = {name: [power + k / FINE for k in range(-reach, reach + 1)] for name, (_, power) in best.items()}
-    if not reach or not columns:
-        return {name: power for name, (_, power) in best.items()}
-    found = likelihoods(df, near)
-    return {name: tried[max(range(len(tried)), key=found[name].__getitem__)] if max(found[name]) > -math.inf else best[name][1]
-            for name, tried in near.items()}
+            if found[name][top] <= best[name][0]:
+                continue
+            best[name] = (found[name][top], tried[top])
+            if len(tried) > 1 and top in (0, len(tried) - 1):
+                steps[name] *= 2
+                away = steps[name] if top else -steps[name]
+                further[name] = sorted(tried[top] + away * k for k in range(1, len(powers)))
+        grids = further
+    searched = {name for name in columns if best[name][0] > -math.inf and steps[name] > close}
+    while searched:
+        found = likelihoods(df, {name: [best[name][1] + steps[name] * k for k in AROUND] for name in searched}, reach)
+        for name in list(searched):
+            top = max(range(len(AROUND)), key=found[name].__getitem__)
+            best[name] = (found[name][top], best[name][1] + steps[name] * AROUND[top])
+            steps[name] /= 4
+            if steps[name] <= close:
+                searched.remove(name)
+    return {name: power for name, (_, power) in best.items()}
 
 
 def shaper(source: DataFrame, columns: list[str], method: str = "quantile",

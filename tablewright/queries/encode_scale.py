@@ -11,7 +11,7 @@ from tablewright.functions.scalar import (CENTRE_BOTTOM, CENTRE_TOP, FAR_BOTTOM,
                                           yeo_johnson)
 from tablewright.operators.encode import apply_labels, fit_labels, label_encode, one_hot
 from tablewright.operators.outliers import iqr_filter
-from tablewright.operators.scale import (CLIP, QUANTILES, apply_quantile_grids, apply_scales, fit_quantile_grids,
+from tablewright.operators.scale import (CLIP, QUANTILES, apply_quantile_grids, apply_scales, fit_powers, fit_quantile_grids,
                                          fit_scales, normalize)
 from tablewright.queries.registry import query
 from tablewright.queries.tables import (KEY, NUMBERS, ORDERS, TEXTS, TRAIN, codes_sql, orders_role, orders_split,
@@ -228,6 +228,20 @@ def yeo_johnson_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                        for name, p in (("half", 0.5), ("zero", 0.0), ("two", 2.0))))
 
 
+@query("yeo_johnson_fit", """
+WITH d AS (SELECT unnest([{'feature': 'c_acctbal', 'x': c_acctbal / 1000}, {'feature': 'c_nationkey', 'x': c_nationkey::DOUBLE}], recursive := true) FROM customer),
+p AS (SELECT range / 2000.0::DOUBLE AS p FROM range(-4000, 8001)), s AS (SELECT feature, x, count(*) AS w FROM d GROUP BY feature, x),
+v AS (SELECT feature, p, sum(w) AS n, sum(w * sign(x) * ln(1 + abs(x))) AS slope, sum(w * y * y) / sum(w) - pow(sum(w * y) / sum(w), 2) AS variance
+      FROM (SELECT feature, p, x, w, CASE WHEN x >= 0 AND p = 0 THEN ln(1 + x) WHEN x >= 0 THEN (pow(1 + x, p) - 1) / p
+                                          WHEN p = 2 THEN -ln(1 - x) ELSE -(pow(1 - x, 2 - p) - 1) / (2 - p) END AS y FROM s, p) GROUP BY feature, p)
+SELECT feature, round(arg_max(p, -n / 2 * ln(variance) + (p - 1) * slope), 2) + 0.0 AS power FROM v GROUP BY feature""")
+def yeo_johnson_fit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The power of highest likelihood of two columns; SQL tries every two-thousandth from -2 to 4."""
+    rows = table(spark, sf_dir, "customer").select((F.col("c_acctbal") / 1000).alias("c_acctbal"), "c_nationkey")
+    found = list(fit_powers(rows, ["c_acctbal", "c_nationkey"]).items())
+    return spark.createDataFrame(found, "feature string, power double").withColumn("power", round_to(ref("power"), 2))
+
+
 @query("iqr_filter", "WITH f AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events) "
                      "SELECT event_id, event_type, value FROM events, f "
                      "WHERE value BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)")

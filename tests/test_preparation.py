@@ -241,6 +241,24 @@ def test_yeo_johnson_power_beyond_the_first_range(spark):
     assert found["x"] > 5 and 0.5 < found["y"] < 1.5
 
 
+def plain_likelihood(values, power):
+    """By logarithms, so that it holds at any power."""
+    logs = [math.log1p(v) for v in values]
+    top = max(power * v for v in logs)
+    y = [math.exp(power * v - top) for v in logs]
+    return -len(y) / 2 * (math.log(statistics.pvariance(y)) + 2 * top - 2 * math.log(abs(power))) + (power - 1) * sum(logs)
+
+
+def test_powers_have_the_highest_likelihood_however_large(spark):
+    values = [(1 + i / 150) ** (1 / 300) - 1 for i in range(1, 150)]
+    wide = [(1 + i / 3) ** (1 / 7) - 1 for i in range(1, 150)]
+    found = fit_powers(spark.createDataFrame(list(zip(values, wide, [2.0] * 149)), "x double, y double, same double"), ["x", "y", "same"])
+    assert found["x"] > 100 and found["same"] == 1.0
+    for name, given in (("x", values), ("y", wide)):
+        best = plain_likelihood(given, found[name])
+        assert all(best >= plain_likelihood(given, found[name] + k / 100) - 1e-6 for k in range(-30, 31) if k)
+
+
 def test_infinite_values_take_the_outermost_places(spark):
     df = spark.createDataFrame([(float(v),) for v in (-math.inf, 1, 2, 3, math.inf, math.inf)], "x double")
     assert column(apply_quantile_grids(df, fit_quantile_grids(df, ["x"]), "uniform"), "x") == [0.0, 0.0, 0.5, 1.0, 1.0, 1.0]
