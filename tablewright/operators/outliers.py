@@ -37,32 +37,52 @@ def feature_vector(df: DataFrame, columns: list[str], fills: dict[str, float]) -
     return F.array(*(F.coalesce(parse_number(ref(c)), F.lit(fills[c])) for c in columns))
 
 
-def tree_samples(df: DataFrame, vector: Column, key: list[str] | None, rows: int, trees: int,
+def category_codes(texts: list[str]) -> Column:
+    """A hash for each text column's value, NULL a value like any other."""
+    return F.array(*(F.xxhash64(ref(c).cast("string")) for c in texts)).cast("array<bigint>")
+
+
+def category_places(codes: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """Where a tree sees each category, from 0 to 1: an order of its own, so that a threshold cuts off some set of categories."""
+    mixed = codes.astype(np.int64).view(np.uint64) ^ np.uint64((seed * 0x9E3779B97F4A7C15 + (tree + 1) * 0xD1B54A32D192ED03) % (1 << 64))
+    for shift, factor in ((32, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return (mixed >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+
+
+def tree_samples(df: DataFrame, vector: Column, codes: Column, key: list[str] | None, rows: int, trees: int,
                  sample: int, seed: int) -> DataFrame:
-    """(tree, x): up to ``sample`` rows for each tree.
+    """(tree, x, codes): the ``sample`` rows of the smallest hashes of each tree.
 
-    One hash per row thins the table to a pool of a few thousand rows per tree batch; trees then draw
-    their rows from the pool, so the full table is neither shuffled nor multiplied by the trees.
+    Every tree draws from the whole table on its own. Only rows with a hash small enough to be among the smallest are
+    handed on for a tree, about three times the sample; if these were too few, which is next to impossible, all are.
     """
-    pool_rows = max(trees * sample * 2, 20_000)
     label = F.xxhash64(F.lit(seed), *(ref(c) for c in key or df.columns))
-    parts = 1 << 20
-    pool = df.select(label.alias("_label"), vector.alias("x"))
-    if rows > pool_rows:
-        pool = pool.filter(F.pmod(F.col("_label"), F.lit(parts)) < math.ceil(parts * pool_rows / rows))
-    pairs = pool.select("x", "_label", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    draw = F.xxhash64(F.col("tree"), F.lit(seed + 1), F.col("_label"))
-    kept = min(rows, pool_rows)
-    if kept > 3 * sample:
-        pairs = pairs.filter(F.pmod(draw, F.lit(parts)) < math.ceil(parts * 3 * sample / kept))
-    nth = F.row_number().over(Window.partitionBy("tree").orderBy(draw, "_label", "x"))
-    return pairs.withColumn("_nth", nth).filter(F.col("_nth") <= sample).select("tree", "x")
+    marked = df.select(label.alias("_label"), vector.alias("x"), codes.alias("codes"))
+    parts = 1 << 40
+
+    def drawn(share: float) -> DataFrame:
+        draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+            t.alias("tree"), F.pmod(F.xxhash64(t, F.lit(seed + 1), F.col("_label")), F.lit(parts)).alias("draw")))
+        near = F.filter(draws, lambda d: d["draw"] < math.ceil(parts * share))
+        pairs = marked.select("x", "codes", "_label", F.explode(near).alias("_draw"))
+        nth = F.row_number().over(Window.partitionBy("_draw.tree").orderBy("_draw.draw", "_label", "x", "codes"))
+        return pairs.withColumn("_nth", nth).filter(F.col("_nth") <= sample).select("_draw.tree", "x", "codes")
+
+    if rows <= 3 * sample:
+        return drawn(1.0)
+    found = settle(drawn(3 * sample / rows))
+    counts = found.groupBy("tree").count().agg(F.min("count"), F.count(F.lit(1))).first()
+    return found if counts[0] == sample and counts[1] == trees else drawn(1.0)
 
 
 def grow_tree(pdf: pd.DataFrame, seed: int, sample: int) -> pd.DataFrame:
     """Grow one tree on its at most ``sample`` rows, as node arrays with node 0 the root."""
     tree = int(pdf["tree"].iloc[0])
-    points = np.array(sorted(map(tuple, pdf["x"])), dtype=float)
+    codes = np.stack(pdf["codes"].to_numpy())
+    numbers = np.stack(pdf["x"].to_numpy()).astype(float)
+    points = np.hstack((numbers, category_places(codes, tree, seed)))
+    points = points[np.lexsort(points.T[::-1])]
     random = np.random.default_rng([seed, tree])
     limit = math.ceil(math.log2(max(2, sample)))
     feature, threshold, left, right, length = [], [], [], [], []
@@ -89,15 +109,19 @@ def grow_tree(pdf: pd.DataFrame, seed: int, sample: int) -> pd.DataFrame:
 
 
 def fit_forest(df: DataFrame, columns: list[str], key: list[str] | None = None, trees: int = TREES,
-               sample: int = SAMPLE, seed: int = SEED) -> tuple[list[dict], dict[str, float]]:
-    """The forest (at most trees x 2 sample nodes, whatever the table size) and the mean fills used."""
+               sample: int = SAMPLE, seed: int = SEED, texts: list[str] = ()) -> tuple[list[dict], dict[str, float]]:
+    """The forest (at most trees x 2 sample nodes, whatever the table size) and the mean fills used.
+
+    ``columns`` are read as numbers; ``texts`` are split into sets of categories, in each tree by an order of its own.
+    """
     ship_package(df.sparkSession)
-    stats = moments(df, columns)
+    stats = moments(df, columns) if columns else {}
     fills = {c: float(stats[c]["mean"] or 0.0) for c in columns}
-    rows = stats[columns[0]]["rows"]
+    rows = stats[columns[0]]["rows"] if columns else df.count()
     if not rows:
         raise ValueError("the table is empty")
-    samples = tree_samples(df, feature_vector(df, columns, fills), key, rows, trees, sample, seed)
+    numbers = feature_vector(df, columns, fills) if columns else F.array().cast("array<double>")
+    samples = tree_samples(df, numbers, category_codes(list(texts)), key, rows, trees, sample, seed)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         return grow_tree(pdf, seed, min(sample, rows))
@@ -107,22 +131,24 @@ def fit_forest(df: DataFrame, columns: list[str], key: list[str] | None = None,
 
 
 def score_rows(df: DataFrame, columns: list[str], forest: list[dict], fills: dict[str, float],
-               sample: int) -> DataFrame:
+               sample: int, texts: list[str] = (), seed: int = SEED) -> DataFrame:
     """The table with an anomaly score in (0, 1]; higher is more anomalous. Only features go to Python."""
     ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(
-        [tuple(np.asarray(t[k]) for k in ("feature", "threshold", "left", "right", "length")) for t in forest])
-    usual = expected_length(sample) or 1.0
+        [(t["tree"], *(np.asarray(t[k]) for k in ("feature", "threshold", "left", "right", "length"))) for t in forest])
+    usual, numeric = expected_length(sample) or 1.0, len(columns)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         trees = shared.value
         for batch in batches:
             columns = (batch,) if isinstance(batch, pd.Series) else batch    # one column comes bare
-            x = np.column_stack([s.to_numpy(dtype=float) for s in columns])
-            everyone = np.arange(len(x))
-            total = np.zeros(len(x))
-            for feature, threshold, left, right, length in trees:
+            numbers = [s.to_numpy(dtype=float) for s in columns[:numeric]]
+            codes = [s.to_numpy(dtype=np.int64) for s in columns[numeric:]]
+            everyone = np.arange(len(columns[0]))
+            total = np.zeros(len(everyone))
+            for tree, feature, threshold, left, right, length in trees:
+                x = np.column_stack([*numbers, *(category_places(c, tree, seed) for c in codes)])
                 at = np.zeros(len(x), dtype=np.int64)
                 moving = everyone
                 while len(moving):
@@ -135,17 +161,18 @@ def score_rows(df: DataFrame, columns: list[str], forest: list[dict], fills: dic
                 total += length[at]
             yield pd.Series(np.power(2.0, -total / len(trees) / usual))
 
-    return spread(df).withColumn(SCORE, score(*(F.coalesce(parse_number(ref(c)), F.lit(fills[c])) for c in columns)))
+    return spread(df).withColumn(SCORE, score(*(F.coalesce(parse_number(ref(c)), F.lit(fills[c])) for c in columns),
+                                              *(F.xxhash64(ref(c).cast("string")) for c in texts)))
 
 
 def outlier_scores(df: DataFrame, target: str | None = None, key: list[str] | None = None,
                    trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """Score every row on its numeric columns. With ``key``, the same rows give the same forest."""
-    numeric, _ = feature_types(df, [*([target] if target else []), *(key or [])])
-    if not numeric:
-        raise ValueError("the isolation forest needs a numeric column")
-    forest, fills = fit_forest(df, numeric, key, trees, sample, seed)
-    return score_rows(df, numeric, forest, fills, sample)
+    """Score every row on its numeric columns and its texts. With ``key``, the same rows give the same forest."""
+    numeric, texts = feature_types(df, [*([target] if target else []), *(key or [])])
+    if not numeric and not texts:
+        raise ValueError("the isolation forest needs a column")
+    forest, fills = fit_forest(df, numeric, key, trees, sample, seed, texts)
+    return score_rows(df, numeric, forest, fills, sample, texts, seed)
 
 
 def score_cuts(scored: DataFrame, thresholds: list[float]) -> dict[float, float]:

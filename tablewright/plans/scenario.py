@@ -71,9 +71,9 @@ class Fitting:
     @cached_property
     def scorer(self) -> Change:
         """Mean filling, then an anomaly score from a forest grown on the filled source."""
-        how, columns = self.how, feature_types(self.filled, [self.how.target, *self.how.key])[0]
-        forest, fills = fit_forest(self.filled, columns, list(how.key) or None, how.trees, how.sample, how.seed)
-        return lambda df: score_rows(self.mean_filler(df), columns, forest, fills, how.sample)
+        how, (columns, texts) = self.how, feature_types(self.filled, [self.how.target, *self.how.key])
+        forest, fills = fit_forest(self.filled, columns, list(how.key) or None, how.trees, how.sample, how.seed, texts)
+        return lambda df: score_rows(self.mean_filler(df), columns, forest, fills, how.sample, texts, how.seed)
 
     @cached_property
     def scored(self) -> DataFrame:

@@ -45,17 +45,34 @@ def within(removed, total, share: float):
     return (removed > 0) & (removed <= F.ceil(share * (total - 1)))
 
 
-@query("iforest_filter", "SELECT count(*) AS total_rows, count(*) AS unchanged_or_removed, true AS removed_within FROM events")
+#: Every fiftieth event is moved far out, each to a place of its own: what the forest must find among the others.
+PLANTED = 50
+
+
+@query("iforest_filter", f"SELECT event_type, count(*) AS kept_rows, min(event_id) AS first_id, max(event_id) AS last_id, round(sum(value), 2) AS value "
+                         f"FROM events WHERE event_id % {PLANTED} <> 0 GROUP BY event_type")
 def iforest_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events without the twentieth that the isolation forest finds most anomalous: what is left is unchanged."""
-    events = table(spark, sf_dir, "events").select("event_id", "value", F.col("user_id").cast("double").alias("user"))
-    kept = remove_outliers(events, 0.05, key=["event_id"], trees=TREES).select(
-        "event_id", F.struct("value", "user").alias("left"))
-    both = events.join(kept, "event_id", "left")
-    removed = F.col("left").isNull()
-    found = both.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(removed).alias("removed"),
-                     F.count_if(removed | (F.col("left") == F.struct("value", "user"))).alias("unchanged_or_removed"))
-    return found.select("total_rows", "unchanged_or_removed", within(F.col("removed"), F.col("total_rows"), 0.05).alias("removed_within"))
+    """Events without the share that the isolation forest finds most anomalous, as large as that of the events moved out."""
+    out = F.col("event_id") % PLANTED == 0
+    far = 1e6 * (1 + F.col("event_id") % 977)
+    events = table(spark, sf_dir, "events").select(
+        "event_id", "event_type", F.when(out, far).otherwise(F.col("value")).alias("value"),
+        F.when(out, -far).otherwise(F.col("user_id").cast("double")).alias("user"))
+    counted = events.agg(F.count_if(out).alias("planted"), F.count(F.lit(1)).alias("rows")).first()
+    kept = remove_outliers(events, counted["planted"] / counted["rows"], key=["event_id"], target="event_type")
+    return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("kept_rows"), F.min("event_id").alias("first_id"),
+                                          F.max("event_id").alias("last_id"), round_to(F.sum("value"), 2).alias("value"))
+
+
+@query("iforest_categories", "SELECT c_custkey, c_mktsegment AS segment FROM customer WHERE c_custkey % 100 <> 0")
+def iforest_categories_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by texts alone: a hundredth has segments that no other customer has, and is found."""
+    out = F.col("c_custkey") % 100 == 0
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", *(F.when(out, F.concat(F.lit(f"{n} "), F.col("c_custkey"))).otherwise(F.col("c_mktsegment")).alias(n)
+                       for n in ("segment", "branch", "trade")))
+    counted = rows.agg(F.count_if(out).alias("planted"), F.count(F.lit(1)).alias("rows")).first()
+    return remove_outliers(rows, counted["planted"] / counted["rows"], key=["c_custkey"]).select("c_custkey", "segment")
 
 
 SWEPT = " UNION ALL ".join(f"SELECT {share}::DOUBLE AS threshold, count(*) AS total_rows, true AS removed_within{{0}} FROM lineitem"

@@ -17,7 +17,8 @@ from tablewright.models.mlp import Network, NetworkClassifier, NetworkRegressor,
 from tablewright.models.neighbours import Index
 from tablewright.models.network import Architecture, batch_edges, gradient, loss_and_slope, predict
 from tablewright.models.zoo import Sizes, classifiers, regressors
-from tablewright.operators.outliers import expected_length, iqr_filter, outlier_report, outlier_scores, remove_outliers
+from tablewright.operators.outliers import (category_codes, category_places, expected_length, iqr_filter, outlier_report,
+                                             outlier_scores, remove_outliers, tree_samples)
 from tablewright.plans.automl import analyze, automl_prepare
 
 RNG = np.random.default_rng(42)
@@ -71,6 +72,34 @@ def test_three_classes(spark):
         assert right(CLASSIFIERS[name](3, "id").fit(df).transform(df)) > 0.8, name
 
 
+def test_outliers_among_texts_alone(spark):
+    rows = [(i, "ab"[i % 2], "xyz"[i % 3]) for i in range(300)] + [(1000 + i, f"odd {i}", None if i else "w") for i in range(3)]
+    df = spark.createDataFrame(rows, "id bigint, one string, two string")
+    kept = {r["id"] for r in remove_outliers(df, 3 / 303, key=["id"]).collect()}
+    assert kept == set(range(300))
+    with pytest.raises(ValueError):
+        outlier_scores(df.select("id"), key=["id"])
+
+
+def test_samples_are_the_smallest_hashes_of_the_whole_table(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 1_000).cast("double").alias("v"))
+    samples = tree_samples(df, F.array("id", "v").cast("array<double>"), category_codes([]), ["id"], 20_000, 3, 64, 9)
+    found = {}
+    for r in samples.collect():
+        found.setdefault(r["tree"], set()).add(int(r["x"][0]))
+    parts = 1 << 40
+    for tree in range(3):
+        draws = df.select("id", F.pmod(F.xxhash64(F.lit(tree), F.lit(10), F.xxhash64(F.lit(9), "id")), F.lit(parts)).alias("draw"))
+        assert found[tree] == {r["id"] for r in draws.orderBy("draw").limit(64).collect()}
+
+
+def test_categories_are_cut_in_another_order_by_each_tree():
+    codes = np.arange(-50, 50)
+    places = [category_places(codes, tree, 123) for tree in range(3)]
+    assert all(0 <= p.min() and p.max() < 1 and len(set(p)) == 100 and 0.4 < p.mean() < 0.6 for p in places)
+    assert not (np.argsort(places[0]) == np.argsort(places[1])).all()
+
+
 def test_sums_match_numpy(classes, line):
     rows = classes.collect()
     for c, m in class_moments(classes).items():
