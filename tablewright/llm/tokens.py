@@ -38,7 +38,7 @@ from tablewright.session import scratch_folder, ship_package
 MAGIC = b"TWT2"
 HEAD = struct.Struct("<4sIIII")
 BLOCK = 4_096                    # ids in a block
-CHUNK = 1 << 22                  # ids in a chunk, about: whole documents, the last may be longer
+CHUNK = 1 << 23                  # ids in a chunk, about: whole documents, the last may be longer
 PIECE = 1 << 20                  # characters tokenized at once
 FIRST, SECOND = 2_048, 4_096     # contexts an order remembers in a block
 STEP = 24                        # what a seen symbol adds to its count
@@ -53,6 +53,16 @@ NONE_MASK, SURE, TOP_SURE = np.uint32(NONE), np.uint32(1 << 24), np.uint32(3 <<
 WHITE = "\t-\r \x85\xa0  -     　"
 
 
+@lru_cache(maxsize=4)
+def tree_paths(size: int) -> np.ndarray:
+    """For every place the nodes of a Fenwick tree whose sums it is part of, filled up with the place behind the tree."""
+    paths, at = [], np.arange(size + 1)
+    while (at <= size).any() and len(paths) <= size.bit_length():
+        paths.append(at)
+        at = np.where((at > 0) & (at <= size), np.minimum(at + (at & -at), size + 1), size + 1)
+    return np.column_stack(paths)
+
+
 class Seen:
     """Order 0: how often each lane has had each id. Ids have places by first appearance, 1, 2, ..., with a Fenwick tree of sums."""
 
@@ -63,6 +73,7 @@ class Seen:
         self.place = np.zeros(lanes * (largest + 1), np.uint16 if block < 1 << 16 else np.int32)
         self.base, self.start = np.arange(lanes) * width, np.arange(lanes) * (largest + 1)
         self.used, self.total = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.paths = tree_paths(self.size)
 
     def shorten(self, lanes: int) -> None:
         self.base, self.start, self.used, self.total = (x[:lanes] for x in (self.base, self.start, self.used, self.total))
@@ -98,9 +109,7 @@ class Seen:
             self.ids[self.base[new] + place[new]] = ids[new]
         self.count[self.base + place] += 1
         self.total += 1
-        while (inside := place <= self.size).any():
-            self.tree[self.base + np.where(inside, place, self.size + 1)] += 1
-            place += place & -place
+        self.tree[self.base[:, None] + self.paths[place]] += 1
 
 
 class Models:
@@ -307,20 +316,20 @@ def decode_lanes(blocks: list[bytes], tokens: int, block: int, largest: int) ->
     return found.T.reshape(-1)[:tokens]
 
 
-def lanes_at_once(largest: int) -> int:
-    """Blocks coded side by side, so that their tables of ids stay within ``TABLE`` entries."""
-    return max(TABLE // (largest + 1), 1)
+def lanes_at_once(blocks: int, largest: int) -> int:
+    """Blocks coded side by side: groups of one size, whose tables of ids stay within ``TABLE`` entries."""
+    return -(-blocks // -(-blocks // max(TABLE // (largest + 1), 1)))
 
 
 def encode_blocks(ids: np.ndarray, block: int, largest: int) -> list[bytes]:
     """The bytes of all blocks, a group of lanes after the other."""
-    step = block * lanes_at_once(largest)
+    step = block * lanes_at_once(-(-len(ids) // block), largest)
     return [b for at in range(0, len(ids), step) for b in encode_lanes(ids[at:at + step], block, largest)]
 
 
 def decode_blocks(blocks: list[bytes], tokens: int, block: int, largest: int) -> np.ndarray:
     """The ids of all blocks."""
-    lanes = lanes_at_once(largest)
+    lanes = lanes_at_once(len(blocks), largest)
     return np.concatenate([decode_lanes(blocks[at:at + lanes], min(tokens - at * block, lanes * block), block, largest)
                            for at in range(0, len(blocks), lanes)])
 

@@ -46,7 +46,7 @@ def test_lanes_in_groups(monkeypatch):
     ids = np.random.default_rng(1).zipf(1.3, 9_000) % 5_000
     whole = tokens.encode_blocks(ids, 512, 5_000)
     monkeypatch.setattr(tokens, "TABLE", 15_100)
-    assert tokens.lanes_at_once(5_000) == 3 and tokens.encode_blocks(ids, 512, 5_000) == whole
+    assert tokens.lanes_at_once(18, 5_000) == 3 and tokens.lanes_at_once(4, 5_000) == 2 and tokens.encode_blocks(ids, 512, 5_000) == whole
     assert (tokens.decode_blocks(whole, 9_000, 512, 5_000) == ids).all()
 
 
