@@ -4,6 +4,9 @@ Gaps start from the mean or the mode. A round then takes the columns with gaps,
 models on the rows where the column is known, and rewrites only its gaps. The fitted models are kept, by
 round and column, and fill the gaps of further tables the same way. Each round ends on a settled table, and
 the one before is deleted, so a plan holds one round and the folder one table whatever their number.
+
+Numbers are predicted by boosted trees, texts of few values by a forest. A text of more than ``many`` values, however many, is
+predicted from counts: of its values in each bin of every other column, kept as tables with the pairs that occur.
 """
 
 from __future__ import annotations
@@ -14,16 +17,50 @@ from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.functions import ref
 from tablewright.operators.encode import LabelCodes, apply_labels, fit_labels
 from tablewright.operators.impute import fill_missing, fit_fills
 from tablewright.schema import feature_types
-from tablewright.session import Generations
+from tablewright.session import Generations, settle
 
 ROUNDS = 20     # fixed value: rounds of the study's imputer
 SEED = 123
+MANY = 1_000    # values of a text above which no forest is grown for it
+BINS = 20       # quantile bins of a numeric column that counts are taken in
+
+
+class Commonest:
+    """For each bin of one other column the commonest value there, the smallest code on ties; elsewhere the commonest of all.
+
+    The column is the one whose bins get most of the known rows right, the first on ties. Bins and values are joined as tables.
+    """
+
+    def __init__(self, column: str, edges: list[float] | None, picks: DataFrame, default: float):
+        self.column, self.edges, self.picks, self.default = column, edges, picks, default
+
+    @staticmethod
+    def bin_of(column: str, edges: list[float] | None) -> Column:
+        """The code of a text, the number of bounds below a number."""
+        return F.col(column) if edges is None else sum(((F.col(column) > e).cast("double") for e in edges), F.lit(0.0))
+
+    @classmethod
+    def fit(cls, known: DataFrame, target: str, inputs: list[str], numeric: list[str]) -> Commonest:
+        cuts = known.approxQuantile(numeric, [n / BINS for n in range(1, BINS)], 0.001) if numeric else []
+        edges = dict(zip(numeric, map(sorted, map(set, cuts))))
+        bins = F.array(*(F.struct(F.lit(n).alias("input"), cls.bin_of(c, edges.get(c)).alias("bin")) for n, c in enumerate(inputs)))
+        counts = known.select(F.col(target).alias("value"), F.explode(bins).alias("_in")).groupBy("_in.input", "_in.bin", "value").count()
+        rank = F.struct(F.col("count"), -F.col("value"))
+        best = settle(counts.groupBy("input", "bin").agg(F.max_by("value", rank).alias("_pick"), F.max("count").alias("right")))
+        right = {r["input"]: r["right"] for r in best.groupBy("input").agg(F.sum("right").alias("right")).collect()}
+        top = min(right, key=lambda n: (-right[n], n))
+        default = known.groupBy(F.col(target).alias("value")).count().agg(F.max_by("value", rank)).first()[0]
+        return cls(inputs[top], edges.get(inputs[top]), best.filter(F.col("input") == top).select(F.col("bin").alias("_bin"), "_pick"), default)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        joined = df.join(self.picks, self.bin_of(self.column, self.edges) == F.col("_bin"), "left")
+        return joined.withColumn("_said", F.coalesce("_pick", F.lit(self.default))).drop("_bin", "_pick")
 
 
 @dataclass
@@ -35,7 +72,7 @@ class FittedImputer:
     fills: dict[str, object]
     codes: LabelCodes
     order: list[str] = field(default_factory=list)
-    rounds: list[list[Model]] = field(default_factory=list)
+    rounds: list[list[Model | Commonest]] = field(default_factory=list)
 
     @property
     def place(self) -> dict[str, str]:
@@ -48,13 +85,14 @@ class FittedImputer:
         coded = apply_labels(fill_missing(marked, self.fills).select(
             *(ref(c).alias(place[c]) if c in place else ref(c) for c in df.columns),
             *(F.col(f"_gap{place[c]}") for c in self.columns)),
-            LabelCodes({place[c]: self.codes.listed[c] for c in text}, {}, {place[c]: self.codes.sizes[c] for c in text}), "row_zero")
+            LabelCodes(*({place[c]: found[c] for c in text if c in found} for found in (self.codes.listed, self.codes.tabled, self.codes.sizes))),
+            "row_zero")
         return coded.withColumns({place[c]: F.col(place[c]).cast("double") for c in self.columns})
 
     def inputs(self, name: str) -> list[str]:
         return [self.place[c] for c in self.columns if c != name]
 
-    def predicted(self, state: DataFrame, name: str, model: Model) -> DataFrame:
+    def predicted(self, state: DataFrame, name: str, model: Model | Commonest) -> DataFrame:
         """``state`` with the gaps of one column rewritten by its model."""
         column = self.place[name]
         said = model.transform(VectorAssembler(inputCols=self.inputs(name), outputCol="_inputs").transform(state))
@@ -63,12 +101,17 @@ class FittedImputer:
     def restore(self, state: DataFrame, like: DataFrame) -> DataFrame:
         """The columns of ``like`` under their names; known values, codes and types as they were."""
         types, place = {f.name: f.dataType for f in like.schema.fields}, self.place
+        for n, (name, table) in enumerate(self.codes.tabled.items()):
+            values = table.select(F.col("code").cast("double").alias(f"_of{n}"), F.col("value").alias(f"_text{place[name]}"))
+            state = state.join(values, F.col(place[name]) == F.col(f"_of{n}"), "left")
 
         def restored(name: str):
             if name not in place:
                 return ref(name)
             value = F.col(place[name])
-            if name not in self.numeric:
+            if name in self.codes.tabled:
+                value = F.col(f"_text{place[name]}").cast(types[name])
+            elif name not in self.numeric:
                 value = F.get(F.lit(self.codes.listed[name]), value.cast("int")).cast(types[name])
             elif name not in self.order:
                 value = value.cast(types[name])
@@ -87,7 +130,7 @@ class FittedImputer:
 
 
 def fit_iterative(df: DataFrame, target: str | None = None, keep: list[str] = (), rounds: int = ROUNDS,
-                  trees: int = 10, depth: int = 4, seed: int = SEED) -> tuple[FittedImputer, DataFrame]:
+                  trees: int = 10, depth: int = 4, seed: int = SEED, many: int = MANY) -> tuple[FittedImputer, DataFrame]:
     """The imputer learnt from ``df``, and ``df`` without gaps. Columns without any value stay as they are."""
     numeric, text = feature_types(df, [*keep, *([target] if target else [])])
     fills = fit_fills(df, columns=numeric + text)
@@ -97,8 +140,6 @@ def fit_iterative(df: DataFrame, target: str | None = None, keep: list[str] = ()
     columns = [c for c in numeric + text if c in fills and counts[c] < gaps["rows"]]
     text = [c for c in text if c in columns]
     codes = fit_labels(df, text) if text else LabelCodes()
-    if codes.tabled:
-        raise ValueError(f"too many values to predict: {', '.join(codes.tabled)}")
     imputer = FittedImputer(columns, [c for c in numeric if c in columns], {c: fills[c] for c in columns}, codes,
                             sorted((c for c in columns if counts[c]), key=lambda c: counts[c]))
     if not imputer.order:
@@ -110,8 +151,13 @@ def fit_iterative(df: DataFrame, target: str | None = None, keep: list[str] = ()
     for number in range(rounds):
         models = []
         for name in imputer.order:
-            known = VectorAssembler(inputCols=imputer.inputs(name), outputCol="_inputs").transform(
-                state.filter(~F.col(f"_gap{imputer.place[name]}")))
+            known = state.filter(~F.col(f"_gap{imputer.place[name]}"))
+            if name in text and codes.sizes[name] > many:
+                model = Commonest.fit(known, imputer.place[name], imputer.inputs(name), [imputer.place[c] for c in imputer.numeric if c != name])
+                models.append(model)
+                state = imputer.predicted(state, name, model)
+                continue
+            known = VectorAssembler(inputCols=imputer.inputs(name), outputCol="_inputs").transform(known)
             settings = dict(featuresCol="_inputs", labelCol=imputer.place[name], predictionCol="_said", seed=seed + number)
             if name in imputer.numeric:
                 model = GBTRegressor(maxIter=trees, maxDepth=depth, **settings).fit(known)
@@ -125,6 +171,6 @@ def fit_iterative(df: DataFrame, target: str | None = None, keep: list[str] = ()
 
 
 def impute_iterative(df: DataFrame, target: str | None = None, keep: list[str] = (), rounds: int = ROUNDS,
-                     trees: int = 10, depth: int = 4, seed: int = SEED) -> DataFrame:
+                     trees: int = 10, depth: int = 4, seed: int = SEED, many: int = MANY) -> DataFrame:
     """The table without gaps in its features; known cells, the target and kept columns are untouched."""
-    return fit_iterative(df, target, keep, rounds, trees, depth, seed)[1]
+    return fit_iterative(df, target, keep, rounds, trees, depth, seed, many)[1]

@@ -194,6 +194,22 @@ def impute_iterative_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in FEATURES)).alias("filled"))
 
 
+@query("impute_many_values", """
+WITH d AS (SELECT l_orderkey, 'order ' || l_orderkey AS o, CASE WHEN l_partkey % 10 <> 0 THEN 'line ' || l_orderkey || '-' || l_linenumber END AS t FROM lineitem),
+c AS (SELECT o, t, count(*) AS n FROM d WHERE t IS NOT NULL GROUP BY o, t),
+p AS (SELECT o, t FROM c QUALIFY row_number() OVER (PARTITION BY o ORDER BY n DESC, t) = 1),
+m AS (SELECT t FROM c GROUP BY t ORDER BY sum(n) DESC, t LIMIT 1)
+SELECT l_orderkey, coalesce(d.t, p.t, m.t) AS line, count(*) AS rows FROM d LEFT JOIN p USING (o) CROSS JOIN m GROUP BY ALL""")
+def impute_many_values_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps in a text with nearly as many values as rows, filled with the commonest value of the same order."""
+    order = F.col("l_orderkey").cast("string")
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.concat(F.lit("order "), order).alias("order"),
+        F.when(F.col("l_partkey") % 10 != 0, F.concat(F.lit("line "), order, F.lit("-"), F.col("l_linenumber"))).alias("line"))
+    filled = impute_iterative(rows, keep=["l_orderkey"], rounds=1)
+    return filled.groupBy("l_orderkey", "line").agg(F.count(F.lit(1)).alias("rows"))
+
+
 CODED = f"(SELECT {TARGET}, (row_number() OVER (ORDER BY {TARGET}) - 1)::DOUBLE AS label FROM (SELECT DISTINCT {TARGET} FROM t)) k"
 
 

@@ -264,6 +264,21 @@ def test_infinite_values_take_the_outermost_places(spark):
     assert column(apply_quantile_grids(df, fit_quantile_grids(df, ["x"]), "uniform"), "x") == [0.0, 0.0, 0.5, 1.0, 1.0, 1.0]
 
 
+def test_imputing_a_text_of_sixty_thousand_values(spark):
+    rows = spark.range(62_000).selectExpr("id", "concat('group ', id div 2) AS g", "CAST(id % 100 AS DOUBLE) AS v",
+                                          "CASE WHEN id % 2 = 0 OR id < 1000 THEN concat('value ', id div 2 * 2 + 1000000) END AS t")
+    filled = impute_iterative(rows, keep=["id"], rounds=1)
+    wrong = filled.filter("t IS NULL OR t <> concat('value ', id div 2 * 2 + 1000000)")
+    assert filled.count() == 62_000 and wrong.count() == 0
+
+
+def test_commonest_value_by_the_best_other_column(spark):
+    rows = [(i, "ab"[i % 2], float(i % 40), None if i % 7 == 0 else f"v{i % 40 // 10}") for i in range(280)] + [(999, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, one string, two double, t string")
+    filled = {r["id"]: r["t"] for r in impute_iterative(df, keep=["id"], rounds=1, many=2).collect()}
+    assert sum(filled[i] == f"v{i % 40 // 10}" for i in range(280)) >= 276 and filled[999] in ("v0", "v1", "v2", "v3")
+
+
 def test_iterative_imputation(spark):
     rows = [(i, float(i % 10), float(2 * (i % 10)) if i % 4 else N, ("low" if i % 10 < 5 else "high") if i % 5 else N)
             for i in range(200)]
