@@ -373,10 +373,12 @@ def mlp_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusion(NetworkClassifier(workers=4).fit(data).transform(data), "network")
 
 
-@query("mlp_regressor", levels_sql("network"))
+@query("mlp_regressor", confusion_sql("network"))
 def mlp_regressor_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = banded(spark, sf_dir, "step")
-    return levels(NetworkRegressor().fit(data).transform(data), "network")
+    """The band as a number: rows by band and the band next to the prediction."""
+    data = banded(spark, sf_dir)
+    said = NetworkRegressor().fit(data).transform(data)
+    return confusion(said.withColumn(PREDICTION, (F.col(PREDICTION) >= 0.5).cast("double")), "network")
 
 
 @query("mlp_predict", f"SELECT c_custkey, band AS prediction FROM ({BANDED_SQL})")
