@@ -33,32 +33,6 @@ PLAN = ("source string, phase int, first_block bigint, end_block bigint, slot_ba
         "share int, period int, slots array<bigint>")
 
 
-def shares(weights: Mapping, period: int = PERIOD) -> dict:
-    """Whole shares of a period, one at least; their sum is the period in use."""
-    total = sum(weights.values())
-    return {source: max(1, round(period * weight / total)) for source, weight in weights.items()}
-
-
-def pfair(share: Mapping) -> dict:
-    """The slots of each source in one period of sum(share) slots, by earliest deadline first."""
-    period = sum(share.values())
-    sources = list(share)
-    slots: dict = {source: [] for source in sources}
-    waiting = [(0, rank) for rank in range(len(sources))]     # (release, source)
-    ready: list[tuple[int, int]] = []                         # (deadline, source)
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, rank = heapq.heappop(waiting)
-            due = -(-(len(slots[sources[rank]]) + 1) * period // share[sources[rank]])
-            heapq.heappush(ready, (due, rank))
-        _, rank = heapq.heappop(ready)
-        done = slots[sources[rank]]
-        done.append(slot)
-        if len(done) < share[sources[rank]]:
-            heapq.heappush(waiting, (len(done) * period // share[sources[rank]], rank))
-    return slots
-
-
 def exact(weights: Mapping) -> dict:
     """The weights as whole numbers in exactly the same proportions."""
     parts = {source: Fraction(weight) for source, weight in weights.items()}

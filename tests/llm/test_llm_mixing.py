@@ -1,6 +1,7 @@
 """Mixing: less than one block away from the targets in every prefix, all rows placed, awkward rows."""
 
 from collections import Counter
+from itertools import islice
 
 import pytest
 from text_cases import DOCS, documents
@@ -10,14 +11,12 @@ from tablewright.llm import mixing
 
 @pytest.mark.parametrize("weights", [{"a": 1.0}, {"a": 3, "b": 1}, {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, {n: n + 1 for n in range(30)}])
 def test_every_prefix_is_within_a_block(weights):
-    share = mixing.shares(weights, 200)
-    slots, period = mixing.pfair(share), sum(share.values())
-    order = {slot: source for source, own in slots.items() for slot in own}
-    assert sorted(order) == list(range(period))
-    seen = Counter()
-    for slot in range(period):
-        seen[order[slot]] += 1
-        assert all(abs(seen[s] * period - (slot + 1) * share[s]) < period for s in share)
+    share = mixing.exact(weights)
+    total, seen = sum(share.values()), Counter()
+    for slot, source in enumerate(islice(mixing.deal(dict.fromkeys(share, 1 << 20), share), 600)):
+        seen[source] += 1
+        assert all(abs(seen[s] * total - (slot + 1) * share[s]) < total for s in share)
+    assert sum(seen.values()) == 600
 
 
 @pytest.mark.parametrize("counts", [
