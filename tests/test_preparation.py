@@ -6,9 +6,10 @@ import math
 import statistics
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
-from tablewright.functions import normal_quantile, yeo_johnson
+from tablewright.functions import normal_quantile, parse_number, yeo_johnson
+from tablewright.functions.scalar import NUMBER_TEXT
 from tablewright.operators.clean import (align_features, clean_sentinels, coerce_numeric, drop_ignored, drop_null_rows,
                                          drop_report, nan_gate)
 from tablewright.operators.encode import apply_labels, fit_labels, one_hot
@@ -311,3 +312,17 @@ def test_iterative_imputation_of_further_tables(spark, tmp_path):
     for i, x, y, _, s in rows[80:]:
         assert done[i]["x"] == x and done[i]["y"] is not None and done[i]["empty"] is None and done[i]["s"] == "a"
         assert y is None or done[i]["y"] == y
+
+
+def test_texts_are_cast_only_if_they_look_like_numbers(spark):
+    """A cast that fails is slow: texts that are no numbers must not reach one, and the numbers stay what a cast says."""
+    bare = ["1", "1.", ".5", ".", "", "+", "-0.0", "1e5", "1E+5", "1e-", "1d", "1.5F", "1.5fF", "0x1p3", "0x.8P1", "0xp1", "0x1", "1e400",
+            "inf", "+INF", "-Infinity", "infinit", "NaN", "+nan", "1_0", "1,0", "１", "1 2", "--1", "1L", "e5", "Brand#5", "true"]
+    rows = [(a + text + b,) for text in bare for a in ("", " \t", " ") for b in ("", "\n", "\x00", " ")] + [(N,)]
+    df = spark.createDataFrame(rows, "cell string")
+    number = F.col("cell").try_cast("double")
+    wrong = df.filter(~parse_number(F.col("cell"), T.StringType()).eqNullSafe(F.when(~F.isnan(number), number)))
+    assert wrong.collect() == []
+    looks = df.filter(F.col("cell").rlike(NUMBER_TEXT) & number.isNull()).collect()
+    assert all("0xp1" in r["cell"] for r in looks)
+    assert "RLIKE" in coerce_numeric(df, ["cell"])._jdf.queryExecution().toString()
