@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tablewright.models import neighbours
@@ -303,3 +304,17 @@ def test_network_fits_the_repeated_line(spark):
 def test_labels_must_be_dense(spark):
     with pytest.raises(ValueError, match="without gaps"):
         NetworkClassifier(epochs=1).fit(frame(spark, np.ones((4, 2)), [0, 2, 0, 2]))
+
+
+def test_every_worker_has_a_partition_of_its_own(spark):
+    """Two workers in one partition are trained one after the other by one task."""
+    rows = [(Vectors.dense(float(i % 7), float(i)), float(i % 2)) for i in range(400)]
+    data, seen = spark.createDataFrame(rows, ["features", "label"]), []
+
+    class Watched(NetworkClassifier):
+        def run_epoch(self, data, *rest):
+            seen.extend(data.groupBy(F.spark_partition_id().alias("part")).agg(F.count_distinct("worker").alias("n")).collect())
+            return super().run_epoch(data, *rest)
+
+    Watched(epochs=1, workers=9).fit(data)
+    assert [r["n"] for r in seen] == [1] * 9
