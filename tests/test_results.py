@@ -11,7 +11,7 @@ from tablewright.operators.metrics import classification_metrics, regression_met
 from tablewright.operators.results import (best_scenario, empty_results, long_results, report_text, results_table,
                                            scenario_delta)
 from tablewright.plans.experiment import Experiment, run_folder
-from tablewright.plans.scenario import STEPS, ScenarioSettings, plain, prepare, scenario_names, write_matrix
+from tablewright.plans.scenario import STEPS, ScenarioSettings, plain, prepare, scenario_matrix, scenario_names, write_matrix
 from tablewright.session import checkpoint_root
 from tablewright.sources.pairs import TablePair, discover_pairs, read_pair, write_pair
 from tablewright.sources.registry import Layout, registry
@@ -135,3 +135,17 @@ def test_experiments_over_a_folder(spark, tmp_path):
 def test_checkpoints_go_where_the_session_says(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or checkpoint_root(spark).replace("file:", "").startswith(named.replace("file:", ""))
+
+
+def test_the_pair_is_made_once_for_all_variants(spark):
+    """A pair that comes from a join: no variant joins again."""
+    left = spark.createDataFrame([(i, float(i % 5) if i % 4 else None, "ab"[i % 2]) for i in range(60)], "id long, x double, target string")
+    right = spark.createDataFrame([(i, float(i * i % 7)) for i in range(60)], "id long, y double")
+    both = left.join(right, "id")
+    pair = TablePair(both.filter("id < 40"), both.filter("id >= 40"))
+    how = ScenarioSettings("classification", "target", ["id"], trees=3)
+    made = dict(scenario_matrix(pair, how))
+    assert list(made) == list(STEPS)
+    plans = {(name, split): getattr(made[name], split)._jdf.queryExecution().optimizedPlan().toString() for name in made for split in ("train", "test")}
+    assert [which for which, plan in plans.items() if "Join" in plan] == []
+    assert {made["02_imputed_mean"].train.count(), made["02_imputed_mean"].test.count()} == {40, 20}
