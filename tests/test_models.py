@@ -14,7 +14,8 @@ from tablewright.models import neighbours
 from tablewright.models.algebra import Regression, class_moments
 from tablewright.models.features import LABEL, PREDICTION, assemble
 from tablewright.models.leaderboard import best_model, compare_models, fold_of
-from tablewright.models.mlp import Network, NetworkClassifier, NetworkRegressor, Worker, learning_rate
+from tablewright.models import mlp
+from tablewright.models.mlp import HELD, Crew, Network, NetworkClassifier, NetworkRegressor, Worker, learning_rate
 from tablewright.models.neighbours import Index
 from tablewright.models.network import Architecture, batch_edges, gradient, loss_and_slope, predict
 from tablewright.models.zoo import Sizes, classifiers, regressors
@@ -281,6 +282,44 @@ def test_batches_of_a_worker_are_those_of_one_table():
         assert len(set(seen)) == 1
 
 
+@pytest.mark.parametrize("task,outputs", [("classification", 3), ("regression", 1)])
+@pytest.mark.parametrize("sizes", [(90, 97, 64), (1, 300, 40), (HELD + 50, 7, 33)])
+def test_workers_side_by_side_give_the_weights_of_each_alone(task, outputs, sizes, monkeypatch):
+    """One step trains a batch of each; rows of one worker far beyond the others' do not pile up."""
+    net, steps, own = Architecture(3, outputs, task), [], np.random.default_rng(3)
+    parts = [(own.normal(size=(n, 3)), own.integers(0, outputs, n).astype(float) if task == "classification" else own.normal(size=n))
+             for n in sizes]
+
+    def hire(number: int) -> Worker:
+        none = np.zeros(net.trained_size())
+        return Worker(net, (net.initial(1), none, none, 5), 8, 0.01, np.random.default_rng([1, number]))
+
+    alone = []
+    for number, (x, y) in enumerate(parts):
+        worker = hire(number)
+        worker.feed(x, y)
+        alone.append(worker.block(number))
+    crew = Crew(hire)
+    monkeypatch.setattr(mlp, "gradient", lambda *rest: steps.append(1) or gradient(*rest))
+    for at in range(0, max(sizes), 35):
+        crew.feed([(n, x[at:at + 35], y[at:at + 35]) for n, (x, y) in enumerate(parts) if at < len(y)])
+        assert all(worker.waiting <= HELD for worker in crew.workers.values())
+    assert [tuple(row) for row in crew.blocks().itertuples(index=False)] == alone
+    batches = sum(block[4] for block in alone)
+    assert len(steps) < batches * 0.6 if min(sizes) > 50 else len(steps) <= batches
+
+
+def test_tasks_train_several_workers_at_once(spark):
+    """Workers beyond the cores share tasks, and their weights are those of a task each."""
+    rows = [(Vectors.dense(float(i % 7), float(i)), float(i % 2)) for i in range(900)]
+    data, vectors = spark.createDataFrame(rows, ["features", "label"]), []
+    for side in (1, 8):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(mlp, "SIDE", side)
+            vectors.append(NetworkClassifier(epochs=2, batch=4, workers=40).fit(data).vector)
+    assert (vectors[0] == vectors[1]).all()
+
+
 def test_network_workers_share_the_training(classes):
     model = NetworkClassifier(epochs=10, batch=8, workers=3).fit(classes)
     assert right(model.transform(classes)) > 0.9
