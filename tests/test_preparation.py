@@ -273,6 +273,22 @@ def test_imputing_a_text_of_sixty_thousand_values(spark):
     assert filled.count() == 62_000 and wrong.count() == 0
 
 
+def test_known_texts_of_many_values_are_not_joined(spark):
+    """Known texts are carried along: only the column with gaps is looked up among its values, and only where it has one."""
+    rows = spark.range(120_000).selectExpr("id", "concat('group ', id div 2) AS g",
+                                           "CASE WHEN id % 2 = 0 OR id < 1000 THEN concat('value ', id div 2 * 2 + 1000000) END AS t")
+    imputer, filled = fit_iterative(rows, keep=["id"], rounds=1)
+    assert sorted(imputer.codes.tabled) == ["g", "t"]
+    plan = filled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Union" in plan
+    wrong = filled.filter("t IS NULL OR t <> concat('value ', id div 2 * 2 + 1000000) OR g <> concat('group ', id div 2)")
+    assert filled.count() == 120_000 and wrong.count() == 0
+    other = spark.createDataFrame([(1, "group 7", None), (2, "new", None), (3, "group 7", "value 1000020")], "id long, g string, t string")
+    done = {r["id"]: (r["g"], r["t"]) for r in imputer.transform(other).collect()}
+    assert done[1] == ("group 7", "value 1000014") and done[3] == ("group 7", "value 1000020")
+    assert done[2][0] == "group 0"
+
+
 def test_commonest_value_by_the_best_other_column(spark):
     rows = [(i, "ab"[i % 2], float(i % 40), None if i % 7 == 0 else f"v{i % 40 // 10}") for i in range(280)] + [(999, None, None, None)]
     df = spark.createDataFrame(rows, "id long, one string, two double, t string")
