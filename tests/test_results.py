@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablewright.operators.metrics import classification_metrics, regression_metrics
 from tablewright.operators.results import (best_scenario, empty_results, long_results, report_text, results_table,
                                            scenario_delta)
+from tablewright.plans import automl
 from tablewright.plans.experiment import Experiment, run_folder
 from tablewright.plans.scenario import STEPS, ScenarioSettings, plain, prepare, scenario_matrix, scenario_names, write_matrix
 from tablewright.session import checkpoint_root
@@ -149,3 +150,22 @@ def test_the_pair_is_made_once_for_all_variants(spark):
     plans = {(name, split): getattr(made[name], split)._jdf.queryExecution().optimizedPlan().toString() for name in made for split in ("train", "test")}
     assert [which for which, plan in plans.items() if "Join" in plan] == []
     assert {made["02_imputed_mean"].train.count(), made["02_imputed_mean"].test.count()} == {40, 20}
+
+
+def test_tables_of_one_file_are_spread_over_all_cores(spark, monkeypatch):
+    """A matrix and a comparison learn much from few bytes: one file would keep one core busy."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 3_000 * cores, 1, 1).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 2 AS STRING) AS target")
+    how = ScenarioSettings("classification", "target", ["id"], trees=3)
+    made = dict(scenario_matrix(TablePair(rows, rows), how, {"plain": plain(lambda df: df)}))
+    assert len(made["plain"].train.inputFiles()) >= cores
+    seen = []
+
+    def watched(inside, *rest):
+        seen.append(len(inside.inputFiles()))
+        raise InterruptedError
+
+    monkeypatch.setattr(automl, "fit_iterative", watched)
+    with pytest.raises(InterruptedError):
+        automl.automl_prepare(rows, "classification", "target", ["id"])
+    assert seen[0] >= cores
