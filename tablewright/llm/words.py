@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -15,11 +16,11 @@ class WordMemory:
     """Encodes texts word by word; ``encode`` gives the ids of a list of new words.
 
     ``split`` must cut a text so that encoding it whole and word by word give the same ids. The memory holds
-    ``REMEMBERED`` words and starts anew when it is full; what it has forgotten is encoded again.
+    ``remembered`` words and starts anew when it is full; what it has forgotten is encoded again.
     """
 
-    def __init__(self, split: re.Pattern, encode: Callable[[list[str]], Iterable[list[int]]]):
-        self.split, self.encode = split.findall, encode
+    def __init__(self, split: re.Pattern, encode: Callable[[list[str]], Iterable[list[int]]], remembered: int = REMEMBERED):
+        self.split, self.encode, self.remembered = split.findall, encode, remembered
         self.forget()
 
     def forget(self) -> None:
@@ -29,29 +30,32 @@ class WordMemory:
         self.used = self.count = self.long = 0
 
     def learn(self, words: list[str]) -> None:
-        for word, ids in zip(words, self.encode(words)):
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            if self.count + 2 > len(self.starts):
-                self.starts = np.resize(self.starts, 2 * len(self.starts))
-            self.ids[self.used:self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.place[word] = self.count
-            self.count += 1
-            self.starts[self.count] = self.used
+        found = list(self.encode(words))
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        used, count = self.used + int(lengths.sum()), self.count + len(found)
+        while used > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        while count + 2 > len(self.starts):
+            self.starts = np.resize(self.starts, 2 * len(self.starts))
+        self.ids[self.used:used] = np.fromiter(chain.from_iterable(found), np.uint32, used - self.used)
+        self.starts[self.count + 1:count + 1] = self.used + np.cumsum(lengths)
+        self.place.update(zip(words, range(self.count, count)))
+        self.used, self.count = used, count
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text begins (and the last ends)."""
-        if self.count > REMEMBERED:
+        if self.count > self.remembered:
             self.forget()
         place, words, ends = self.place, [], [0]
         for text in texts:
             words += self.split(text)
             ends.append(len(words))
-        new = [w for w in dict.fromkeys(words) if w not in place]
-        if new:
-            self.learn(new)
-        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        at, new = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words)), {}
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            new = dict.fromkeys(words[n] for n in unknown)
+            self.learn(list(new))
+            at[unknown] = [place[words[n]] for n in unknown]
         starts = self.starts[at]
         lengths = self.starts[at + 1] - starts
         begins = np.zeros(len(words) + 1, np.int64)

@@ -62,6 +62,43 @@ def test_blocks_are_independent_and_checked():
         tokens.unpack(b"XXXX" + bytes(chunk[4:]))
 
 
+@pytest.mark.parametrize("block", [64, 2_048, 40_000])
+def test_carries_and_long_blocks(block):
+    rng = np.random.default_rng(block)
+    for ids in (np.where(rng.random(90_000) < 0.999, 7, rng.integers(0, 50_000, 90_000)), rng.zipf(1.1, 90_000) % 50_257, np.arange(90_000) % 50_257):
+        blocks = tokens.encode_blocks(ids, block, 50_256)
+        assert (tokens.decode_blocks(blocks, len(ids), block, 50_256) == ids).all()
+
+
+def test_state_of_a_lane_does_not_grow_with_the_vocabulary():
+    def size(largest):
+        models = tokens.Models(8, 2_048, largest)
+        arrays = [*vars(models).values(), *vars(models.seen).values()]
+        return sum(x.nbytes for x in arrays if isinstance(x, np.ndarray))
+
+    assert size(tokens.LARGEST - 1) < 1.1 * size(10)
+
+
+def test_words_before_different_punctuation_are_learnt_once():
+    memory = tokens.byte_bpe(PATH, as_given=True)
+    memory.forget()
+    memory.encode_all([" strange, strange. strange%%% strange\n strange7 strange"])
+    assert [w for w in memory.place if "strange" in w] == [" strange", "\n strange"]
+
+
+@pytest.mark.parametrize("as_given", [False, True])
+def test_random_texts_word_by_word(as_given):
+    whole, memory, rng = Tokenizer.from_file(PATH), tokens.byte_bpe(PATH, as_given=as_given), np.random.default_rng(5)
+    whole.encode_special_tokens = not as_given
+    parts = ["<|endoftext|>", "endoftext", "|", "<", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "'s", "'", "é", "ß", "1", "٣", "²", "a", "bc", "Z", ".",
+             "%%%", ",", "_", "-", "　", "漢", "é", "ſ", "😀", "'ll", "don't", "\0"]
+    texts = ["".join(parts[n] for n in rng.integers(0, len(parts), rng.integers(0, 14))) for _ in range(2_000)]
+    memory.forget()
+    ids, ends = memory.encode_all(texts)
+    for text, begin, end in zip(texts, ends, ends[1:]):
+        assert ids[begin:end].tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_word_by_word_equals_whole_text():
     whole = Tokenizer.from_file(PATH)
     whole.encode_special_tokens = True
