@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.models.algebra import BayesianRidge, LinearDiscriminant, MatchingPursuit, QuadraticDiscriminant, RidgeClassifier
 from tablewright.models.features import PREDICTION, assemble
@@ -14,6 +15,7 @@ from tablewright.models.linear import LinearNet
 from tablewright.models.simple import MajorityClass, MeanTarget
 from tablewright.models.trees import ExtraTrees
 from tablewright.models.zoo import Sizes, classifiers, regressors
+from tablewright.queries import scenarios
 
 RNG = np.random.default_rng(3)
 X = RNG.normal(size=(150, 3))
@@ -60,3 +62,18 @@ def test_trees_of_forests_are_built_when_asked_for(spark):
         for name in ("rf", "gbt"):
             model = makers[name](2, "id").fit(frame(spark, y))
             assert "trees" not in vars(model) and len(model.trees) == model.getNumTrees
+
+
+def test_the_analysis_compares_every_classifier_in_all_folds(spark, monkeypatch):
+    asked = {}
+
+    def analyze(train, test, task, target, key, models=None, **sizes):
+        asked.update(sizes, models=models)
+        said = test.select(*key, F.lit(0.0).alias("label"), F.lit(0.0).alias("prediction_label"))
+        return None, "lr", None, None, said
+
+    monkeypatch.setattr(scenarios, "analyze", analyze)
+    empty = spark.createDataFrame([], "o_orderkey long, o_orderstatus string")
+    monkeypatch.setattr(scenarios, "orders_split", lambda spark, sf_dir: (empty, empty))
+    scenarios.automl_analysis_query(spark, "")
+    assert asked == {"models": None}
